@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import binary, mixing, packing, secrets, simhash
+from evidentia.llm import binary, langid, media, mixing, neighbours, packing, scoring, secrets, simhash, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scoring.score(documents(spark, sf_dir))
+    return d.withColumns({c: F.round(c, 6) for c in ("logprob", "mean_logprob")})
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -28,9 +41,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(documents(spark, sf_dir))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "coverage")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op6_secrets, op7_packing, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lm_score, op4_suffix_dedup, op5_neighbours, op6_secrets, op7_packing, op8_media, op9_language, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {}
