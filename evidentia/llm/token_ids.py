@@ -5,13 +5,16 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
 
 import numpy as np
 
 #: Inside a run of white space a space would be cut off from its neighbours; such texts are encoded whole.
 _WHOLE = re.compile(r"\s \s|\s\s\Z| \Z")
-_MEMO = 400_000
+#: Words that a worker remembers, in an older and a newer half, and characters it splits at once.
+_MEMO, _BLOCK = 1_000_000, 300_000
+#: Stands between words that are encoded together. It takes part in no merge, so it changes no ids.
+_MARK = "\x01"
+_ALONE = re.compile(r"\x01|\s\s\Z|\A(?! )")
 
 
 @functools.lru_cache(maxsize=4)
@@ -19,39 +22,66 @@ def encoder(name: str, keep_spaces: bool):
     """A function from a list of texts to a list of id bytes, for a tokenizer file in ``public_tokenizers``.
 
     Both public vocabularies split at spaces before they merge, so a text's ids are those of its
-    space-led words one after the other; a worker remembers words it has met. ``keep_spaces`` says that a
-    word's leading space belongs to it (byte-level), else spaces carry no ids. Texts where a space
-    stands inside or at the end of a longer run of white space are encoded whole.
+    space-led words one after the other; a worker remembers words it has met and encodes new ones together.
+    ``keep_spaces`` says that a word's leading space belongs to it (byte-level), else spaces carry no
+    ids. Texts where a space stands inside or at the end of a longer run of white space are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    memo: dict[str, bytes] = {}
-    pack = [struct.Struct(f"<{n}I").pack for n in range(65)]
+    (mark,) = tok.encode(_MARK, add_special_tokens=False).ids
+    new: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
 
     def ids(texts):
-        return [np.array(e.ids, dtype="<u4").tobytes() if len(e.ids) > 64 else pack[len(e.ids)](*e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(text):
+    def learn(words):
+        alone = [w for w in words if (_ALONE.search(w) if keep_spaces else _MARK in w)]
+        new.update(zip(alone, ids(alone), strict=True))
+        words = [w for w in words if w not in new]
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            row = tok.encode_batch_fast([(_MARK if keep_spaces else f" {_MARK} ").join(part)], add_special_tokens=False)[0].ids
+            row = np.array([*row, mark], dtype="<u4")
+            data, ends = row.tobytes(), (np.flatnonzero(row == mark) * 4).tolist()
+            for w, a, b in zip(part, [-4, *ends[:-1]], ends, strict=True):
+                new[w] = data[a + 4 : b]
+
+    def split(text):
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]] if keep_spaces else [first, *rest]
 
+    def block(texts):
+        nonlocal new, old
+        if len(new) > _MEMO // 2:
+            old, new = new, {}
+        parts = [split(t) for t in texts]
+        known = [list(map(new.get, p)) for p in parts]
+        gaps = [i for i, k in enumerate(known) if None in k]
+        unknown = {w for i in gaps for w, x in zip(parts[i], known[i], strict=True) if x is None}
+        new.update((w, old[w]) for w in unknown if w in old)
+        learn([w for w in unknown if w not in new])
+        for i in gaps:
+            known[i] = map(new.__getitem__, parts[i])
+        return [b"".join(k) for k in known]
+
     def encode(texts):
-        if len(memo) > _MEMO:
-            memo.clear()
         out: list[bytes] = [b""] * len(texts)
         whole = [i for i, t in enumerate(texts) if keep_spaces and _WHOLE.search(t)]
-        for i, x in zip(whole, ids([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = x
-        skip = set(whole)
-        split = [() if i in skip or not t else words(t) for i, t in enumerate(texts)]
-        new = [w for w in set().union(*split) if w not in memo]
-        memo.update(zip(new, ids(new), strict=True) if new else ())
-        for i, parts in enumerate(split):
-            if parts:
-                out[i] = b"".join(map(memo.__getitem__, parts))
+        for i in whole:
+            out[i] = ids([texts[i]])[0]
+        skip, at, size = set(whole), [], 0
+        for i, t in enumerate(texts):
+            if t and i not in skip:
+                at.append(i)
+                size += len(t)
+            if at and (size > _BLOCK or i == len(texts) - 1):
+                for k, x in zip(at, block([texts[k] for k in at]), strict=True):
+                    out[k] = x
+                at, size = [], 0
         return out
 
     return encode
