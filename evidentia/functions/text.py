@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ def normalize_text(c: Column) -> Column:
 
     Text that is ASCII already skips the Arrow function that composes characters.
     """
-    import pandas as pd
-
     def nfc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
 
@@ -98,8 +97,6 @@ def check_integrity(df: DataFrame, raw: str = "raw_bytes") -> DataFrame:
 
 def decode_strict(raw: Column, charset: str = "utf-8") -> Column:
     """``struct(text, error)``: malformed input is an error row and is never replaced."""
-    import pandas as pd
-
     def run(s: pd.Series) -> pd.DataFrame:
         out = []
         for b in s:
@@ -144,8 +141,6 @@ def apply_filters(df: DataFrame, act: str | None = None, types: Sequence[str] |
 
 def resolve_links(df: DataFrame, base: str, link: str) -> DataFrame:
     """Adds ``absolute``: the link resolved against the page's address (RFC 3986)."""
-    import pandas as pd
-
     def run(b: pd.Series, x: pd.Series) -> pd.Series:
         from urllib.parse import urljoin
 
