@@ -71,15 +71,15 @@ def usable(vec: Column) -> Column:
     return F.coalesce(ok & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 4, leaf: int = 400, sample_rows: int = 20_000, share: float = 1.0, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 4, leaf: int = 400, sample_rows: int = 20_000, share: float = 2.0, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row where ``queries`` holds.
 
     Equal vectors are one index entry that keeps its ``k + 1`` smallest ids, all that any answer can
     need, so a vector that a third of all rows share is one entry. The forest is grown on at most
     ``sample_rows`` entries, chosen by hash, and sent to the tasks (at most 2^depth normals a tree, depth
     at most 12); every entry is indexed. A query searches leaves of all trees through one queue until they
-    hold ``share`` times the number of entries (1.0 keeps recall above 0.9 on directions without any
-    structure; clustered vectors need far less), and the rows of these leaves are compared
+    hold ``share`` times the number of entries (``trees`` would be an exact search; half of that keeps recall
+    above 0.9 even on directions without any structure, while clustered vectors need far less), and the rows of these leaves are compared
     exactly, in double precision. Ties go to the smaller id. Unusable vectors take no part, nor do those of
     another length than the most frequent one (the longest, if tied). A null id takes no part; an id that
     stands at several vectors is as many candidates, and the query's own id is none.
