@@ -41,17 +41,18 @@ def search_strict(questions: DataFrame, postings: DataFrame, limit: int = 10, **
     """
     m = matches(questions, postings, **shape)
     g = m.groupBy("question_id", "unit_key").agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("found"), F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("slot").alias("s")))))).alias("hits")).filter("found = n_terms")
-    g = g.withColumn("blank", F.array_repeat(F.lit(-1), F.col("n_terms")))
+    none = F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("n"))
+    g = g.withColumn("blank", F.array_repeat(none, F.col("n_terms")))
 
     def step(acc, h):
-        at = F.transform(acc["at"], lambda p, i: F.when(i == h["s"], h["p"]).otherwise(p))
-        left = F.array_min(at)
-        n = acc["n"] + 1
+        here = F.struct(h["p"].alias("p"), acc["n"].alias("n"))
+        at = F.transform(acc["at"], lambda x, i: F.when(i == h["s"], here).otherwise(x))
+        first = F.array_min(at)  # the latest place of each term: the leftmost opens the cover
+        left = first["p"]
         whole = (left >= 0) & (left > acc["left"])
-        before = F.size(F.filter("hits", lambda x: (x["p"] >= left) & (x["p"] <= h["p"])))
-        noise = (h["p"] - left) - (before - 1)
+        noise = (h["p"] - left) - (acc["n"] - first["n"])
         score = acc["score"] + F.when(whole, F.lit(0.1) / (F.lit(1.0) + noise)).otherwise(F.lit(0.0))
-        return F.struct(at.alias("at"), F.greatest(acc["left"], left).alias("left"), n.alias("n"), score.alias("score"))
+        return F.struct(at.alias("at"), F.greatest(acc["left"], left).alias("left"), (acc["n"] + 1).alias("n"), score.alias("score"))
 
     start = F.struct(F.col("blank").alias("at"), F.lit(-1).alias("left"), F.lit(0).alias("n"), F.lit(0.0).alias("score"))
     g = g.withColumn("score", F.round(F.aggregate("hits", start, step, lambda a: a["score"]), 6))
@@ -78,7 +79,10 @@ def lexical_search(questions: DataFrame, postings: DataFrame, limit: int = 200,
     """OR score plus 20 times the phrase score (0.1 per place where all terms stand in a row)."""
     m = matches(questions, postings, stop=stop, **shape)
     one = m.groupBy("question_id", "unit_key").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list(F.transform("positions", lambda p: p - F.col("slot")))).alias("bases"), F.first("n_terms").alias("n"))
-    phrases = F.size(F.filter(F.array_distinct("bases"), lambda b: F.size(F.filter("bases", lambda x: x == b)) == F.col("n")))
+    run = lambda a, b: F.when(b == a["at"], a["run"] + 1).otherwise(F.lit(1))
+    step = lambda a, b: F.struct(b.alias("at"), run(a, b).alias("run"), (a["hits"] + (run(a, b) == F.col("n")).cast("int")).alias("hits"))
+    start = F.struct(F.lit(-(2**31)).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
+    phrases = F.aggregate(F.array_sort("bases"), start, step, lambda a: a["hits"])
     s = one.select("question_id", "unit_key", F.round(F.col("tf") * 0.1 + 2.0 * F.when(F.col("n") > 1, phrases).otherwise(F.col("tf")), 6).alias("score"))
     return top_k(s, "question_id", [F.desc("score"), "unit_key"], limit)
 
