@@ -59,16 +59,15 @@ def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
     Two binary tries, one from each half of the bits, are joined with themselves: pairs of nodes go down
     together, add up their differing bits and are pruned once these exceed the budget, which in a
     trie's first half is ``budget // 2`` (pairs within the budget keep to that in one half at least). The
-    first sixteen levels, full in any large table, are one step that lists a node's neighbours by
-    bit mask. Chains without branches are skipped: a node with one fingerprint below is compared whole,
+    first levels, as many as make about twice as many nodes as there are fingerprints, are one step
+    that lists a node's neighbours by bit mask, so that below it a pair of nodes has about one pair of children. Chains without branches are skipped: a node with one fingerprint below is compared whole,
     so most pairs end early. A node has at most 2^step children, whatever the skew.
     """
-    half, top = budget // 2, 16
-    spark = prints.sparkSession
+    half = budget // 2
     p = prints.select("fp").distinct()
     keyed = written(p.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("tree"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("tree"), F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)").alias("key")))).alias("x")).select("fp", "x.*"), "trie")
-    step = 8 if keyed.count() < 2**20 else 4
-    depths = [*range(top, 32, step), 32, 40, 48, 56, 64]
+    top = min(30, max(8, (keyed.count() // 2).bit_length() + 1))
+    depths = [*range(top, 32, 4), 32, 40, 48, 56, 64]
 
     def nodes(depth: int) -> DataFrame:
         return keyed.groupBy("tree", _prefix("key", depth).alias("node")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
@@ -94,7 +93,7 @@ def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return out.select(F.least("fa", "fb").alias("u"), F.greatest("fa", "fb").alias("v")).distinct() if done else spark.createDataFrame([], "u long, v long")
+    return out.select(F.least("fa", "fb").alias("u"), F.greatest("fa", "fb").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_col: str = "doc_id") -> DataFrame:
