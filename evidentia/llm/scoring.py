@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.store import written
+from evidentia.llm.mixing import word_count
 
 #: UTF-8 bytes of text that one block of documents holds, about, and n-grams that one hash bucket holds.
 BLOCK_BYTES, BUCKET_GRAMS = 4_000_000, 2_000_000
+#: Bits of an n-gram's hash. Seven bytes tell a billion n-grams apart but for a few; more cost shuffle.
+BITS = 56
 
 
-def word_hashes(text: str, memo: dict[bytes, int]) -> np.ndarray:
+def word_hashes(text: bytes, memo: dict[bytes, int]) -> np.ndarray:
     """XXH64 of a text's words (A-Z lower-cased, split at ASCII white space)."""
     out = []
-    for w in text.encode().lower().split():
+    for w in text.lower().split():
         h = memo.get(w)
         if h is None:
             h = memo[w] = xxhash.xxh64_intdigest(w, 0)
@@ -33,7 +36,7 @@ def joined(h: np.ndarray, following: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + following
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(27))
+        return (x ^ (x >> np.uint64(27))) >> np.uint64(64 - BITS)
 
 
 def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
@@ -45,14 +48,17 @@ def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their differences, which the shuffle's codec then shrinks."""
+    """Sorted keys as byte planes of their differences, which the shuffle's codec then shrinks."""
     with np.errstate(over="ignore"):
-        return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+        planes = np.frombuffer(data, np.uint8).reshape(BITS // 8, -1)
+        wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+        wide[:, : BITS // 8] = planes.T
+        return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def small(n: np.ndarray) -> bytes:
@@ -78,36 +84,41 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
     to their hash bucket: a frequent n-gram costs one entry per block, not one per occurrence. Buckets
     add up the blocks' counts and answer each block; blocks then join the answers to their n-grams and sum
     by document. Both numbers of groups follow the input, so that groups stay within a few MB; a single
-    text longer than a block makes a block of its own size. N-grams are 64-bit hashes.
+    text longer than a block makes a block of its own size. N-grams are told apart by
+    ``BITS`` bits of hash. Texts are shuffled once, compressed, and both passes read that shuffle.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sums = d.agg(F.sum(F.octet_length("text")), F.sum(word_count(F.col("text")))).first()
+    total, words = sums[0] or 0, sums[1] or 0
     n_blocks, n_buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / 6 * order / bucket_grams))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
     id_type = d.schema["doc_id"].dataType.simpleString()
 
+    def squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"block": pdf["block"], "id": pdf["id"], "packed": [zlib.compress(t.encode(), 1) for t in pdf["text"]]})
+
+    d = d.select("block", F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(squeezed, "block int, id string, packed binary")
+
     def hashed(texts) -> list[list[np.ndarray]]:
         memo: dict[bytes, int] = {}
-        return [grams(word_hashes(t, memo), order) for t in texts]
+        return [grams(word_hashes(zlib.decompress(t), memo), order) for t in texts]
 
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         """A block's distinct n-grams of each order by bucket, with their counts."""
-        found, rows, block = hashed(pdf["text"]), [], int(pdf["block"].iloc[0])
+        found, rows, block = hashed(pdf["packed"]), [], int(pdf["block"].iloc[0])
         for n in range(order):
             keys, count = np.unique(np.concatenate([f[n] for f in found]), return_counts=True)
-            cuts = np.searchsorted(keys, np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], dtype=np.uint64))
+            cuts = np.searchsorted(keys, np.array([(i << BITS) // n_buckets for i in range(1, n_buckets)], dtype=np.uint64))
             for bucket, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(count, cuts), strict=True)):
                 if len(k):
-                    rows.append((bucket, block, n, pack_sorted(k), small(c), 0))
-        rows.append((0, block, -1, b"", b"", sum(len(f[0]) for f in found)))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "counts", "words"])
+                    rows.append((bucket, block, n, pack_sorted(k), small(c)))
+        return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "counts"])
 
     def answered(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each block's n-grams in this bucket, the corpus counts, in the block's order."""
         rows = []
         for n, own in pdf.groupby("n"):
-            if n < 0:
-                continue
             keys = [unpack_sorted(x) for x in own["keys"]]
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(at, weights=np.concatenate([large(x) for x in own["counts"]])).astype(np.int64)[at]
@@ -115,9 +126,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
                 rows.append((pdf["bucket"].iloc[0], block, n, small(part)))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "counts"])
 
-    counts = written(d.groupBy("block").applyInPandas(counted, "bucket int, block int, n int, keys binary, counts binary, words long"), "grams")
-    words = counts.agg(F.sum("words")).first()[0] or 0
-    answers = counts.filter("n >= 0").groupBy("bucket").applyInPandas(answered, "bucket int, block int, n int, counts binary")
+    counts = d.groupBy("block").applyInPandas(counted, "bucket int, block int, n int, keys binary, counts binary")
+    answers = counts.groupBy("bucket").applyInPandas(answered, "bucket int, block int, n int, counts binary")
     return _scored(d, answers, words, order, backoff, hashed, id_type)
 
 
@@ -127,14 +137,14 @@ def _scored(d: DataFrame, answers: DataFrame, words: int, order: int, backoff: f
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=names)
-        found, own, rest = hashed(left["text"]), [], []
+        found, own, rest = hashed(left["packed"]), [], []
         for n in range(order):
             keys = np.unique(np.concatenate([f[n] for f in found]))
             mine = right[right["n"] == n].sort_values("bucket")
             own.append(keys)
             rest.append(np.concatenate([large(x) for x in mine["counts"]]) if len(mine) else np.zeros(0, dtype=np.int64))
         rows = []
-        for doc, f in zip(left["doc_id"], found, strict=True):
+        for doc, f in zip(left["id"], found, strict=True):
             w = len(f[0])
             log, done, backs = np.zeros(w), np.zeros(w, dtype=bool), 0
             left_counts = []
@@ -159,4 +169,4 @@ def _scored(d: DataFrame, answers: DataFrame, words: int, order: int, backoff: f
             rows.append((doc, w, backs, s, s / w if w else 0.0))
         return pd.DataFrame(rows, columns=names)
 
-    return d.groupBy("block").cogroup(answers.withColumnRenamed("block", "b").groupBy("b")).applyInPandas(summed, f"doc_id {id_type}, n_words long, backed_off long, logprob double, mean_logprob double")
+    return d.groupBy("block").cogroup(answers.withColumnRenamed("block", "b").groupBy("b")).applyInPandas(summed, "doc_id string, n_words long, backed_off long, logprob double, mean_logprob double").withColumn("doc_id", F.col("doc_id").cast(id_type))
