@@ -16,7 +16,9 @@ from evidentia.llm.store import written
 
 #: Bytes of an anchor, start positions looked at together, bytes of contexts in a bucket, and contexts of one
 #: anchor beyond which its strings are counted one by one instead.
-ANCHOR, SEGMENT, BUCKET_BYTES, MOST_CONTEXTS = 32, 1 << 20, 2_000_000, 4_096
+ANCHOR, SEGMENT, BUCKET_BYTES, MOST_CONTEXTS = 32, 1 << 20, 1_000_000, 4_096
+#: Rows that a task hands over at once.
+ROWS = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -149,18 +151,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", k
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[int] = []
         for pdf in batches:
             for t in pdf["text"]:
                 data = t.encode()
-                yield pd.DataFrame({"a": [_key(data[p : p + ANCHOR]) for _, _, at in anchored(data, length) for p in at.tolist()]}, dtype="int64")
+                for _, _, at in anchored(data, length):
+                    out += [_key(data[p : p + ANCHOR]) for p in at.tolist()]
+                if len(out) > ROWS:
+                    yield pd.DataFrame({"a": out}, dtype="int64")
+                    out = []
+        yield pd.DataFrame({"a": out}, dtype="int64")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for pdf in batches:
             for key, th, t in zip(pdf["key"], pdf["th"], pdf["text"], strict=True):
                 data = t.encode()
                 for lo, hi, at in anchored(data, length):
-                    lo, hi, at = lo.tolist(), hi.tolist(), at.tolist()
-                    yield pd.DataFrame({"doc_id": pd.array([key] * len(lo), dtype="string"), "th": th, "anchor": [_key(data[p : p + ANCHOR]) for p in at], "ctx": [_key(data[a : b + length]) for a, b in zip(lo, hi, strict=True)], "lo": lo, "hi": hi})
+                    out += [(key, th, _key(data[p : p + ANCHOR]), _key(data[a : b + length]), a, b) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
+                if len(out) > ROWS:
+                    yield pd.DataFrame(out, columns=["doc_id", "th", "anchor", "ctx", "lo", "hi"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "th", "anchor", "ctx", "lo", "hi"])
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,9 +193,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", k
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out: list[tuple] = []
             for data, own in zip(pdf["packed"], pdf["reads"], strict=True):
                 data = zlib.decompress(data)
-                yield pd.DataFrame([(r["anchor"], r["ctx"], r["n"], r["m"], data[r["lo"] : r["hi"] + length]) for r in own], columns=["anchor", "ctx", "n", "m", "data"])
+                out += [(r["anchor"], r["ctx"], r["n"], r["m"], data[r["lo"] : r["hi"] + length]) for r in own]
+                if len(out) > ROWS:
+                    yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "m", "data"])
+                    out = []
+            yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "m", "data"])
 
     texts = keyed.mapInPandas(packed, "key string, th long, packed binary").join(joined(reads), on).select("packed", "reads")
     texts = written(texts.mapInPandas(contexts, "anchor long, ctx long, n long, m long, data binary").dropDuplicates(["anchor", "ctx"]), "context-bytes")
