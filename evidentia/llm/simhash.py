@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.graph import components
-from evidentia.llm.store import written
+from evidentia.llm.store import row_key, written
 
 #: Shingles whose bits are counted at once.
 BLOCK = 50_000
@@ -38,15 +36,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, fp`` of each row."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", keyed: bool = False) -> DataFrame:
+    """``doc_id, fp`` of each row, and the ``key`` of its id and text, if asked for."""
     id_type = docs.schema[id_col].dataType
 
     @F.pandas_udf(T.LongType())
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in text], dtype="int64")
 
-    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), fp("text").alias("fp"))
+    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), fp("text").alias("fp"), *([row_key(id_col).alias("key")] if keyed else []))
 
 
 def _prefix(key: str, depth: int) -> Column:
@@ -96,6 +94,13 @@ def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
     return out.select(F.least("fa", "fb").alias("u"), F.greatest("fa", "fb").alias("v")).distinct()
 
 
+def rooted(prints: DataFrame, budget: int = 3) -> DataFrame:
+    """fp, low (smallest doc_id) and root (smallest fingerprint that links reach) of each distinct fingerprint."""
+    vertex = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(trie_links(vertex, budget))
+    return vertex.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest id that links reach).
 
@@ -104,18 +109,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_col:
     is no component's name unless all its ids are null. Rows repeated whole give equal rows.
     """
     prints = written(with_fingerprints(docs, shingle, id_col), "fingerprints")
-    vertex = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(trie_links(vertex, budget))
-    root = vertex.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    root = rooted(prints, budget)
     low = root.groupBy("root").agg(F.min("low").alias("component_id"))
     named = written(root.join(low, "root").select(F.col("fp").alias("v_fp"), "component_id"), "vertices")
     return prints.join(named, F.col("fp") == F.col("v_fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group: that of its smallest id; of rows with that id, one. Columns stay as they are.
+    """One document of each group: the one with its smallest id (null ids last, ties by a hash of the text).
 
-    Documents without words are no copies of each other's content, but share a fingerprint, so one stays.
+    Columns stay as they are. Rows repeated whole are one; ids may repeat or be null without any loss,
+    as rows are told apart by id and text. All documents without words are one group.
     """
-    ids = near_duplicates(docs, shingle, budget, id_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("kept_id"))).drop("kept_id").dropDuplicates([id_col])
+    prints = written(with_fingerprints(docs, shingle, id_col, keyed=True), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    root = rooted(prints, budget).join(first.withColumnRenamed("fp", "f_fp"), F.col("fp") == F.col("f_fp"))
+    kept = root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key_"))
+    return docs.withColumn("key_", row_key(id_col)).join(kept, "key_", "left_semi").dropDuplicates(["key_"]).select(*docs.columns)
