@@ -45,18 +45,18 @@ def fold(c: Column) -> Column:
 
 
 def fold_terms(c: Column, min_len: int = 3, stop: Sequence[str] = (), plural: bool = True, stem: int = 6) -> Column:
-    """All terms in order, repeats kept: letters only, stop words out, accents folded, final s of words over 4 cut, prefix stem."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"(\p{{L}}{{{min_len},}})"), F.lit(1))
-    if stop:
-        words = F.filter(words, lambda w: ~w.isin(*stop))
-
-    def shape(w: Column) -> Column:
-        w = F.translate(w, ACCENTED, FOLDED)
-        if plural:
-            w = F.when((F.length(w) > 4) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-        return F.substring(w, 1, stem) if stem else w
+    """All terms in order, repeats kept: letters only, stop words out, accents folded, final s of words over 4 cut, prefix stem.
 
-    return F.transform(words, shape)
+    Done on the whole text, without a function per word: folding maps letters to letters, so words stay
+    apart, and one pattern takes each word's stem (what stands before a final s, if that is within the
+    stem, else its first letters) and runs over the rest.
+    """
+    low = F.lower(F.coalesce(c, F.lit("")))
+    if stop:
+        low = F.regexp_replace(low, rf"(?<!\p{{L}})(?:{'|'.join(sorted(stop))})(?!\p{{L}})", " ")
+    most = stem or ""
+    cut = rf"\p{{L}}{{4,{stem - 1 if stem else ''}}}(?=s(?!\p{{L}}))|" if plural else ""
+    return F.regexp_extract_all(F.translate(low, ACCENTED, FOLDED), F.lit(rf"({cut}\p{{L}}{{{min_len},{most}}})\p{{L}}*"), F.lit(1))
 
 
 def fold_tokens(c: Column, min_len: int = 3, stop: Sequence[str] = (), plural: bool = True, stem: int = 6) -> Column:

@@ -26,20 +26,11 @@ def lexemes(units: DataFrame, text: str = "text", **shape) -> DataFrame:
     return units.select("version", "unit_key", F.posexplode(fold_terms(F.col(text), **shape)).alias("position", "term"))
 
 
-#: Units longer than this go through a grouping, as work inside a row grows with terms times distinct terms.
-LONG_UNIT_BYTES = 4096
-
-
-def build_postings(units: DataFrame, text: str = "text", long_unit: int = LONG_UNIT_BYTES, **shape) -> DataFrame:
-    """(version, term, unit_key) with tf and sorted positions. A short unit's terms are put together inside its row, without a shuffle."""
-    size = F.coalesce(F.octet_length(text), F.lit(0))
-    terms = fold_terms(F.col(text), **shape).alias("terms")
-    one = units.filter(size <= long_unit).select("version", "unit_key", terms).select("version", "unit_key", "terms", F.explode(F.array_distinct("terms")).alias("term"))
-    positions = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.get("terms", i) == F.col("term"))
-    short = one.select("version", "term", "unit_key", positions.alias("positions"))
-    each = units.filter(size > long_unit).select("version", "unit_key", terms).select("version", "unit_key", F.posexplode("terms").alias("position", "term"))
-    many = each.groupBy("version", "term", "unit_key").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return short.union(many).withColumn("tf", F.size("positions"))
+def build_postings(units: DataFrame, text: str = "text", **shape) -> DataFrame:
+    """(version, term, unit_key) with tf and sorted positions. Terms meet within their unit before the shuffle, so one row per posting moves, however often a term repeats."""
+    each = units.select("version", "unit_key", F.posexplode(fold_terms(F.col(text), **shape)).alias("position", "term"))
+    p = each.groupBy("version", "term", "unit_key").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    return p.withColumn("tf", F.size("positions"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
