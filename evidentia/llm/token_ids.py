@@ -11,10 +11,12 @@ import numpy as np
 #: Inside a run of white space a space would be cut off from its neighbours; such texts are encoded whole.
 _WHOLE = re.compile(r"\s \s|\s\s\Z| \Z")
 #: Words that a worker remembers, in an older and a newer half, and characters it splits at once.
-_MEMO, _BLOCK = 1_000_000, 300_000
+_MEMO, _BLOCK = 1_500_000, 300_000
 #: Stands between words that are encoded together. It takes part in no merge, so it changes no ids.
 _MARK = "\x01"
-_ALONE = re.compile(r"\x01|\s\s\Z|\A(?! )")
+_ALONE = re.compile(r"\x01|\s\s\Z|\A(?! |[^\W\d_]+\Z)")
+#: Letters with punctuation behind them, and perhaps another line's first word: both vocabularies split these.
+_PARTS = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)(?:(\n)([^\W\d_]+)([.,;:!?]*))?")
 
 
 @functools.lru_cache(maxsize=4)
@@ -39,6 +41,18 @@ def encoder(name: str, keep_spaces: bool):
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(words):
+        made = {}
+        for w in words:
+            m = _PARTS.fullmatch(w)
+            if m and m[1].strip().isalpha() and (m[4] or "a").isalpha():
+                made[w] = [x for x in m.groups() if x]
+        wanted = {w for w in words if w not in made}.union(*made.values())
+        fetch([w for w in wanted if w not in new])
+        new.update((w, b"".join(map(new.__getitem__, x))) for w, x in made.items())
+
+    def fetch(words):
+        new.update((w, old[w]) for w in words if w in old)
+        words = [w for w in words if w not in new]
         alone = [w for w in words if (_ALONE.search(w) if keep_spaces else _MARK in w)]
         new.update(zip(alone, ids(alone), strict=True))
         words = [w for w in words if w not in new]
