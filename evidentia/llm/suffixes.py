@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +25,24 @@ _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
 def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``x`` in the order of their suffixes' first ``depth`` symbols (at least), by doubling."""
-    n, rank, known = len(x), x.astype(np.int64), 1
+    n, known = len(x), 7
+    wide = np.concatenate([x.astype(np.int64) + 1, np.zeros(known, dtype=np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for i in range(known):  # nine bits hold a symbol: seven symbols at once to begin with
+        key = key * 512 + wide[i : i + n]
     while True:
-        ahead = np.zeros(n, dtype=np.int64)
-        if known < n:
-            ahead[: n - known] = rank[known:] + 1
-        key = rank * (int(rank.max()) + 2) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
-        known *= 2
-        if known >= depth or (n and new[-1] == n - 1):
+        if known >= depth or new[-1] == n - 1:
             return order
+        ahead = np.zeros(n, dtype=np.int64)
+        if known < n:
+            ahead[: n - known] = rank[known:] + 1
+        key = rank * (int(rank.max()) + 2) + ahead
+        known *= 2
 
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
@@ -57,7 +60,7 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     order = suffix_order(x, length + 1)
     before = x[order - 1]  # the transform; position 0 wraps to the last separator
     to = np.empty(n, dtype=np.int64)
-    to[np.argsort(before, kind="stable")] = np.arange(n)  # from a row to that of its suffix with the symbol before
+    to[np.argsort(before.astype(np.uint16), kind="stable")] = np.arange(n)  # from a row to that of its suffix with the symbol before
     prefix = np.full(n + 1, -1, dtype=np.int64)
     prefix[0] = prefix[n] = 0
     low, high = np.array([0]), np.array([n])
@@ -71,7 +74,7 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
         if not len(row):
             break
         key = own * 257 + c
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key * len(key) + np.arange(len(key)))
         new = np.append(True, key[by][1:] != key[by][:-1])
         first, last = by[new], by[np.append(new[1:], True)]
         low, high = to[row[first]], to[row[last]] + 1
@@ -175,12 +178,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", k
         if out:
             yield pd.DataFrame(out, columns=["doc_id", "th", "anchor", "ctx", "lo", "hi"])
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["key", "th"]].assign(packed=[zlib.compress(t.encode(), 1) for t in pdf["text"]])
-
     keyed = d.select(F.col("doc_id").cast("string").alias("key"), "th", "text")
     often = d.select("text").mapInPandas(anchors, "a long").groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    often = written(often, "anchors")  # so that the join below has exchanges of its own, which can be split where an anchor is hot
     rows = keyed.mapInPandas(places, "doc_id string, th long, anchor long, ctx long, lo long, hi long")
     rows = written(rows.join(often, F.col("anchor") == F.col("a"), "left_semi"), "places")
     ctxs = written(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep")), "contexts")
@@ -194,15 +194,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", k
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
-            for data, own in zip(pdf["packed"], pdf["reads"], strict=True):
-                data = zlib.decompress(data)
+            for t, own in zip(pdf["text"], pdf["reads"], strict=True):
+                data = t.encode()
                 out += [(r["anchor"], r["ctx"], r["n"], r["m"], data[r["lo"] : r["hi"] + length]) for r in own]
                 if len(out) > ROWS:
                     yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "m", "data"])
                     out = []
             yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "m", "data"])
 
-    texts = keyed.mapInPandas(packed, "key string, th long, packed binary").join(joined(reads), on).select("packed", "reads")
+    texts = keyed.join(joined(reads), on).select("text", "reads")
     texts = written(texts.mapInPandas(contexts, "anchor long, ctx long, n long, m long, data binary").dropDuplicates(["anchor", "ctx"]), "context-bytes")
     n_buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET_BYTES))
 
@@ -231,8 +231,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", k
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, data, gone in zip(pdf["key"], pdf["packed"], pdf["gone"], strict=True):
-                data, kept, at, spans_ = zlib.decompress(data), [], 0, 0
+            for key, t, gone in zip(pdf["key"], pdf["text"], pdf["gone"], strict=True):
+                data, kept, at, spans_ = t.encode(), [], 0, 0
                 end = -1
                 for r in gone if gone is not None else ():
                     if r["from"] > end:
@@ -245,6 +245,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", k
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-    out = keyed.mapInPandas(packed, "key string, th long, packed binary").join(gone, on, "left").select("key", "packed", "gone")
+    out = keyed.join(gone, on, "left").select("key", "text", "gone")
     out = out.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
