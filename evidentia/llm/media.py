@@ -32,7 +32,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each line starts with filter type 0
     lines[:, 1:] = rows
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return SIGN + part(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 1)) + part(b"IEND", b"")
+    return SIGN + part(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
 
 
 def from_png(stored: bytes) -> bytes:
@@ -140,7 +140,7 @@ def resolve(pages: DataFrame, media: DataFrame, page_col: str = "html") -> DataF
     return items.join(media.withColumnRenamed("digest", "m_digest"), F.col("digest") == F.col("m_digest"), "left").drop("m_digest")
 
 
-STORED = "media_key string, n_bytes long, digest string, stored binary, page string"
+STORED = "media_key binary, n_bytes long, digest string, stored binary, page string"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -162,18 +162,18 @@ def store(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """One row per digest, from the stored bytes alone: payload and media sizes and hashes, and the feature."""
-    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """From the stored bytes alone: their digest, payload and media sizes, the payload's hashes, and the feature."""
+    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for digest, png in zip(pdf["digest"], pdf["stored"], strict=True):
+            for png in pdf["stored"]:
                 x = from_png(png)
-                rows.append((digest, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature(x)))
+                rows.append((hashlib.sha256(png).hexdigest(), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(png), feature(x)))
             yield pd.DataFrame(rows, columns=names)
 
-    return stored.select("digest", "stored").mapInPandas(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("stored").mapInPandas(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -185,6 +185,6 @@ def document_media(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     stored = written(store(docs, id_col), "media")
     figures = written(read_back(stored).dropDuplicates(["digest"]), "figures")
     pages = stored.select("media_key", "n_bytes", "page").dropDuplicates(["media_key"])
-    found = resolve(pages, figures, "page").filter("kind = 'media'").drop("kind", "text", "digest")
+    found = resolve(pages, figures, "page").filter("kind = 'media'").drop("kind", "text")
     ids = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col).alias("key"))
-    return ids.join(found, F.col("key") == F.col("media_key")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return ids.join(found, F.col("key") == F.col("media_key")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")

@@ -27,6 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A key that only rows of equal id and text share; a null id or text has a key as well."""
+    """A key of sixteen bytes that only rows of equal id and text share; a null id or text has a key as well."""
     text = F.col(text_col)
-    return F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.when(text.isNull(), "n").otherwise(F.concat(F.lit("t"), text))), 256)
+    both = F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.when(text.isNull(), "n").otherwise(F.concat(F.lit("t"), text)))
+    return F.unhex(F.substring(F.sha2(both, 256), 1, 32))
