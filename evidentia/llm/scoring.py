@@ -61,14 +61,21 @@ def unpack_sorted(data: bytes) -> np.ndarray:
         return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-def small(n: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest, led by that width."""
-    width = 1 if not len(n) or n.max() < 2**8 else 2 if n.max() < 2**16 else 8
-    return bytes([width]) + n.astype(f"<u{width}").tobytes()
-
-
-def large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def small(n: np.ndarray, usual: int) -> bytes:
+    """Counts as a bit for each that is not the usual one, and those in the fewest bytes that hold the largest."""
+    odd = n != usual
+    rest = n[odd]
+    width = 1 if not len(rest) or rest.max() < 2**8 else 2 if rest.max() < 2**16 else 8
+    return bytes([width]) + len(n).to_bytes(4, "little") + np.packbits(odd).tobytes() + rest.astype(f"<u{width}").tobytes()
+
+
+def large(data: bytes, usual: int) -> np.ndarray:
+    n = int.from_bytes(data[1:5], "little")
+    bits = -(-n // 8)
+    odd = np.unpackbits(np.frombuffer(data, np.uint8, count=bits, offset=5), count=n).astype(bool)
+    out = np.full(n, usual, dtype=np.int64)
+    out[odd] = np.frombuffer(data, f"<u{data[0]}", offset=5 + bits)
+    return out
 
 
 def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
@@ -112,18 +119,19 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
             cuts = np.searchsorted(keys, np.array([(i << BITS) // n_buckets for i in range(1, n_buckets)], dtype=np.uint64))
             for bucket, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(count, cuts), strict=True)):
                 if len(k):
-                    rows.append((bucket, block, n, pack_sorted(k), small(c)))
+                    rows.append((bucket, block, n, pack_sorted(k), small(c, 1)))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "counts"])
 
     def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each block's n-grams in this bucket, the corpus counts, in the block's order."""
+        """For each block's n-grams in this bucket, the other blocks' counts, in the block's order."""
         rows = []
         for n, own in pdf.groupby("n"):
             keys = [unpack_sorted(x) for x in own["keys"]]
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([large(x) for x in own["counts"]])).astype(np.int64)[at]
-            for block, part in zip(own["block"], np.split(sums, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-                rows.append((pdf["bucket"].iloc[0], block, n, small(part)))
+            mine = np.concatenate([large(x, 1) for x in own["counts"]])
+            others = np.bincount(at, weights=mine).astype(np.int64)[at] - mine
+            for block, part in zip(own["block"], np.split(others, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+                rows.append((pdf["bucket"].iloc[0], block, n, small(part, 0)))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "counts"])
 
     counts = d.groupBy("block").applyInPandas(counted, "bucket int, block int, n int, keys binary, counts binary")
@@ -139,10 +147,10 @@ def _scored(d: DataFrame, answers: DataFrame, words: int, order: int, backoff: f
             return pd.DataFrame(columns=names)
         found, own, rest = hashed(left["packed"]), [], []
         for n in range(order):
-            keys = np.unique(np.concatenate([f[n] for f in found]))
-            mine = right[right["n"] == n].sort_values("bucket")
+            keys, here = np.unique(np.concatenate([f[n] for f in found]), return_counts=True)
+            told = right[right["n"] == n].sort_values("bucket")
             own.append(keys)
-            rest.append(np.concatenate([large(x) for x in mine["counts"]]) if len(mine) else np.zeros(0, dtype=np.int64))
+            rest.append(here + np.concatenate([large(x, 0) for x in told["counts"]]) if len(told) else here)
         rows = []
         for doc, f in zip(left["id"], found, strict=True):
             w = len(f[0])
