@@ -34,6 +34,15 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 QUESTIONS = """questions as (select item_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') as question, version, item_id || '-' || version as question_id
  from benchmark, (values ('de'), ('en'), ('es'), ('fr')) v(version))"""
 
+
+def whole_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each whole benchmark passage, asked of each language."""
+    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+    return b.select("*", F.explode(F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))).alias("version")).withColumn("question_id", F.concat_ws("-", "item_id", "version"))
+
+
+WHOLE_QUESTIONS = QUESTIONS.replace("array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ')", "text")
+
 #: DuckDB form of fold_terms and fold_tokens over an expression.
 def terms_sql(x: str, stop: bool = False, min_len: int = 3, plural: bool = True, stem: int = 6) -> str:
     words = f"regexp_extract_all(lower(coalesce({x}, '')), '\\p{{L}}{{{min_len},}}')"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators import index, retrieve
-from evidentia.plans.inputs import POSTINGS, QTERMS, QUESTIONS, TREE, UNITS, questions, sql, t, tree, units, vectors
-from evidentia.plans.registry import query
+from evidentia.plans.inputs import POSTINGS, QTERMS, QUESTIONS, TREE, UNITS, WHOLE_QUESTIONS, questions, sql, t, tree, units, vectors, whole_questions
+from evidentia.plans.registry import ORACLE_SQL, query
 
 C = F.col
 HITS = "hits as (select q.question_id, q.slot, q.n_terms, p.unit_key, p.tf, p.positions from qterms q join postings p using (version, term))"
@@ -180,3 +180,48 @@ def _(s, d):
     a, b = channels(s, d)
     c = a.select("question_id", "id", "rank", F.lit("price").alias("channel")).union(b.select("question_id", "id", "rank", F.lit("date").alias("channel")))
     return retrieve.rank_of(c, t(s, d, "orders").filter("o_orderkey % 7 = 0").select(C("o_custkey").alias("question_id"), C("o_orderkey").alias("id")), ["price", "date"])
+
+
+def whole(name: str) -> str:
+    """The SQL of a query over short questions, asked with whole passages."""
+    return ORACLE_SQL[name].replace(QUESTIONS.replace("1, 12", "1, 2"), WHOLE_QUESTIONS).replace(QUESTIONS, WHOLE_QUESTIONS)
+
+
+@query("F1_search_strict_whole", whole("F1_search_strict"))
+def _(s, d):
+    return retrieve.search_strict(whole_questions(s, d), index.build_postings(units(s, d)))
+
+
+@query("F2_search_relaxed_or_whole", whole("F2_search_relaxed_or"))
+def _(s, d):
+    return retrieve.search_relaxed_or(whole_questions(s, d), index.build_postings(units(s, d)))
+
+
+@query("F3_search_weighted_coverage_whole", whole("F3_search_weighted_coverage"))
+def _(s, d):
+    u = units(s, d)
+    p, n = index.build_postings(u), index.corpus_size(u)
+    return retrieve.search_weighted_coverage(whole_questions(s, d), p, index.idf_weights(index.document_frequency(p), n), n)
+
+
+@query("F4_lexical_search_whole", whole("F4_lexical_search"))
+def _(s, d):
+    return retrieve.lexical_search(whole_questions(s, d), index.build_postings(units(s, d)), 20)
+
+
+@query("F15_search_context_all", ORACLE_SQL["F15_search_context"].removesuffix(" where o_orderkey % 10 = 3"))
+def _(s, d):
+    """Every order is traced."""
+    o = t(s, d, "orders").select("o_orderkey", C("o_custkey").cast("long").alias("version"))
+    v = t(s, d, "customer").select(C("c_custkey").cast("long").alias("version"), C("c_nationkey").alias("act"), "c_name", C("c_custkey").alias("snapshot_id"))
+    a = t(s, d, "nation").select(C("n_nationkey").alias("act"), "n_name")
+    good, _ = retrieve.search_context(o, v, a, t(s, d, "customer").select(C("c_custkey").alias("snapshot_id")))
+    return good.select("o_orderkey", "c_name", "n_name")
+
+
+@query("F17_rank_of_all", ORACLE_SQL["F17_rank_of"].replace(" where o_orderkey % 7 = 0", ""))
+def _(s, d):
+    """Every order is ranked; those that a channel lacks are null there."""
+    a, b = channels(s, d)
+    c = a.select("question_id", "id", "rank", F.lit("price").alias("channel")).union(b.select("question_id", "id", "rank", F.lit("date").alias("channel")))
+    return retrieve.rank_of(c, t(s, d, "orders").select(C("o_custkey").alias("question_id"), C("o_orderkey").alias("id")), ["price", "date"])
