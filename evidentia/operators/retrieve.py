@@ -164,6 +164,23 @@ def promote_caput(cands: DataFrame, limit: int) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).drop("c_q", "c_path", "seed", "row")
 
 
+def hybrid_search(questions: DataFrame, question_vectors: DataFrame, postings: DataFrame, vectors: DataFrame, elements: DataFrame, limit: int = 10, depth: int = 200) -> DataFrame:
+    """Lexical and vector channels of ``depth`` each, fused, boosted for short questions, by parent text and for openings of articles; best ``limit`` (at least ten for short questions).
+
+    ``questions``: question_id (long), version, question; ``question_vectors``: question_id, vector; ``vectors``: id (long),
+    vector; ``elements``: key (long), parent_key, text, element_type, path. Units of ``postings`` are ids as text.
+    """
+    lex = lexical_search(questions, postings, depth).select("question_id", F.col("unit_key").cast("long").alias("id"), "rank")
+    vec = vector_search(question_vectors, vectors, depth).select("question_id", "id", "rank")
+    asked = query_terms(questions).select("question_id", "question", "is_short")
+    x = short_query_boost(reciprocal_rank_fusion([lex, vec]).drop("rank").join(asked, "question_id"))
+    x = attach_parent_text(x.withColumn("rrf_score", F.col("boosted")), elements)
+    x = x.join(elements.select(F.col("key").alias("id"), "text", "element_type", "path"), "id", "left")
+    x = parent_union_boost(x).withColumn("score", F.col("contextual_score"))
+    most = F.when(F.col("is_short"), max(10, limit)).otherwise(limit)
+    return promote_caput(x, limit).filter(F.col("rank") <= most).select("question_id", "id", "rank_0", "rank_1", "boosted", "contextual_score", "score", "rank")
+
+
 def expand_children(found: DataFrame, tree: DataFrame, most: int = 8, factor: float = 0.85, k: int = 10) -> DataFrame:
     """Children of found parents, unless a parent has more than ``most``; an only grandchild (an article's sole opening) stands for its child."""
     kids = tree.select(F.col("parent").alias("id"), "child", "child_order", F.count("*").over(Window.partitionBy("parent")).alias("n")).filter(F.col("n") <= most)

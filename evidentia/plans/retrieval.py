@@ -149,16 +149,15 @@ def _(s, d):
 
 @query("F7_hybrid_search")
 def _(s, d):
-    """Lexical and vector channels of 200 each over documents, fused, boosted for short questions, ten kept."""
-    docs = t(s, d, "documents").select(F.lit("v").alias("version"), C("doc_id").cast("string").alias("unit_key"), "text")
-    q = t(s, d, "benchmark").select(C("item_id").cast("long").alias("question_id"), F.lit("v").alias("version"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"))
-    lex = retrieve.lexical_search(q, index.build_postings(docs), 200).select("question_id", C("unit_key").cast("long").alias("id"), "rank")
+    """Whole benchmark passages over documents in articles of eight, of which the first is the opening and the others are items."""
+    docs = t(s, d, "documents").select(F.lit("v").alias("version"), C("doc_id").cast("string").alias("unit_key"), C("doc_id").cast("long").alias("key"), "text")
+    q = t(s, d, "benchmark").select(C("item_id").cast("long").alias("question_id"), F.lit("v").alias("version"), C("text").alias("question"))
     v = vectors(s, d)
-    vec = retrieve.vector_search(v.join(q.select(C("question_id").alias("id")), "id", "left_semi").select(C("id").alias("question_id"), "vector"), v, 200)
-    fused = retrieve.reciprocal_rank_fusion([lex, vec.select("question_id", "id", "rank")])
-    short = retrieve.query_terms(q).select("question_id", "is_short")
-    b = retrieve.short_query_boost(fused.join(short, "question_id"))
-    return index.top_k(b.select("question_id", "id", "boosted"), "question_id", [F.desc("boosted"), "id"], 10)
+    qv = v.join(q.select(C("question_id").alias("id")), "id", "left_semi").select(C("id").alias("question_id"), "vector")
+    article, item = F.floor(C("key") / 8), C("key") % 8
+    path = F.concat(F.lit("@root/ARTICLE:"), article.cast("string"), F.when(item == 0, "/@caput").otherwise(F.concat(F.lit("/INCISO:"), item.cast("string"))))
+    elements = docs.select("key", F.when(item != 0, article * 8).alias("parent_key"), "text", F.when(item == 0, "ARTICLE").otherwise("ITEM").alias("element_type"), path.alias("path"))
+    return retrieve.hybrid_search(q, qv, index.build_postings(docs.select("version", "unit_key", "text")), v.select("id", "vector"), elements).select("question_id", "id", C("score").alias("boosted"), "rank")
 
 
 @query("F15_search_context", "select o_orderkey, c_name, n_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderkey % 10 = 3")
