@@ -265,7 +265,7 @@ def _(s, d):
     from evidentia.plans.structures import lines
 
     path = scratch(s)
-    lines(s, d).repartition("doc_id").write.parquet(f"{path}/lines")
-    src = s.readStream.schema(s.read.parquet(f"{path}/lines").schema).parquet(f"{path}/lines")
+    lines(s, d).repartition(6).write.parquet(f"{path}/lines")
+    src = s.readStream.schema(s.read.parquet(f"{path}/lines").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/lines")
     stream.stream_materialize(src, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return s.read.parquet(f"{path}/table").select("doc_id", "document_order", "stable_key")

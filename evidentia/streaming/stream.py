@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evidentia.operators import corpus
@@ -33,10 +34,20 @@ def stream_store(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def stream_materialize(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Provisions of each micro-batch of blocks, overwritten by version."""
+    """Provisions of the documents that a micro-batch of blocks touches, from all their blocks so far, overwritten by version.
+
+    Blocks are kept beside the table, a folder for each batch, so a repeated batch replaces itself; of
+    blocks that come again for a document's position the last batch's counts.
+    """
+    kept = f"{path.rstrip('/')}-blocks"
 
     def add(batch: DataFrame, number: int) -> None:
-        p = corpus.reproject(batch.select("doc_id", "pos", "text"))
+        spark = batch.sparkSession
+        batch.select("doc_id", "pos", "text").write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        every = spark.read.schema(batch.select("doc_id", "pos", "text").schema.add("batch", "long")).option("basePath", kept).parquet(kept)
+        touched = every.filter(F.col("batch") == number).select("doc_id").distinct()
+        blocks = every.join(touched, "doc_id", "left_semi").groupBy("doc_id", "pos").agg(F.max_by("text", "batch").alias("text"))
+        p = corpus.reproject(blocks)
         corpus.write_version(p.withColumn("version", p["doc_id"].cast("string")), path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
