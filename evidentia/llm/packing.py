@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,35 +15,40 @@ from pyspark.sql import types as T
 from evidentia.llm.store import written
 from evidentia.llm.token_ids import encoder
 
-#: Pieces of one length are numbered in this many salted groups, so that a frequent length is no single task.
-SALTS = 256
+#: Pieces that one task numbers, about: those of one length are dealt into as many salted groups as that takes.
+GROUP_ROWS = 500_000
 
 
 def pieces(docs: DataFrame, limit: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (and the ids as bytes, if asked for).
 
-    A document's ids end with ``end_id``; only those longer than ``limit`` are cut. Null text is empty.
+    A document's ids end with ``end_id``; only those longer than ``limit`` are cut, however long the text.
+    Null text is empty; ids may be null or repeat; an empty table gives an empty one; other columns are not looked at.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if keep_ids:
         schema = schema.add("ids", T.BinaryType())
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, step = encoder(tokenizer, False), 4 * limit
-        for pdf in batches:
-            rows = []
-            for key, ids in zip(pdf["k"], encode([t or "" for t in pdf["text"]]), strict=True):
-                ids += end
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((key, i, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if keep_ids else ()))
-            out = pd.DataFrame(rows, columns=schema.names)
-            yield out.astype({"doc_id": "Int64"}) if isinstance(id_type, T.LongType) else out
-
-    key = F.col(id_col).cast("string") if isinstance(id_type, T.LongType) else F.col(id_col)
-    return docs.select(key.alias("k"), "text").mapInPandas(cut, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, False)
+        for batch in batches:
+            ids, end = encode(batch.column("text"))
+            ids, end = np.insert(ids, end, end_id), end + np.arange(1, len(end) + 1)
+            size = np.diff(end, prepend=0)
+            n = -(-size // limit)
+            own = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * limit
+            length = np.minimum(limit, size[own] - start)
+            at, data = (end - size)[own] + start, memoryview(ids)
+            cols = [batch.column("k").take(pa.array(own)), piece.astype(np.int32), start, length, [zlib.crc32(data[a : a + m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]]
+            if keep_ids:
+                cols.append([bytes(data[a : a + m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)])
+            kinds = [batch.column("k").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=schema.names)
+
+    return docs.select(F.col(id_col).alias("k"), "text").mapInArrow(cut, schema)
 
 
 def best_two_fit(counts: np.ndarray, limit: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -119,11 +125,14 @@ def pack(parts: DataFrame, limit: int = 4096) -> DataFrame:
     sizes are summed up first) and find their place in the plan by rank. An empty table gives an empty one.
     """
     schema = parts.schema
-    parts = parts.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    sizes = written(parts.groupBy("length", "salt_").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(limit + 1, dtype=np.int64)
-    for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r["length"]] = r["n"]
+    salts = max(1, -(-int(counts.max()) // GROUP_ROWS))
+    parts = parts.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id() if salts > 1 else F.lit(0)), F.lit(salts)))
+    if salts > 1:
+        parts = written(parts, "salted")  # rows repeated whole are dealt out as well, once for all
+    sizes = written(parts.groupBy("length", "salt_").agg(F.count("*").alias("n")), "lengths")
     slots = plan_slots(best_two_fit(counts, limit), limit)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "salt_", F.coalesce(before, F.lit(0)).alias("before_"))

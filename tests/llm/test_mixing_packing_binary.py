@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -67,9 +68,16 @@ def test_memo_equals_tokenizer(name, spaces, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [r.text for r in docs.collect()] + ["a  b", "a   b", "a \n b", "\n\n x", " lead", "trail ", "x \n", "", " ", "don't 'll", "É é x", "tab\t b", "x\x1c y", "<|endoftext|> a", "ẞ İ"]
-    want = [np.array(e.ids, dtype="<u4").tobytes() for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
-    assert token_ids.encoder(name, spaces)(texts) == want
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    pool = [chr(c) for c in (*range(32, 0x250), *range(0x300, 0x530), *range(0x590, 0x600), *range(0x900, 0xE80), *range(0x1E00, 0x2070), *range(0x3000, 0x3100))]
+    texts = ["".join(rnd.choice(" \n.!?,'aB") if rnd.random() < 0.4 else rnd.choice(pool) for _ in range(rnd.randint(1, 8))) for _ in range(100_000)]
+    texts += ["İ!", "ALİ.", "qक़! क़.", "a\n\n\n b", "x\n\n X", "x\n"]
+    texts += [r.text for r in docs.collect()] + ["a  b", "a   b", "a \n b", "\n\n x", " lead", "trail ", "x \n", "", " ", "don't 'll", "É é x", "tab\t b", "x\x1c y", "<|endoftext|> a", "ẞ İ"]
+    want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
+    ids, ends = token_ids.encoder(name, spaces)(pa.array([*texts, None]))
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [*want, []]
 
 
 def brute_ids(name, end, texts):
@@ -139,8 +147,28 @@ def test_binary_round_trip(which, request, tmp_path):
 
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(3).integers(0, 2**63, 5000)).astype(np.uint64)
-    levels, slot = binary.build_index(keys)
-    assert sorted(slot) == list(range(len(keys))) and (binary.find_slots(levels, keys) == slot).all()
+    index, slot = binary.build_index(keys)
+    assert sorted(slot) == list(range(len(keys))) and (binary.find_slots(index, keys) == slot).all()
+    bits = np.unpackbits(index["bits"].view(np.uint8), bitorder="little")
+    assert bits.sum() == len(keys) and (index["ranks"] == np.append(0, np.cumsum(bits))[: len(bits) : binary.RANK_BITS]).all()
+    assert binary.find_slots(binary.build_index(keys[:0])[0], keys[:3]).tolist() == [-1] * 3
+
+
+def test_ids_too_wide_are_an_error(docs, tmp_path):
+    with pytest.raises(Exception, match="do not fit 1 bytes"):
+        binary.write_ids(docs, f"file://{tmp_path}/ids", width=1)
+
+
+def test_lookup_of_many_and_no_keys(spark, docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ids"
+    many = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "none"), (10**9, "repeated")] + [(10**9, "repeated")] * 300, "doc_id long, text string"))
+    binary.write_ids(many, path, shard_ids=500)
+    for few in (1_000, 0):
+        monkeypatch.setattr(binary, "FEW_SHARDS", few)
+        got = {r.doc_id: r.ids for r in binary.lookup(spark, path, many.select("doc_id")).collect()}
+        src = many.dropDuplicates(["doc_id"]).collect()
+        assert got == {r.doc_id: ids for r, ids in zip(src, brute_ids("byte_bpe_50k.json", 2, [r.text for r in src]), strict=True)}
+    assert binary.lookup(spark, path, many.select("doc_id").limit(0)).count() == 0
 
 
 def test_empty_tables(empty):
