@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.store import written
 
-#: Vectors of a leaf that one task compares; larger leaves are dealt out by salt.
-LEAF_ROWS = 20_000
+#: Entries that are compared at once: leaves are grouped into cells of about so many, larger leaves are dealt out by salt.
+LEAF_ROWS = 16_000
+#: Queries that are compared with a cell at once.
+QUERY_ROWS = 4_000
 
 
 @dataclass
 class Forest:
-    """Complete binary trees in arrays: node i has children 2i+1 and 2i+2."""
+    """Complete binary trees in arrays: node i has children 2i+1 and 2i+2; leaves are numbered from 0."""
 
     depth: int
     normals: list[np.ndarray]
@@ -29,22 +31,22 @@ class Forest:
         at = np.zeros(len(x), dtype=np.int64)
         for _ in range(self.depth):
             at = 2 * at + 1 + (np.einsum("ij,ij->i", x, self.normals[tree][at]) > self.cuts[tree][at])
-        return at
+        return at - len(self.cuts[tree])
 
-    def search(self, q: np.ndarray, counts: list[dict[int, int]], enough: int) -> list[tuple[int, int]]:
-        """Leaves of all trees in the order of one queue by margin, until they hold ``enough`` rows."""
-        queue, out, inner = [(-np.inf, t, 0) for t in range(len(self.normals))], [], len(self.cuts[0])
-        while queue and enough > 0:
+    def search(self, q: np.ndarray, counts: list[np.ndarray], used: int, enough: float) -> Iterator[tuple[int, int, int]]:
+        """Leaves of the first ``used`` trees in the order of one queue by margin, until they hold ``enough`` entries, with the entries so far."""
+        queue, held, inner = [(-np.inf, t, 0) for t in range(used)], 0, len(self.cuts[0])
+        margins = [self.normals[t] @ q - self.cuts[t] for t in range(used)]
+        while queue and held < enough:
             bound, t, node = heapq.heappop(queue)
+            m = margins[t]
             while node < inner:
-                m = float(q @ self.normals[t][node] - self.cuts[t][node])
-                near, far = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(bound, abs(m)), t, far))
+                near, far = (2 * node + 2, 2 * node + 1) if m[node] > 0 else (2 * node + 1, 2 * node + 2)
+                heapq.heappush(queue, (max(bound, abs(m[node])), t, far))
                 node = near
-            if node in counts[t]:
-                out.append((t, node))
-                enough -= counts[t][node]
-        return out
+            if n := counts[t][node - inner]:
+                held += n
+                yield t, node - inner, held
 
 
 def grow(sample: np.ndarray, depth: int, trees: int, seed: int) -> Forest:
@@ -71,18 +73,57 @@ def usable(vec: Column) -> Column:
     return F.coalesce(ok & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 4, leaf: int = 400, sample_rows: int = 20_000, share: float = 2.0, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def tuned(forest: Forest, counts: list[np.ndarray], n: int, asked: np.ndarray, near: list[np.ndarray], recall: float) -> tuple[int, float]:
+    """The number of trees and the budget (a share of all entries) that find ``recall`` of the tuning queries' true neighbours at the least cost.
+
+    A neighbour is found once the queue has come to its leaf in one of the trees, so the budget is a
+    quantile of what the neighbours need. No budget is above all entries of one tree, which is an exact search.
+    """
+    best, used = (1, 1.0), 1
+    while used <= len(forest.normals):
+        need = []
+        for q, x in zip(asked, near, strict=True):
+            at = np.full((used, len(counts[0])), np.inf)
+            for t, leaf, held in forest.search(q, counts, used, np.inf):
+                at[t, leaf] = held
+            if len(x):
+                need.append(np.min([at[t, forest.leaves(x, t)] for t in range(used)], axis=0))
+        share = float(np.quantile(np.concatenate(need), recall)) / n if need else 1.0
+        if share < best[1]:
+            best = (used, share)
+        used *= 2
+    return best
+
+
+def _closest(x: np.ndarray, low: np.ndarray, second: np.ndarray, q_id: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the ``k`` nearest of those whose rough squared distance is finite, and their distances; ties go to the smaller id."""
+    here = np.flatnonzero(np.isfinite(rough))
+    here = here[(low[here] != q_id) | (second[here] >= 0)]
+    if len(here) > k:
+        d = rough[here]
+        here = here[d <= np.partition(d, k - 1)[k - 1] + 1e-9 * (1 + float(q @ q))]
+    exact = np.sqrt(((x[here] - q) ** 2).sum(axis=1))
+    order = np.lexsort((np.where(low[here] == q_id, second[here], low[here]), exact))[:k]
+    return here[order], exact[order]
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 8, leaf: int = 100, sample_rows: int = 20_000, tune: int = 200, recall: float = 0.94, share: float | None = None, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row where ``queries`` holds.
 
     Equal vectors are one index entry that keeps its ``k + 1`` smallest ids, all that any answer can
     need, so a vector that a third of all rows share is one entry. The forest is grown on at most
-    ``sample_rows`` entries, chosen by hash, and sent to the tasks (at most 2^depth normals a tree, depth
-    at most 12); every entry is indexed. A query searches leaves of all trees through one queue until they
-    hold ``share`` times the number of entries (``trees`` would be an exact search; half of that keeps recall
-    above 0.9 even on directions without any structure, while clustered vectors need far less), and the rows of these leaves are compared
-    exactly, in double precision. Ties go to the smaller id. Unusable vectors take no part, nor do those of
+    ``sample_rows`` entries, chosen by hash, and sent to the tasks (at most 2^10 normals a tree); every entry is
+    indexed. A query searches leaves of all trees through one queue until they hold ``share`` times the number
+    of entries; those entries are compared exactly, in double precision. Unless ``share`` is given, it and the
+    number of trees are the cheapest that find ``recall`` of the true neighbours of ``tune`` entries, which
+    one pass over all entries finds: clustered vectors need few leaves, directions without structure
+    most of them. A budget of all entries of one tree (``share=1, trees=1``) is the exact way.
+
+    Leaves are grouped into cells; a query meets a cell once, whichever of its leaves it searches, and each
+    meeting gives its ``k`` nearest. Ties go to the smaller id. Unusable vectors take no part, nor do those of
     another length than the most frequent one (the longest, if tied). A null id takes no part; an id that
-    stands at several vectors is as many candidates, and the query's own id is none.
+    stands at several vectors is as many candidates, and the query's own id is none. Rows repeated whole are
+    one. An empty table, or one without usable vectors, gives an empty one; other columns are not looked at.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
@@ -96,54 +137,118 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 4, le
     entries = written(first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("entry", F.xxhash64("vec")), "entries")
     n = entries.count()
     sample = entries.orderBy("entry").limit(sample_rows).select("vec").toPandas()
-    depth = max(0, min(12, int(np.log2(max(1, n / leaf))), int(np.log2(max(1, len(sample) / 4)))))
-    forest = spark.sparkContext.broadcast(grow(np.array(sample["vec"].tolist()), depth, trees, seed))
+    depth = max(0, min(10, int(np.log2(max(1, n / leaf))), int(np.log2(max(1, len(sample) / 8)))))
+    forest = grow(np.array(sample["vec"].tolist()), depth, trees, seed)
+    shared = spark.sparkContext.broadcast(forest)
 
-    def placed(batches: Iterator[pd.DataFrame], split: list | None) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((trees, 2**depth), dtype=np.int64)
         for pdf in batches:
             x = np.array(pdf["vec"].tolist(), dtype=np.float64)
             for t in range(trees) if len(x) else ():
-                at = forest.value.leaves(x, t)
-                where = pd.DataFrame({"tree": t, "leaf": at})
-                if split:
-                    salt = pdf["entry"].to_numpy() % np.array([split[t][i] for i in at])
-                    where = where.assign(salt=salt, entry=pdf["entry"], ids=pdf["ids"], vec=pdf["vec"])
-                yield where
-
-    held = entries.select("vec").mapInPandas(lambda b: placed(b, None), "tree int, leaf long").groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-    counts: list[dict[int, int]] = [{} for _ in range(trees)]
-    for r in held.collect():  # trees * 2^depth rows at most
+                held[t] += np.bincount(shared.value.leaves(x, t), minlength=2**depth)
+        t, at = np.nonzero(held)
+        yield pd.DataFrame({"tree": t.astype(np.int32), "leaf": at, "n": held[t, at]})
+
+    counts = [np.zeros(2**depth, dtype=np.int64) for _ in range(trees)]
+    for r in entries.select("vec").mapInPandas(counted, "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():  # trees * 2^depth rows at most
         counts[r["tree"]][r["leaf"]] = r["n"]
-    salts = spark.sparkContext.broadcast(([{x: -(-c // LEAF_ROWS) for x, c in own.items()} for own in counts], counts))
+    used = trees
+    if share is None:
+        asked = entries.orderBy(F.desc("entry")).limit(tune).select("entry", "vec").toPandas()
+        used, share = tuned(forest, counts, n, np.array(asked["vec"].tolist()), _true_neighbours(entries, asked, k), recall)
+    cells, salts, size = [], [], max(1, LEAF_ROWS)
+    for t in range(used):
+        cells.append(np.zeros(2**depth, dtype=np.int64))
+        at = size
+        for i, c in enumerate(counts[t]):
+            if at + c > size:
+                salts.append(1)
+                at = 0
+            at += c
+            cells[t][i] = len(salts) - 1
+            salts[-1] = max(salts[-1], -(-int(c) // size))
+    routes = spark.sparkContext.broadcast((counts, cells, np.array(salts)))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, cells, salts = routes.value
+        for pdf in batches:
+            x = np.array(pdf["vec"].tolist(), dtype=np.float64)
+            for t in range(used) if len(x) else ():
+                at = shared.value.leaves(x, t)
+                cell = cells[t][at]
+                yield pd.DataFrame({"cell": cell, "salt": pdf["entry"].to_numpy() % salts[cell], "leaf": at, "entry": pdf["entry"], "ids": pdf["ids"], "vec": [row.tobytes() for row in x]})
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["ids"].tolist()
+        low = np.array([i[0] for i in ids], dtype=np.int64).tobytes()
+        second = np.array([i[1] if len(i) > 1 else -(2**63) for i in ids], dtype=np.int64).tobytes()
+        row = (pdf["cell"].iloc[0], pdf["leaf"].to_numpy(np.int64).tobytes(), pdf["entry"].to_numpy(np.int64).tobytes(), low, second, b"".join(pdf["vec"]))
+        return pd.DataFrame([row], columns=["cell", "leaf", "entry", "low", "second", "vec"])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, held = salts.value
+        counts, cells, _ = routes.value
         for pdf in batches:
-            rows = [(t, x, s, i, q) for i, q in zip(pdf["id"], pdf["vec"], strict=True) for t, x in forest.value.search(np.asarray(q), held, max(k + 1, int(n * share))) for s in range(split[t][x])]
-            yield pd.DataFrame(rows, columns=["t", "x", "s", "query_id", "q"])
-
-    asked = v.filter("asks").select("id", "vec").distinct().repartition(spark.sparkContext.defaultParallelism * 2, "id")
-    wanted = asked.mapInPandas(route, "t int, x long, s long, query_id long, q array<double>")
-    salted = entries.mapInPandas(lambda b: placed(b, salts.value[0]), "tree int, leaf long, salt long, entry long, ids array<long>, vec array<double>")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The nearest entries of one leaf for each query that searches it."""
-        out = []
-        if len(left) and len(right):
-            x, ids = np.array(right["vec"].tolist()), right["ids"].tolist()
-            own, entry = np.array([i[0] for i in ids]), right["entry"].to_numpy()
-            second = np.array([i[1] if len(i) > 1 else -1 for i in ids])
-            for q_id, q in zip(left["query_id"], left["q"], strict=True):
-                d = np.sqrt(((x - np.asarray(q)) ** 2).sum(axis=1))
-                low = np.where(own == q_id, second, own)
-                d = np.where((own == q_id) & np.array([len(i) == 1 for i in ids]), np.inf, d)
-                cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                near = np.flatnonzero(d <= cut)
-                near = near[np.lexsort((low[near], d[near]))][:k]
-                out += [(q_id, entry[i], ids[i], d[i]) for i in near if np.isfinite(d[i])]
-        return pd.DataFrame(out, columns=["query_id", "entry", "ids", "score"])
-
-    found = wanted.groupBy("t", "x", "s").cogroup(salted.groupBy("tree", "leaf", "salt")).applyInPandas(compare, "query_id long, entry long, ids array<long>, score double")
-    each = found.groupBy("query_id", "entry", "score").agg(F.first("ids").alias("ids")).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
+            rows = []
+            for i, q in zip(pdf["id"], pdf["vec"], strict=True):
+                own: dict[int, list[int]] = {}
+                for t, x, _ in shared.value.search(np.asarray(q), counts, used, max(k + 1, n * share)):
+                    own.setdefault(int(cells[t][x]), []).append(x)
+                rows += [(c, i, np.asarray(q).tobytes(), np.array(x, dtype=np.int64).tobytes()) for c, x in own.items()]
+            yield pd.DataFrame(rows, columns=["q_cell", "query_id", "q", "leaves"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The nearest entries of a cell for each query that searches some of its leaves."""
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                at, entry, low, second = (np.frombuffer(row[c], np.int64) for c in ("leaf", "entry", "low", "second"))
+                x = np.frombuffer(row["vec"], np.float64).reshape(len(at), -1)
+                squares, out = (x * x).sum(axis=1), []
+                for base in range(0, len(row["asked"]), 200):
+                    part = row["asked"][base : base + 200]
+                    q = np.array([np.frombuffer(p["q"], np.float64) for p in part])
+                    rough = squares - 2 * (q @ x.T) + (q * q).sum(axis=1)[:, None]
+                    for p, own, d in zip(part, q, rough, strict=True):
+                        seen = np.zeros(2**depth, dtype=bool)
+                        seen[np.frombuffer(p["leaves"], np.int64)] = True
+                        here, exact = _closest(x, low, second, p["query_id"], own, np.where(seen[at], d, np.inf), k)
+                        out.append(pd.DataFrame({"query_id": p["query_id"], "entry": entry[here], "score": exact}))
+                if out:
+                    yield pd.concat(out)
+
+    blocks = entries.mapInPandas(placed, "cell long, salt long, leaf long, entry long, ids array<long>, vec binary").groupBy("cell", "salt")
+    blocks = written(blocks.applyInPandas(packed, "cell long, leaf binary, entry binary, low binary, second binary, vec binary"), "blocks")
+    queries_ = written(v.filter("asks").select("id", "vec").distinct(), "queries")
+    groups = max(1, -(-queries_.count() // QUERY_ROWS))
+    wanted = queries_.repartition(max(groups, spark.sparkContext.defaultParallelism), "id").mapInPandas(route, "q_cell long, query_id long, q binary, leaves binary")
+    wanted = wanted.groupBy("q_cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "leaves")).alias("asked"))
+    met = blocks.repartition(max(len(salts), 2), "cell").join(wanted, F.col("cell") == F.col("q_cell")).drop("cell", "q_cell", "part")
+    found = met.mapInPandas(compare, "query_id long, entry long, score double").groupBy("query_id", "entry", "score").agg(F.lit(1).alias("one"))
+    ids = entries.select(F.col("entry").alias("e"), "ids")
+    each = found.join(ids, F.col("entry") == F.col("e")).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
     best = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _true_neighbours(entries: DataFrame, asked: pd.DataFrame, k: int) -> list[np.ndarray]:
+    """The vectors of the ``k`` nearest other entries of each of these few entries, by one pass over all."""
+    q, own = np.array(asked["vec"].tolist()), asked["entry"].to_numpy(np.int64)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[tuple[float, np.ndarray]]] = [[] for _ in own]
+        for pdf in batches:
+            x, entry = np.array(pdf["vec"].tolist(), dtype=np.float64), pdf["entry"].to_numpy(np.int64)
+            if len(x):
+                d = (x * x).sum(axis=1) - 2 * (q @ x.T) + (q * q).sum(axis=1)[:, None]
+                d[own[:, None] == entry] = np.inf
+                for i, row in enumerate(d):
+                    here = np.argpartition(row, k)[:k] if len(row) > k else np.arange(len(row))
+                    best[i] = sorted([*best[i], *((row[j], x[j]) for j in here if np.isfinite(row[j]))], key=lambda p: p[0])[:k]
+        yield pd.DataFrame([(i, d, x) for i, own_best in enumerate(best) for d, x in own_best], columns=["i", "d", "x"])
+
+    rows = entries.select("entry", "vec").mapInPandas(scan, "i int, d double, x array<double>")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d"))).filter(F.col("r") <= k).select("i", "x").collect()
+    near: list[list] = [[] for _ in own]
+    for r in rows:
+        near[r["i"]].append(r["x"])
+    return [np.array(x).reshape(len(x), -1) for x in near]
