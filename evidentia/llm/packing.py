@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from evidentia.llm.store import written
 from evidentia.llm.token_ids import encoder
 
-#: Pieces that one task numbers, about: those of one length are dealt into as many salted groups as that takes.
-GROUP_ROWS = 500_000
+#: Pieces that one task numbers at most, about, and the least number of salted groups that the pieces of a length are dealt into.
+GROUP_ROWS, LEAST_SALTS = 500_000, 64
 
 
 def pieces(docs: DataFrame, limit: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -128,10 +128,9 @@ def pack(parts: DataFrame, limit: int = 4096) -> DataFrame:
     counts = np.zeros(limit + 1, dtype=np.int64)
     for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r["length"]] = r["n"]
-    salts = max(1, -(-int(counts.max()) // GROUP_ROWS))
-    parts = parts.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id() if salts > 1 else F.lit(0)), F.lit(salts)))
-    if salts > 1:
-        parts = written(parts, "salted")  # rows repeated whole are dealt out as well, once for all
+    salts = max(LEAST_SALTS, -(-int(counts.max()) // GROUP_ROWS))
+    parts = parts.withColumn("salt_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    parts = written(parts, "salted")  # so that a row's group, which its number decides, is found once for all
     sizes = written(parts.groupBy("length", "salt_").agg(F.count("*").alias("n")), "lengths")
     slots = plan_slots(best_two_fit(counts, limit), limit)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1))
