@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.store import written
 
-#: Bytes of an anchor, start positions looked at together, bytes of contexts in a bucket, and contexts of one
-#: anchor beyond which its strings are counted one by one instead.
-ANCHOR, SEGMENT, BUCKET_BYTES, MOST_CONTEXTS = 32, 1 << 20, 1_000_000, 4_096
+#: Bytes of an anchor at first, start positions looked at together, bytes of contexts in a bucket, and contexts of
+#: one anchor beyond which its strings are dealt out anew by wider anchors.
+ANCHOR, SEGMENT, BUCKET_BYTES, MOST_CONTEXTS = 64, 1 << 20, 1_000_000, 512
 #: Rows that a task hands over at once.
 ROWS = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,17 +23,28 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+#: Bits of a position where position and sort key share one number; longer arrays are sorted by index.
+_PLACE = 21
+
+
+def ordered(key: np.ndarray, bits: int) -> np.ndarray:
+    """Positions in the order of keys of so many bits, ties by position. Numbers that carry their position sort many times faster than an index."""
+    if len(key) <= 1 << _PLACE and bits <= 63 - _PLACE:
+        return np.sort(key << _PLACE | np.arange(len(key))) & ((1 << _PLACE) - 1)
+    return np.argsort(key, kind="stable")
+
+
 def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``x`` in the order of their suffixes' first ``depth`` symbols (at least), by doubling."""
-    n, known = len(x), 7
+    n, known = len(x), 4
     wide = np.concatenate([x.astype(np.int64) + 1, np.zeros(known, dtype=np.int64)])
-    key = np.zeros(n, dtype=np.int64)
-    for i in range(known):  # nine bits hold a symbol: seven symbols at once to begin with
+    key, bits = np.zeros(n, dtype=np.int64), 9 * known
+    for i in range(known):  # nine bits hold a symbol: four symbols at once to begin with
         key = key * 512 + wide[i : i + n]
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        order = ordered(key, bits)
+        sorted_key = key[order]
+        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
         if known >= depth or new[-1] == n - 1:
@@ -41,7 +52,8 @@ def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
         ahead = np.zeros(n, dtype=np.int64)
         if known < n:
             ahead[: n - known] = rank[known:] + 1
-        key = rank * (int(rank.max()) + 2) + ahead
+        half = int(new[-1] + 1).bit_length()
+        key, bits = rank << half | ahead, 2 * half
         known *= 2
 
 
@@ -73,8 +85,8 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
             row, own, c = row[c > 0], own[c > 0], c[c > 0]
         if not len(row):
             break
-        key = own * 257 + c
-        by = np.argsort(key * len(key) + np.arange(len(key)))
+        key = own << 9 | c
+        by = ordered(key, 9 + len(low).bit_length())
         new = np.append(True, key[by][1:] != key[by][:-1])
         first, last = by[new], by[np.append(new[1:], True)]
         low, high = to[row[first]], to[row[last]] + 1
@@ -92,13 +104,13 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
-def anchored(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def anchored(data: bytes, length: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of starts whose ``length``-byte strings have the same anchor: first start, last start, anchor position.
 
-    A string's anchor is the place in it whose ``ANCHOR`` bytes have the smallest hash, the first if tied,
+    A string's anchor is the place in it whose ``width`` bytes have the smallest hash, the first if tied,
     so equal strings have equal anchors wherever they stand.
     """
-    w = length - ANCHOR + 1
+    w = length - width + 1
     for base in range(0, max(0, len(data) - length + 1), SEGMENT):
         x = _BYTES[np.frombuffer(data, np.uint8, count=min(SEGMENT + length - 1, len(data) - base), offset=base)]
         n = len(x)
@@ -110,7 +122,7 @@ def anchored(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
             powers[:] = _INVERSE
             powers[0] = 1
             np.multiply.accumulate(powers, out=powers)
-            h = (sums[ANCHOR:] - sums[:-ANCHOR]) * powers[: n - ANCHOR + 1]
+            h = (sums[width:] - sums[:-width]) * powers[: n - width + 1]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
         key = (h & ~np.uint64(0x1FFFFF)) | np.arange(len(h), dtype=np.uint64)
@@ -135,116 +147,123 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True)) if len(starts) else []
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left, if asked for) of each row.
+def widths(length: int) -> list[int]:
+    """Widths of anchors, each halfway from the last to whole strings, and at last those."""
+    out = [min(ANCHOR, length)]
+    while length - out[-1] > 50:
+        out.append((out[-1] + length) // 2)
+    return [w for w in out if w < length] + [length]
 
-    Every byte goes that is covered by a ``length``-byte string which also starts anywhere else, in the same
-    text or another; strings are judged on the input. Null text is empty. Rows repeated whole are each
-    other's copies.
-
-    A corpus has no single transform: strings are first dealt out by anchor, so that equal ones meet.
-    Anchors met once are dropped after a count that is summed map-side. Of the rest, equal contexts (all
-    bytes of the strings with one anchor) are counted: strings of a context met twice are repeated, however
-    many copies there are. Where one anchor has several contexts, each distinct context is read once and
-    buckets of whole anchors, of about ``BUCKET_BYTES``, are searched by interval expansion. For an anchor
-    with over ``MOST_CONTEXTS`` contexts, the strings are counted by hash instead, which no group bounds.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    id_type = d.schema["doc_id"].dataType.simpleString()
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[int] = []
-        for pdf in batches:
-            for t in pdf["text"]:
-                data = t.encode()
-                for _, _, at in anchored(data, length):
-                    out += [_key(data[p : p + ANCHOR]) for p in at.tolist()]
-                if len(out) > ROWS:
-                    yield pd.DataFrame({"a": out}, dtype="int64")
-                    out = []
-        yield pd.DataFrame({"a": out}, dtype="int64")
+def repeats(units: DataFrame, length: int, steps: list[int]) -> DataFrame:
+    """key, th, from, to: runs of starts whose strings start anywhere else too, for units of key, th, n (copies) and data.
+
+    Anchors of the first width in ``steps`` met once are dropped after a count that is summed map-side. Of
+    the rest, strings of a context (all bytes of the strings with one anchor) met twice are repeated, however many
+    copies there are. Where one anchor has several contexts, each distinct context is read once, and buckets
+    of whole anchors are searched by interval expansion. Contexts of an anchor with over ``MOST_CONTEXTS``
+    of them become units of their own, dealt out by the next width; at last an anchor is a whole string.
+    """
+    width, *wider = steps
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+        names, out = ["key", "th", "n", "anchor", "ctx", "lo", "hi"], []
         for pdf in batches:
-            for key, th, t in zip(pdf["key"], pdf["th"], pdf["text"], strict=True):
-                data = t.encode()
-                for lo, hi, at in anchored(data, length):
-                    out += [(key, th, _key(data[p : p + ANCHOR]), _key(data[a : b + length]), a, b) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
+            for key, th, n, data in zip(pdf["key"], pdf["th"], pdf["n"], pdf["data"], strict=True):
+                for lo, hi, at in anchored(data, length, width):
+                    out += [(key, th, n, _key(data[p : p + width]), _key(data[a : b + length]), a, b) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
                 if len(out) > ROWS:
-                    yield pd.DataFrame(out, columns=["doc_id", "th", "anchor", "ctx", "lo", "hi"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "th", "anchor", "ctx", "lo", "hi"])
-
-    keyed = d.select(F.col("doc_id").cast("string").alias("key"), "th", "text")
-    often = d.select("text").mapInPandas(anchors, "a long").groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
-    often = written(often, "anchors")  # so that the join below has exchanges of its own, which can be split where an anchor is hot
-    rows = keyed.mapInPandas(places, "doc_id string, th long, anchor long, ctx long, lo long, hi long")
-    rows = written(rows.join(often, F.col("anchor") == F.col("a"), "left_semi"), "places")
-    ctxs = written(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep")), "contexts")
-    mixed = ctxs.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("anchor", "a")
-    several = ctxs.join(mixed, F.col("anchor") == F.col("a")).select("anchor", "ctx", "n", "m", "rep.*")
-    reads = several.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "ctx", "n", "m", "lo", "hi")).alias("reads"))
-    reads = reads.withColumnRenamed("doc_id", "r_id").withColumnRenamed("th", "r_th")
-    joined = lambda side: side.withColumnRenamed("r_id", "x_id").withColumnRenamed("r_th", "x_th")
-    on = F.col("key").eqNullSafe(F.col("x_id")) & (F.col("th") == F.col("x_th"))
+            yield pd.DataFrame(out, columns=names)
+
+    every = written(units.mapInPandas(places, "key string, th long, n long, anchor long, ctx long, lo long, hi long"), "all-places")
+    often = written(every.groupBy("anchor").agg(F.sum("n").alias("c")).filter("c > 1").select(F.col("anchor").alias("a")), "anchors")
+    rows = written(every.join(often, F.col("anchor") == F.col("a"), "left_semi"), "places")
+    ctxs = written(rows.groupBy("anchor", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("key", "th", "lo", "hi")).alias("rep")), "contexts")
+    whole = ctxs.filter("n > 1").select("anchor", "ctx", F.lit(None).cast("array<struct<from:bigint,to:bigint>>").alias("part"))
+    if wider:
+        part = _searched(units, ctxs, length, wider).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("from", "to")).alias("part"))
+        whole = whole.union(part.select("anchor", "ctx", "part"))
+    hits = whole.withColumnsRenamed({"anchor": "h_anchor", "ctx": "h_ctx"})
+    covered = rows.join(hits, (F.col("anchor") == F.col("h_anchor")) & (F.col("ctx") == F.col("h_ctx")))
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("hi") - F.col("lo")).alias("to")))
+    return covered.select("key", "th", "lo", F.explode(F.coalesce("part", all_of)).alias("s")).select("key", "th", (F.col("lo") + F.col("s.from")).alias("from"), (F.col("lo") + F.col("s.to")).alias("to"))
+
+
+def _searched(units: DataFrame, ctxs: DataFrame, length: int, wider: list[int]) -> DataFrame:
+    """anchor, ctx, from, to: repeated starts inside contexts that occur once, of anchors with several contexts."""
+    count = ctxs.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("anchor", "a")
+    count = written(count, "mixed")
+    hot = count.filter(F.col("m") > MOST_CONTEXTS)
+    on = F.col("anchor") == F.col("a")
+    large = ctxs.join(hot, on).select("anchor", "ctx", "n", F.lit(True).alias("hot"), "rep.*")  # few anchors: their contexts are not brought together
+    rest = ctxs.join(hot, on, "left_anti").join(count.filter(F.col("m") <= MOST_CONTEXTS), on).select("anchor", "ctx", "n", F.lit(False).alias("hot"), "rep.*")
+    reads = large.union(rest).groupBy("key", "th").agg(F.collect_list(F.struct("anchor", "ctx", "n", "hot", "lo", "hi")).alias("reads"))
+    reads = reads.withColumnsRenamed({"key": "r_key", "th": "r_th"})
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
-            for t, own in zip(pdf["text"], pdf["reads"], strict=True):
-                data = t.encode()
-                out += [(r["anchor"], r["ctx"], r["n"], r["m"], data[r["lo"] : r["hi"] + length]) for r in own]
+            for data, own in zip(pdf["data"], pdf["reads"], strict=True):
+                out += [(r["anchor"], r["ctx"], r["n"], r["hot"], data[r["lo"] : r["hi"] + length]) for r in own]
                 if len(out) > ROWS:
-                    yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "m", "data"])
+                    yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "hot", "data"])
                     out = []
-            yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "m", "data"])
+            yield pd.DataFrame(out, columns=["anchor", "ctx", "n", "hot", "data"])
 
-    texts = keyed.join(joined(reads), on).select("text", "reads")
-    texts = written(texts.mapInPandas(contexts, "anchor long, ctx long, n long, m long, data binary").dropDuplicates(["anchor", "ctx"]), "context-bytes")
-    n_buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET_BYTES))
+    texts = units.join(reads, F.col("key").eqNullSafe(F.col("r_key")) & (F.col("th") == F.col("r_th"))).select("data", "reads")
+    texts = written(texts.mapInPandas(contexts, "anchor long, ctx long, n long, hot boolean, data binary").dropDuplicates(["anchor", "ctx"]), "context-bytes")
+    n_buckets = max(1, -(-(texts.filter("not hot").agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET_BYTES))
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
         found = repeated_starts(pdf["data"].tolist(), length)
         return pd.DataFrame([(a, c, a0, b0) for a, c, n, s in zip(pdf["anchor"], pdf["ctx"], pdf["n"], found, strict=True) if n == 1 for a0, b0 in runs(s)], columns=["anchor", "ctx", "from", "to"])
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, c, n, data in zip(pdf["anchor"], pdf["ctx"], pdf["n"], pdf["data"], strict=True):
-                yield pd.DataFrame([(a, c, n, i, xxhash.xxh3_128_hexdigest(data[i : i + length])) for i in range(len(data) - length + 1)], columns=["anchor", "ctx", "n", "from", "h"])
-
-    spans = "anchor long, ctx long, from long, to long"
-    few = texts.filter(F.col("m") <= MOST_CONTEXTS).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).groupBy("bucket").applyInPandas(expand, spans)
-    each = texts.filter(F.col("m") > MOST_CONTEXTS).mapInPandas(strings, "anchor long, ctx long, n long, from long, h string")
-    twice = each.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1").withColumnRenamed("h", "h2")
-    many = each.filter("n = 1").join(twice, F.col("h") == F.col("h2"), "left_semi").select("anchor", "ctx", "from", F.col("from").alias("to"))
-    part = few.union(many).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("from", "to")).alias("part"))
-    whole = ctxs.filter("n > 1").select("anchor", "ctx", F.lit(None).cast("array<struct<from:bigint,to:bigint>>").alias("part"))
-    hits = whole.union(part.select("anchor", "ctx", "part")).withColumnsRenamed({"anchor": "h_anchor", "ctx": "h_ctx"})
-    covered = rows.join(hits, (F.col("anchor") == F.col("h_anchor")) & (F.col("ctx") == F.col("h_ctx")))
-    all_of = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("hi") - F.col("lo")).alias("to")))
-    covered = covered.select("doc_id", "th", "lo", F.explode(F.coalesce("part", all_of)).alias("s")).select("doc_id", "th", (F.col("lo") + F.col("s.from")).alias("from"), (F.col("lo") + F.col("s.to") + length).alias("to"))
-    gone = covered.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("gone")).withColumnsRenamed({"doc_id": "x_id", "th": "x_th"})
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))
+    found = texts.filter("not hot").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(expand, "anchor long, ctx long, from long, to long")
+    if hot.isEmpty():
+        return found
+    more = repeats(texts.filter("hot").select(F.col("anchor").cast("string").alias("key"), F.col("ctx").alias("th"), "n", "data"), length, wider)
+    more = more.select(F.col("key").cast("long").alias("anchor"), F.col("th").alias("ctx"), "from", "to")
+    return found.union(more.join(texts.filter("hot and n = 1").select(F.col("anchor").alias("a"), F.col("ctx").alias("c")), (F.col("anchor") == F.col("a")) & (F.col("ctx") == F.col("c")), "left_semi"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left, if asked for) of each row.
+
+    Every byte goes that is covered by a ``length``-byte string which also starts anywhere else, in the same
+    text or another; strings are judged on the input. Null text is empty. Rows repeated whole are each
+    other's copies; ids may be null or repeat. An empty table gives an empty one; texts may be of any length;
+    other columns are not looked at.
+
+    A corpus has no single transform: strings are first dealt out by anchor, so that equal ones meet, and
+    buckets of about ``BUCKET_BYTES`` are then searched (see ``repeats``).
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"))
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    keyed = d.select(F.col("doc_id").cast("string").alias("key"), "th", F.lit(1).cast("long").alias("n"), "data")
+    covered = repeats(keyed, length, widths(length))
+    gone = covered.groupBy("key", "th").agg(F.array_sort(F.collect_set(F.struct("from", (F.col("to") + length).alias("to")))).alias("gone")).withColumnsRenamed({"key": "x_key", "th": "x_th"})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, t, gone in zip(pdf["key"], pdf["text"], pdf["gone"], strict=True):
-                data, kept, at, spans_ = t.encode(), [], 0, 0
-                end = -1
+            for key, data, gone in zip(pdf["key"], pdf["data"], pdf["gone"], strict=True):
+                kept, at, spans, end = [], 0, 0, -1
                 for r in gone if gone is not None else ():
                     if r["from"] > end:
-                        spans_ += 1
+                        spans += 1
                         kept.append(data[at : r["from"]])
                     end = max(end, r["to"])
                     at = end
                 kept = b"".join([*kept, data[at:]])
-                out.append((key, len(data), len(data) - len(kept), spans_, hashlib.sha256(kept).hexdigest()) + ((kept,) if keep_text else ()))
+                out.append((key, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if keep_text else ()))
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-    out = keyed.join(gone, on, "left").select("key", "text", "gone")
+    out = keyed.join(gone, F.col("key").eqNullSafe(F.col("x_key")) & (F.col("th") == F.col("x_th")), "left").select("key", "data", "gone")
     out = out.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))

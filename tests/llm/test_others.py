@@ -56,7 +56,7 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("which,most", [("docs", 4096), ("docs", 1), ("odd", 4096)])
+@pytest.mark.parametrize("which,most", [("docs", 512), ("docs", 1), ("odd", 512)])
 def test_repeats_are_removed(which, most, request, monkeypatch):
     monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
     d = request.getfixturevalue(which)
