@@ -16,7 +16,10 @@ def word_count(text: Column) -> Column:
 
 
 def ranked_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
-    """``weight`` 1, 2, ... ``cycle``, repeating, for sources by code point, null last."""
+    """``weight`` 1, 2, ... ``cycle``, repeating, for sources by code point, null last.
+
+    One task sorts one row per source, here and in ``source_targets``: meant for up to some millions of sources.
+    """
     order = Window.orderBy(F.col("source").isNull(), "source")
     return sources.withColumn("weight", ((F.row_number().over(order) - 1) % cycle + 1).cast("double"))
 
@@ -42,39 +45,73 @@ def source_targets(sources: DataFrame, max_repeats: int = 3) -> DataFrame:
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def draw(seed: int, *keys: str) -> Column:
+def draw(seed: int, *keys: Column) -> Column:
     """A number from 0 to 1 (exclusive) by MD5 of seed and keys; the same in each run."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]
+    parts = [F.coalesce(k.cast("string"), F.lit("null")) for k in keys]
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int = 3, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
-    """Each document with its size, source_size, target, rate, copies and taken words.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``no_``: 1 for rows whose (id_, digest_) stand once, else 1, 2, ... among their equals.
 
-    Sizes are summed per source (map-side first, so a hot source costs one row per task); a source's
-    rate is target / size; a document is emitted floor(rate) times plus one Bernoulli copy whose
-    probability is the fraction, drawn from a hash of seed and id. The table of targets has one row per
-    source; it is written, so that Spark broadcasts it only while its known size is under the threshold
-    and sort-merge joins it otherwise. Null text has size 0; null source is a source; rows repeated
-    whole have the same draw; an empty table gives an empty one. Columns of ``docs`` that clash with
-    the added names are replaced.
+    Equal rows are numbered inside each of the tasks that hold them, then tasks are put one after the other, so
+    no task gets more of them than one task has read. Which of the equals gets which number makes no difference.
     """
-    added = ("size", "source_size", "weight", "target", "rate", "copies", "taken")
-    docs = docs.drop(*(c for c in docs.columns if c in added))
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    again = rows.groupBy("id_", "digest_").agg(F.count("*").alias("n_")).filter("n_ > 1")
+    again = written(again.select(F.col("id_").alias("a_id"), F.col("digest_").alias("a_digest")), "repeated")
+    on = same("id_", "a_id") & same("digest_", "a_digest")
+    if again.isEmpty():
+        return rows.withColumn("no_", F.lit(1).cast("long"))
+    once = rows.join(again, on, "left_anti").withColumn("no_", F.lit(1).cast("long"))
+    more = rows.withColumn("task_", F.spark_partition_id()).join(again, on, "left_semi")
+    more = more.withColumn("at_", F.row_number().over(Window.partitionBy("id_", "digest_", "task_").orderBy("task_")))
+    held = more.groupBy("id_", "digest_", "task_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("id_", "digest_").orderBy("task_").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(F.col("id_").alias("h_id"), F.col("digest_").alias("h_digest"), F.col("task_").alias("h_task"), F.coalesce(before, F.lit(0)).alias("before_"))
+    more = more.join(held, same("id_", "h_id") & same("digest_", "h_digest") & (F.col("task_") == F.col("h_task")))
+    return once.unionByName(more.withColumn("no_", F.col("before_") + F.col("at_")).select(once.columns))
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, max_repeats: int, seed: int, id_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns of ``mix`` beside those of ``docs`` under names of their own, and what they were called."""
+    names = {f"in{i}_": c for i, c in enumerate(docs.columns)}
+    col = {c: F.col(i) for i, c in names.items()}
+    sized = docs.toDF(*names).select(*names, word_count(col["text"]).alias("size"), col["source"].alias("d_source"), col[id_col].alias("id_"), F.md5(col["text"]).alias("digest_"))
+    sources = sized.groupBy(F.col("d_source").alias("source")).agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = ranked_weights(sources)
     else:
         w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight")).dropDuplicates(["w_source"])
         sources = sources.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
-    targets = written(source_targets(sources, max_repeats).withColumnRenamed("source", "t_source"), "targets")
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "weight")
+    targets = written(source_targets(sources, max_repeats).select(F.col("source").alias("t_source"), "source_size", "target"), "targets")
+    out = _numbered(sized).join(targets, F.col("d_source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "d_source")
     out = out.withColumn("rate", F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), F.lit(float(max_repeats))))
-    out = out.withColumn("copies", (F.floor("rate") + (draw(seed, id_col) < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    out = out.withColumn("copies", (F.floor("rate") + (draw(seed, F.col("id_"), F.col("digest_"), F.col("no_")) < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    return out.withColumn("taken", F.col("size") * F.col("copies")), names
+
+
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int = 3, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
+    """Each document with its size, source_size, target, rate, copies and taken words.
+
+    Sizes are summed per source (map-side first, so a hot source costs one row per task); a source's
+    rate is target / size; a document is emitted floor(rate) times plus one Bernoulli copy whose
+    probability is the fraction, drawn from a hash of seed, id, text and, where rows agree in both, a
+    number among them: rows repeated whole, or without an id, are drawn each for itself. The table of targets
+    has one row per source; it is written, so that Spark broadcasts it only while its known size is under the
+    threshold and sort-merge joins it otherwise. Null text has size 0, as have empty ones; texts may be of any
+    length; null source is a source; an empty table gives an empty one. Columns of ``docs`` that clash with
+    the added names are left out here; ``emit`` keeps them.
+    """
+    out, names = _mixed(docs, weights, max_repeats, seed, id_col)
+    return out.select(*(F.col(i).alias(c) for i, c in names.items() if c not in ADDED), *ADDED)
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixture itself: every document as often as its copies say."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).drop("copy_")
+def emit(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int = 3, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
+    """The mixture itself: every document as often as its copies in ``mix`` say, with the columns of ``docs`` as they are."""
+    out, names = _mixed(docs, weights, max_repeats, seed, id_col)
+    out = out.filter("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_"))
+    return out.select(*(F.col(i).alias(c) for i, c in names.items()))

@@ -6,14 +6,14 @@ from evidentia.llm.secrets import KINDS, OWNED
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
-OP1 = f"""with d as (select doc_id, source, coalesce(len({WORDS.format('text')}), 0)::bigint as size from documents),
+OP1 = f"""with d as (select doc_id, source, md5(text) as digest, row_number() over (partition by doc_id, text) as no, coalesce(len({WORDS.format('text')}), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by 1),
 w as (select *, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::double as weight, (source_size * 3)::double as cap, sum(source_size) over ()::double as total from s),
 c as (select *, coalesce(sum(cap) over (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding), 0) as before, sum(weight) over (order by cap / weight, source is null, source rows between current row and unbounded following) as rest from w),
 k as (select *, cap * rest <= weight * (total - before) as capped from c),
 o as (select *, total - coalesce(sum(cap) filter (capped) over (), 0) as rest_total, sum(weight) filter (not capped) over () as open from k),
 t as (select source, source_size, case when capped then cap else coalesce(rest_total * weight / open, 0) end as target from o),
-r as (select d.*, source_size, target, least(coalesce(target / nullif(source_size, 0), 0), 3.0::double) as rate, ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double as u from d join t on d.source is not distinct from t.source)
+r as (select d.*, source_size, target, least(coalesce(target / nullif(source_size, 0), 0), 3.0::double) as rate, ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null') || ':' || coalesce(digest, 'null') || ':' || no), 1, 13))::bigint / 4503599627370496.0::double as u from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, size * (floor(rate) + (u < rate - floor(rate))::int)::bigint as taken, (floor(rate) + (u < rate - floor(rate))::int)::int as copies from r"""
 
 OP3 = f"""with l as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),

@@ -39,8 +39,16 @@ def test_mix(which, request):
     assert sum(targets.values()) == pytest.approx(sum(want.values()))
     assert all(targets[s] <= 3 * want[s] + 1e-6 for s in want)
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) and r.taken == r.copies * r.size <= 3 * r.size for r in rows)
-    emitted = mixing.emit(mixing.mix(d), ["doc_id", "text"])
-    assert emitted.count() == sum(r.copies for r in rows)
+    emitted = mixing.emit(d)
+    assert emitted.columns == d.columns and emitted.count() == sum(r.copies for r in rows)
+    assert {tuple(r) for r in emitted.collect()} <= {tuple(r) for r in d.collect()}
+
+
+def test_rows_without_ids_are_drawn_each_for_itself(spark):
+    rows = [(None, "a b c", "x")] * 300 + [(i, "a b c", "y") for i in range(300)] + [(None, f"a b {i}", "z") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(d).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.12 * r["max(target)"] for r in got)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -63,6 +71,19 @@ def test_ownership_and_redaction(spark):
     assert clean[0] == rows[0][1] and clean[9] == "see <SECRET> here, <SECRET>"
 
 
+def test_redaction_of_a_long_text_full_of_secrets(spark):
+    """Spans that begin, end and lie across the borders of pieces, and code points beyond 16 bits; 40,000 spans in one text."""
+    rnd, parts = random.Random(3), []
+    for i in range(40_000):
+        parts.append(rnd.choice(("é", "😀", "x ", "\n")) * rnd.randint(1, 40) + f" token={i:08d}{'z' * rnd.randint(0, 9)} ")
+    parts.append(" password=" + "q" * 5000)
+    text = "".join(parts)
+    d = spark.createDataFrame([(1, text, "s", "keep"), (2, None, "s", "keep"), (3, "", "s", "keep")], "doc_id long, text string, source string, live string")
+    want = re.sub(PATTERNS[0][1], "<SECRET>", text)
+    got = {r.doc_id: (r.text, r.live) for r in secrets.redact(d).collect()}
+    assert got == {1: (want, "keep"), 2: (None, "keep"), 3: ("", "keep")}
+
+
 @pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_memo_equals_tokenizer(name, spaces, docs):
     import public_tokenizers
