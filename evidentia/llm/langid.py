@@ -50,29 +50,32 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """``table[slot]`` has a bit per language; a gram is in a language if all its slots have the bit."""
+    """Each table's ``slot`` has a bit for each of its languages; a gram is in a language if all its slots have the bit.
+
+    Up to eight languages share one table of bytes; more take a table of 64-bit words for every 64 of them.
+    """
 
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     probes: int
     false_rate: np.ndarray
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        size, step = np.uint64(len(self.table) - 1), (h >> np.uint64(32)) | np.uint64(1)
-        out = self.table[(h & size).astype(np.int64)]
+    def masks(self, h: np.ndarray) -> list[np.ndarray]:
+        size, step = np.uint64(len(self.tables[0]) - 1), (h >> np.uint64(32)) | np.uint64(1)
         with np.errstate(over="ignore"):
-            for i in range(1, self.probes):
-                out = out & self.table[((h + np.uint64(i) * step) & size).astype(np.int64)]
-        return out
+            at = [((h + np.uint64(i) * step) & size).astype(np.int64) for i in range(self.probes)]
+        return [functools.reduce(np.bitwise_and, (table[x] for x in at)) for table in self.tables]
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """Grams of each language, corrected for false positives, and all grams."""
         hits, total = np.zeros(len(self.languages)), 0
         for h in grams(text):
-            m, total = self.masks(h), total + len(h)
-            seen = np.bincount(m, minlength=256) if m.dtype == np.uint8 else None
-            for i in range(len(hits)):
-                hits[i] += seen[(np.arange(256) >> i & 1) == 1].sum() if seen is not None else np.count_nonzero(m >> m.dtype.type(i) & m.dtype.type(1))
+            total += len(h)
+            for first, m in enumerate(self.masks(h)):
+                width = 8 * m.dtype.itemsize
+                seen = np.bincount(m, minlength=256) if width == 8 else None
+                for i in range(min(width, len(hits) - first * width)):
+                    hits[first * width + i] += seen[(np.arange(256) >> i & 1) == 1].sum() if seen is not None else np.count_nonzero(m >> m.dtype.type(i) & m.dtype.type(1))
         return np.maximum(0, (hits - self.false_rate * total) / (1 - self.false_rate)), total
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -91,18 +94,18 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 4_000, keep: int = 60_000, dominance: float = 0.5, least: int = 3, slots: int = 2**21, probes: int = 3, max_languages: int = 64, id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, per_language: int = 4_000, keep: int = 60_000, dominance: float = 0.5, least: int = 3, slots: int = 2**21, probes: int = 3, id_col: str = "doc_id") -> Model:
     """Filters from the texts of labelled rows outside the held-out fold.
 
-    The sample is bounded: about ``per_language`` whole documents of each language, by hash, of at most
-    ``max_languages`` languages (those with most documents). A gram goes to every language where its
-    frequency is at least ``dominance`` times its highest; each language keeps its ``keep`` most
-    frequent ones. Only those rows, bounded by these parameters, come to the driver.
+    The sample is bounded: about ``per_language`` whole documents of each language, by hash. Every language
+    that a label names is learned. A gram goes to every language where its frequency is at least
+    ``dominance`` times its highest; each language keeps its ``keep`` most frequent ones. Only those rows,
+    bounded by these parameters and the number of languages, come to the driver.
     """
     rows = docs.filter(~held_out(id_col) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col(id_col).alias("id"), "text")
-    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not sizes:
-        return Model([], np.zeros(slots, dtype=np.uint8), probes, np.zeros(0))
+        return Model([], [np.zeros(slots, dtype=np.uint8)], probes, np.zeros(0))
     share = F.create_map(*(x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.filter(part < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
@@ -123,7 +126,8 @@ def fit(docs: DataFrame, per_language: int = 4_000, keep: int = 60_000, dominanc
     chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= keep)
     languages = sorted(lang for lang, _ in sizes)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(slots, dtype=kind)
+    width = 8 * kind().itemsize
+    tables = [np.zeros(slots, dtype=kind) for _ in range(0, len(languages), width)]
     got = chosen.select("lang", "gram").toPandas()
     size = np.uint64(slots - 1)
     with np.errstate(over="ignore"):
@@ -131,28 +135,39 @@ def fit(docs: DataFrame, per_language: int = 4_000, keep: int = 60_000, dominanc
             h = got.loc[got["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
             for k in range(probes):
                 at = ((h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & size).astype(np.int64)
-                np.bitwise_or.at(table, at, kind(1 << i))
-    fill = np.array([np.count_nonzero(table >> kind(i) & kind(1)) / slots for i in range(len(languages))])
-    return Model(languages, table, probes, fill**probes)
-
+                np.bitwise_or.at(tables[i // width], at, kind(1 << i % width))
+    fill = np.array([np.count_nonzero(tables[i // width] >> kind(i % width) & kind(1)) / slots for i in range(len(languages))])
+    return Model(languages, tables, probes, fill**probes)
 
-def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with held_out, lang_pred, score and coverage (replacing columns of these names).
 
-    A prediction looks at all grams of the whole text and at nothing else. Null, empty and letterless
-    texts are ``und`` with score 0; so is everything if no row has a label.
-    """
+def _identified(docs: DataFrame, model: Model | None, id_col: str, options: dict) -> tuple[DataFrame, dict[str, str]]:
+    """The columns of ``identify`` beside those of ``docs`` under names of their own, and what they were called."""
     model = model or fit(docs, id_col=id_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size, one for every 64 languages
+    names = {f"in{i}_": c for i, c in enumerate(docs.columns)}
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())]))
     def run(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score", "coverage"])
 
-    docs = docs.drop(*(c for c in docs.columns if c in ("held_out", "lang_pred", "score", "coverage", "guess_")))
-    return docs.withColumn("guess_", run("text")).withColumn("held_out", held_out(id_col)).select(*docs.columns, "held_out", "guess_.*")
+    return docs.select(*(F.col(c).alias(i) for i, c in names.items()), held_out(id_col).alias("held_out"), run("text").alias("guess_")).select(*names, "held_out", "guess_.*"), names
+
+
+ADDED = ("held_out", "lang_pred", "score", "coverage")
+
+
+def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with held_out, lang_pred, score and coverage (columns of ``docs`` of these names are left out).
+
+    A prediction looks at all grams of the whole text, however long, and at nothing else. Null, empty and
+    letterless texts are ``und`` with score 0; so is everything if no row has a label. Ties go to the first
+    language code; rows repeated whole have equal results; an empty table gives an empty one.
+    """
+    out, names = _identified(docs, model, id_col, options)
+    return out.select(*(F.col(i).alias(c) for i, c in names.items() if c not in ADDED), *ADDED)
 
 
-def keep_known(docs: DataFrame, least_coverage: float = 0.02, **options) -> DataFrame:
-    """Documents of a known language: those not ``und`` and with at least ``least_coverage`` of their grams in it."""
-    return identify(docs, **options).filter((F.col("lang_pred") != UND) & (F.col("coverage") >= least_coverage)).select(*docs.columns)
+def keep_known(docs: DataFrame, least_coverage: float = 0.02, model: Model | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """Documents of a known language, columns as they are: those not ``und`` and with at least ``least_coverage`` of their grams in it."""
+    out, names = _identified(docs, model, id_col, options)
+    return out.filter((F.col("lang_pred") != UND) & (F.col("coverage") >= least_coverage)).select(*(F.col(i).alias(c) for i, c in names.items()))

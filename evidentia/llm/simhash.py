@@ -216,11 +216,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     """One document of each group of near copies: the one with its smallest id (null ids last, ties by a hash of the text).
 
     Near copies have word shingles of at least that Jaccard similarity; groups are what they link. Columns
-    stay as they are. Rows repeated whole are one; ids may repeat or be null without any loss, as rows are
-    told apart by id and text. All documents without words are one group.
+    stay as they are, whatever they are called. Rows repeated whole are one; ids may repeat or be null without
+    any loss, as rows are told apart by id and text. All documents without words, null and empty ones among
+    them, are one group; texts may be of any length; an empty table gives an empty one. Texts are shuffled
+    only for pairs that are compared and for rows repeated whole.
     """
     prints = with_parts(docs, shingle, id_col)
     roots = components(similar_links(docs, prints, shingle, similarity, id_col))
     grouped = prints.select("v", "first").join(roots, F.col("v") == F.col("node"), "left")
-    kept = grouped.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("key_"))
-    return docs.withColumn("key_", row_key(id_col)).join(kept, "key_", "left_semi").dropDuplicates(["key_"]).select(*docs.columns)
+    kept = written(grouped.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("k_")), "kept")
+    names = {f"in{i}_": c for i, c in enumerate(docs.columns)}
+    out = docs.select(row_key(id_col).alias("key_"), *(F.col(c).alias(i) for i, c in names.items())).join(kept, F.col("key_") == F.col("k_"), "left_semi")
+    again = written(docs.select(row_key(id_col).alias("a_")).groupBy("a_").agg(F.count("*").alias("n")).filter("n > 1").select("a_"), "repeated")
+    if not again.isEmpty():
+        on = F.col("key_") == F.col("a_")
+        out = out.join(again, on, "left_anti").union(out.join(again, on, "left_semi").dropDuplicates(["key_"]))
+    return out.select(*(F.col(i).alias(c) for i, c in names.items()))

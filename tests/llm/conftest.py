@@ -21,7 +21,7 @@ def odd(spark):
     """Nulls, empty, blank and very long texts, rows repeated whole, ids repeated, and added columns whose names clash."""
     from pyspark.sql import functions as F
 
-    clash = ("size", "target", "copies", "key", "spans", "salt_", "length", "piece", "start", "k", "rate")
+    clash = ("size", "target", "copies", "key", "spans", "salt_", "length", "piece", "start", "k", "rate", "weight", "t_source", "copy_", "live", "span_key", "key_", "score", "coverage", "lang_pred", "verdict")
     return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("x") for c in clash})
 
 

@@ -182,9 +182,21 @@ def test_language_ignores_labels_and_folds(spark, odd, empty):
     assert langid.identify(empty).count() == 0 and langid.keep_known(odd).columns == odd.columns
 
 
+def test_more_than_64_languages(spark):
+    """Seventy languages, each of letters of its own: none is dropped."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(1)
+    rows = [(10 * i + j, "".join(chr(0x4E00 + 50 * i + rnd.randrange(6)) for _ in range(300)), f"l{i:02d}") for i in range(70) for j in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("kept"))
+    got = langid.identify(d, slots=2**16).collect()
+    assert all(r.lang == r.lang_pred for r in got) and len({r.lang_pred for r in got}) == 70
+    assert {tuple(r) for r in langid.keep_known(d, slots=2**16).collect()} == {tuple(r) for r in d.collect()}
+
+
 def test_bloom_model_corrects_false_positives():
     table = np.full(8, 1, dtype=np.uint8)
-    m = langid.Model(["aa"], table, 1, np.array([0.5]))
+    m = langid.Model(["aa"], [table], 1, np.array([0.5]))
     assert m.counts("abcd")[0][0] == pytest.approx(sum(len(g) for g in langid.grams("abcd")))
 
 
