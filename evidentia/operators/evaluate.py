@@ -27,20 +27,29 @@ def recall_at_k(cases: DataFrame, cands: DataFrame, k: int) -> DataFrame:
 
 
 def aggregate_metrics(per_case: DataFrame, by: str, metrics: list[str]) -> DataFrame:
-    """Means overall (category null) and by category in one pass over grouping sets."""
-    g = per_case.groupingSets([[], [by]], by).agg(F.count("*").alias("n"), *(F.round(F.avg(F.col(m).cast("double")), 6).alias(m) for m in metrics), F.grouping(by).alias("overall"))
+    """Means overall (category null) and by category in one pass over grouping sets.
+
+    Values count by millionths, whose sums are exact, so that a mean does not depend on the order of addition.
+    """
+    millionths = {m: F.round(F.col(m).cast("double") * 1e6).cast("long") for m in metrics}
+    g = per_case.groupingSets([[], [by]], by).agg(F.count("*").alias("n"), *((F.round(F.sum(x) / F.count(x)) / 1e6).alias(m) for m, x in millionths.items()), F.grouping(by).alias("overall"))
     return g.select(F.when(F.col("overall") == 0, F.col(by)).alias(by), (F.col("overall") == 1).alias("overall"), "n", *metrics)
 
 
 def latency_summary(df: DataFrame, by: str, ms: str = "latency_ms") -> DataFrame:
     """Median, mean, maximum, sum and the floor-index 95th percentile.
 
-    The p95 is the row at max(1, floor(0.95 n)) in order; ranks are numbered, values are not gathered.
+    The p95 is the row at max(1, floor(0.95 n)) in order, the median the mean of the one or two middle rows.
+    Rows are counted by value first (map-side); ranks are running sums over distinct values.
     """
+    values = df.filter(F.col(ms).isNotNull()).groupBy(by, F.col(ms).alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(by)
-    r = df.filter(F.col(ms).isNotNull()).withColumn("r", F.row_number().over(w.orderBy(ms))).withColumn("n", F.count("*").over(w))
-    at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
-    return r.groupBy(by).agg(F.count("*").alias("n"), F.round(F.median(ms), 6).alias("p50"), F.round(F.max(F.when(F.col("r") == at, F.col(ms))), 6).alias("p95"), F.round(F.avg(ms), 6).alias("mean"), F.max(ms).alias("maximum"), F.round(F.sum(ms), 4).alias("total"))
+    r = values.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
+    at = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("v")))
+    half = lambda up: F.floor((F.col("n") + up) / 2)
+    sums = df.filter(F.col(ms).isNotNull()).groupBy(by).agg(F.round(F.avg(ms), 6).alias("mean"), F.round(F.sum(ms), 4).alias("total")).withColumnRenamed(by, "by_")
+    g = r.groupBy(by).agg(F.max("n").alias("n"), F.round((at(half(1)) + at(half(2))) / 2, 6).alias("p50"), F.round(at(F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))), 6).alias("p95"), F.max("v").alias("maximum"))
+    return g.join(sums, F.col(by).eqNullSafe(F.col("by_"))).select(by, "n", "p50", "p95", "mean", "maximum", "total")
 
 
 def decision_confusion(outcomes: DataFrame) -> DataFrame:

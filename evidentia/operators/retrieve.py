@@ -91,9 +91,14 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFr
     """Exact cosine nearest rows: queries in blocks against all vectors, best k of each task first.
 
     ``queries``: question_id, vector; ``vectors``: id, vector. The query set is stated by the caller; it goes to
-    the tasks in blocks of at most 2,000 vectors, each a pass over the vectors, which are never shuffled.
+    the tasks in blocks of at most 2,000 vectors, each a pass over the vectors, which are never shuffled. Vectors
+    that are null, hold nulls or infinities, or are of another length than the longest query take no part.
     """
     spark = vectors.sparkSession
+    usable = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    queries = queries.filter(usable)
+    dim = queries.agg(F.max(F.size("vector"))).first()[0] or 0
+    queries, vectors = (x.filter(usable & (F.size("vector") == dim)) for x in (queries, vectors))
     rows = queries.count()
     blocks = max(1, -(-rows // 2000))
     parts = queries.withColumn("b", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))

@@ -301,12 +301,14 @@ def ancestors(elements: DataFrame, path: str = "path") -> DataFrame:
 
 
 def validate_tree(elements: DataFrame) -> DataFrame:
-    """Violations (doc_id, rule, n): root not first, gaps in the order, blank texts, unlabelled numbered types, articles without exactly one opening."""
-    first = F.min_by("provision_type", "document_order")
-    g = elements.groupBy("doc_id").agg(first.alias("first"), F.max("document_order").alias("last"), F.count("*").alias("n"), F.count_if(F.col("text").isNull() & ~F.col("provision_type").isin("ROOT", "ARTICLE")).alias("BLANK_TEXT"), F.count_if(F.col("number_label").isNull() & F.col("provision_type").isin("ARTICLE", "INCISO", "PARAGRAPH")).alias("NO_LABEL"))
-    caput = elements.groupBy("doc_id").agg((F.count_if(F.col("provision_type") == "ARTICLE") - F.count_if(F.col("provision_type") == "CAPUT")).alias("d"))
-    g = g.join(caput, "doc_id").select("doc_id", F.stack(F.lit(5), F.lit("ROOT_NOT_FIRST"), (F.col("first") != "ROOT").cast("long"), F.lit("ORDER_GAP"), F.col("last") - F.col("n"), F.lit("BLANK_TEXT"), F.col("BLANK_TEXT"), F.lit("NO_LABEL"), F.col("NO_LABEL"), F.lit("CAPUT_COUNT"), F.abs("d")).alias("rule", "n"))
-    return g.filter("n <> 0")
+    """Violations (doc_id, rule, n): root not first, gaps and repeats in the order, blank texts, unlabelled numbered types, articles without exactly one opening."""
+    first, order, kind = F.min_by("provision_type", "document_order"), F.col("document_order"), F.col("provision_type")
+    gaps = F.greatest(F.max(order) - F.count("*"), F.count("*") - F.count_distinct(order))
+    g = elements.groupBy("doc_id").agg((first != "ROOT").cast("long").alias("ROOT_NOT_FIRST"), gaps.alias("ORDER_GAP"), F.count_if(F.col("text").isNull() & ~kind.isin("ROOT", "ARTICLE")).alias("BLANK_TEXT"), F.count_if(F.col("number_label").isNull() & kind.isin("ARTICLE", "INCISO", "PARAGRAPH")).alias("NO_LABEL"))
+    openings = elements.filter(kind.isin("ARTICLE", "CAPUT")).groupBy("doc_id", F.when(kind == "ARTICLE", F.col("stable_key")).otherwise(F.col("parent_key")).alias("article"))
+    openings = openings.agg((F.count_if(kind == "ARTICLE") != F.count_if(kind == "CAPUT")).alias("odd")).groupBy("doc_id").agg(F.count_if("odd").alias("CAPUT_COUNT"))
+    rules = ["ROOT_NOT_FIRST", "ORDER_GAP", "BLANK_TEXT", "NO_LABEL", "CAPUT_COUNT"]
+    return g.join(openings, "doc_id", "left").na.fill(0, ["CAPUT_COUNT"]).unpivot(["doc_id"], rules, "rule", "n").filter("n <> 0")
 
 
 def article_projection(elements: DataFrame, labels: list[str]) -> DataFrame:

@@ -205,8 +205,8 @@ def _(s, d):
 # --- audits ---
 
 
-@query("J1_corpus_audit", """with v as (select distinct lang as version from documents), c as (select unnest(['snapshot_hash', 'snapshot_length', 'unique_keys', 'unique_orders', 'provision_hashes', 'no_self_parent', 'unique_units', 'unit_hashes', 'unit_text', 'known_parents', 'known_links']) as "check")
-select version, "check", case when "check" = 'snapshot_length' and version = 'de' then false when "check" = 'known_parents' and version = 'fr' then false when "check" = 'unique_orders' then (select count(distinct n_chars) = count(*) from documents where lang = version) else true end as ok from v, c""")
+@query("J1_corpus_audit", """with v as (select distinct lang as version from documents), c as (select unnest(['snapshot_hash', 'snapshot_length', 'unique_keys', 'unique_orders', 'contiguous_order', 'provision_hashes', 'no_self_parent', 'unique_units', 'unit_hashes', 'unit_text', 'known_parents', 'known_links']) as "check")
+select version, "check", case when "check" = 'snapshot_length' and version = 'de' then false when "check" = 'known_parents' and version = 'fr' then false when "check" = 'unique_orders' then (select count(distinct n_chars) = count(*) from documents where lang = version) when "check" = 'contiguous_order' then (select max(n_chars) - min(n_chars) + 1 = count(*) from documents where lang = version) else true end as ok from v, c""")
 def _(s, d):
     x = t(s, d, "documents").withColumnRenamed("lang", "version")
     raw = C("text").cast("binary")
@@ -214,7 +214,7 @@ def _(s, d):
     key = C("doc_id").cast("string")
     p = x.select("version", key.alias("key"), F.when(C("version") == "fr", "lost").alias("parent_key"), C("n_chars").alias("document_order"), "text", F.sha2("text", 256).alias("content_hash"))
     u = p.select("version", C("key").alias("unit_key"), "text", "content_hash")
-    return audit.corpus_audit(snap, p, u, p.select("version", C("key").alias("unit_key"), C("key").alias("stable_key"))).filter("check != 'contiguous_order'")
+    return audit.corpus_audit(snap, p, u, p.select("version", C("key").alias("unit_key"), C("key").alias("stable_key")))
 
 
 @query("J2_trace_unit", """select o_orderkey as unit_key, (select 'k' || arg_min(l_partkey, l_linenumber * 10000000 + l_partkey) from lineitem where l_orderkey = o_orderkey) as key, c_name, n_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where exists (select 1 from lineitem where l_orderkey = o_orderkey)""")

@@ -280,7 +280,7 @@ def _(s, d):
     return evaluate.recall_at_k(*ranked_cases(s, d), 3)
 
 
-@query("I3_aggregate_metrics", sql(EXPECTED, "m as (select 'g' || (substr(case_id, 2)::int % 5) as category, coalesce(round(1.0::double / first_rank, 6), 0) as reciprocal_rank, coalesce(first_rank <= 3, false)::int as hit_3 from ids left join fr using (case_id))", "select case when grouping(category) = 0 then category end as category, grouping(category) = 1 as overall, count(*) as n, round(avg(reciprocal_rank), 6) as reciprocal_rank, round(avg(hit_3), 6) as hit_3 from m group by grouping sets ((), (category))"))
+@query("I3_aggregate_metrics", sql(EXPECTED, "m as (select 'g' || (substr(case_id, 2)::int % 5) as category, coalesce(round(1.0::double / first_rank, 6), 0) as reciprocal_rank, coalesce(first_rank <= 3, false)::int as hit_3 from ids left join fr using (case_id))", "select case when grouping(category) = 0 then category end as category, grouping(category) = 1 as overall, count(*) as n, round(sum(round(reciprocal_rank * 1e6)::bigint) / count(reciprocal_rank)) / 1e6 as reciprocal_rank, round(sum(hit_3::bigint * 1000000) / count(hit_3)) / 1e6 as hit_3 from m group by grouping sets ((), (category))"))
 def _(s, d):
     c, _r = ranked_cases(s, d)
     return evaluate.aggregate_metrics(i1(s, d).join(c.select("case_id", "category"), "case_id").withColumn("hit_3", C("hit_3").cast("int")), "category", ["reciprocal_rank", "hit_3"])

@@ -162,3 +162,24 @@ def test_vector_plan_and_topk_plan(spark):
     q = one(spark, [("q", "v", "alpha")], "question_id string, version string, question string")
     plan = retrieve.search_relaxed_or(q, index.build_postings(u))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
+
+
+def test_validate_tree_counts_openings_by_article_and_repeated_orders(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("root", None, "ROOT", 1), ("a1", "root", "ARTICLE", 2), ("a1/caput", "a1", "CAPUT", 3), ("a1/caput", "a1", "CAPUT", 3), ("a2", "root", "ARTICLE", 5)]
+    d = spark.createDataFrame([(1, *r, "1", "x") for r in rows], "doc_id long, stable_key string, parent_key string, provision_type string, document_order long, number_label string, text string")
+    got = {r.rule: r.n for r in structure.validate_tree(d).collect()}
+    assert got == {"CAPUT_COUNT": 2, "ORDER_GAP": 1}
+
+
+def test_vector_search_leaves_unusable_vectors_out(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "question_id long, vector array<double>")
+    v = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0])], "id long, vector array<double>")
+    assert [(r.question_id, r.id) for r in sorted(retrieve.vector_search(q, v).collect(), key=lambda r: -r.score)] == [(1, 1), (1, 5)]
+
+
+def test_latency_of_repeated_values(spark):
+    d = spark.createDataFrame([("a", float(i % 5)) for i in range(100)] + [("b", 3.0), ("b", 4.0), (None, 1.0), ("b", None)], "k string, latency_ms double")
+    got = {r.k: (r.n, r.p50, r.p95, r.maximum) for r in evaluate.latency_summary(d, "k").collect()}
+    assert got == {"a": (100, 2.0, 4.0, 4.0), "b": (2, 3.5, 3.0, 4.0), None: (1, 1.0, 1.0, 1.0)}
