@@ -16,8 +16,8 @@ from evidentia.llm.mixing import word_count
 
 #: UTF-8 bytes of text that one block of documents holds, about, and n-grams that one hash bucket holds.
 BLOCK_BYTES, BUCKET_GRAMS = 4_000_000, 2_000_000
-#: Bits of an n-gram's hash. Seven bytes tell a billion n-grams apart but for a few; more cost shuffle.
-BITS = 56
+#: Bits of an n-gram's hash.
+BITS = 64
 
 
 def word_hashes(text: bytes, memo: dict[bytes, int]) -> np.ndarray:
@@ -92,13 +92,15 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
     add up the blocks' counts and answer each block; blocks then join the answers to their n-grams and sum
     by document. Both numbers of groups follow the input, so that groups stay within a few MB; a single
     text longer than a block makes a block of its own size. N-grams are told apart by
-    ``BITS`` bits of hash. Texts are shuffled once, compressed, and both passes read that shuffle.
+    ``BITS`` bits of hash. Texts are shuffled once, compressed, and both passes read that shuffle. Null text is
+    empty; rows repeated whole count as often as they stand, and each is scored against the others; ids may be
+    null or repeat; an empty table gives an empty one; other columns are not looked at.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sums = d.agg(F.sum(F.octet_length("text")), F.sum(word_count(F.col("text")))).first()
     total, words = sums[0] or 0, sums[1] or 0
     n_blocks, n_buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / 6 * order / bucket_grams))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))  # rows repeated whole are dealt out too
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
