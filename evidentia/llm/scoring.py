@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -14,10 +13,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.mixing import word_count
 
-#: UTF-8 bytes of text that one block of documents holds, about, and n-grams that one hash bucket holds.
-BLOCK_BYTES, BUCKET_GRAMS = 4_000_000, 2_000_000
-#: Bits of an n-gram's hash.
-BITS = 64
+#: UTF-8 bytes of text that one block of documents holds, about.
+BLOCK_BYTES = 4_000_000
 
 
 def word_hashes(text: bytes, memo: dict[bytes, int]) -> np.ndarray:
@@ -36,7 +33,7 @@ def joined(h: np.ndarray, following: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + following
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(27))) >> np.uint64(64 - BITS)
+        return x ^ (x >> np.uint64(27))
 
 
 def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
@@ -47,38 +44,7 @@ def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys as byte planes of their differences, which the shuffle's codec then shrinks."""
-    with np.errstate(over="ignore"):
-        return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        planes = np.frombuffer(data, np.uint8).reshape(BITS // 8, -1)
-        wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-        wide[:, : BITS // 8] = planes.T
-        return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-
-
-def small(n: np.ndarray, usual: int) -> bytes:
-    """Counts as a bit for each that is not the usual one, and those in the fewest bytes that hold the largest."""
-    odd = n != usual
-    rest = n[odd]
-    width = 1 if not len(rest) or rest.max() < 2**8 else 2 if rest.max() < 2**16 else 8
-    return bytes([width]) + len(n).to_bytes(4, "little") + np.packbits(odd).tobytes() + rest.astype(f"<u{width}").tobytes()
-
-
-def large(data: bytes, usual: int) -> np.ndarray:
-    n = int.from_bytes(data[1:5], "little")
-    bits = -(-n // 8)
-    odd = np.unpackbits(np.frombuffer(data, np.uint8, count=bits, offset=5), count=n).astype(bool)
-    out = np.full(n, usual, dtype=np.int64)
-    out[odd] = np.frombuffer(data, f"<u{data[0]}", offset=5 + bits)
-    return out
-
-
-def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, backed_off, logprob and mean_logprob.
 
     The model is the rest of the corpus: counts come from all documents, and a document's own n-grams are
@@ -87,96 +53,68 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
     the score with the context one word shorter; at last (count(w) or 1) / all words. Unlike a held-out
     model nothing is cut, so no n-gram is lost. Logarithms are natural; a document without words scores 0.
 
-    Documents are dealt into blocks by hash and each block's distinct n-grams are summed before they go
-    to their hash bucket: a frequent n-gram costs one entry per block, not one per occurrence. Buckets
-    add up the blocks' counts and answer each block; blocks then join the answers to their n-grams and sum
-    by document. Both numbers of groups follow the input, so that groups stay within a few MB; a single
-    text longer than a block makes a block of its own size. N-grams are told apart by
-    ``BITS`` bits of hash. Texts are shuffled once, compressed, and both passes read that shuffle. Null text is
-    empty; rows repeated whole count as often as they stand, and each is scored against the others; ids may be
-    null or repeat; an empty table gives an empty one; other columns are not looked at.
+    Documents are dealt into blocks by hash, and each block's n-grams become rows (block, gram, own), so that a
+    frequent n-gram costs one row per block, not one per occurrence. The rows are partitioned by n-gram once; the
+    count table (gram, total) comes from that partitioning and is joined to it, and counts from elsewhere go back
+    to their block, where they are summed by document. The number of blocks follows the input, so that a block
+    stays within a few MB; a single text longer than a block makes a block of its own size. N-grams are told
+    apart by 64 bits of hash. Null text is empty; rows repeated whole count as often as they stand, and each is
+    scored against the others; ids may be null or repeat; an empty table gives an empty one; other columns are not
+    looked at.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sums = d.agg(F.sum(F.octet_length("text")), F.sum(word_count(F.col("text")))).first()
     total, words = sums[0] or 0, sums[1] or 0
-    n_blocks, n_buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / 6 * order / bucket_grams))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))  # rows repeated whole are dealt out too
     id_type = d.schema["doc_id"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(max(1, math.ceil(total / block_bytes))))  # rows repeated whole are dealt out too
+    texts = d.select(block.alias("block"), F.col("doc_id").cast("string").alias("id"), "text")
+
+    def exploded(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's distinct n-grams of all orders with their counts in it."""
+        gram, own = np.unique(np.concatenate([g for f in hashed(pdf["text"], order) for g in f]), return_counts=True)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "gram": gram.view(np.int64), "own": own})
 
-    def squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"block": pdf["block"], "id": pdf["id"], "packed": [zlib.compress(t.encode(), 1) for t in pdf["text"]]})
-
-    d = d.select("block", F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(squeezed, "block int, id string, packed binary")
-
-    def hashed(texts) -> list[list[np.ndarray]]:
-        memo: dict[bytes, int] = {}
-        return [grams(word_hashes(zlib.decompress(t), memo), order) for t in texts]
-
-    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A block's distinct n-grams of each order by bucket, with their counts."""
-        found, rows, block = hashed(pdf["packed"]), [], int(pdf["block"].iloc[0])
-        for n in range(order):
-            keys, count = np.unique(np.concatenate([f[n] for f in found]), return_counts=True)
-            cuts = np.searchsorted(keys, np.array([(i << BITS) // n_buckets for i in range(1, n_buckets)], dtype=np.uint64))
-            for bucket, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(count, cuts), strict=True)):
-                if len(k):
-                    rows.append((bucket, block, n, pack_sorted(k), small(c, 1)))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "counts"])
-
-    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each block's n-grams in this bucket, the other blocks' counts, in the block's order."""
-        rows = []
-        for n, own in pdf.groupby("n"):
-            keys = [unpack_sorted(x) for x in own["keys"]]
-            every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            mine = np.concatenate([large(x, 1) for x in own["counts"]])
-            others = np.bincount(at, weights=mine).astype(np.int64)[at] - mine
-            for block, part in zip(own["block"], np.split(others, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-                rows.append((pdf["bucket"].iloc[0], block, n, small(part, 0)))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n", "counts"])
-
-    counts = d.groupBy("block").applyInPandas(counted, "bucket int, block int, n int, keys binary, counts binary")
-    answers = counts.groupBy("bucket").applyInPandas(answered, "bucket int, block int, n int, counts binary")
-    return _scored(d, answers, words, order, backoff, hashed, id_type)
-
-
-def _scored(d: DataFrame, answers: DataFrame, words: int, order: int, backoff: float, hashed, id_type: str) -> DataFrame:
-    names = ["doc_id", "n_words", "backed_off", "logprob", "mean_logprob"]
+    ngrams = texts.groupBy("block").applyInPandas(exploded, "block long, gram long, own long").repartition("gram")
+    # counted by column, so that both sides of the join need the same columns and read one shuffle
+    counts = ngrams.groupBy("gram").agg(F.sum("own").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1")
+    elsewhere = ngrams.join(counts.hint("merge"), "gram").select(F.col("block").alias("b"), "gram", (F.col("total") - F.col("own")).alias("rest"))
 
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=names)
-        found, own, rest = hashed(left["packed"]), [], []
-        for n in range(order):
-            keys, here = np.unique(np.concatenate([f[n] for f in found]), return_counts=True)
-            told = right[right["n"] == n].sort_values("bucket")
-            own.append(keys)
-            rest.append(here + np.concatenate([large(x, 0) for x in told["counts"]]) if len(told) else here)
-        rows = []
-        for doc, f in zip(left["id"], found, strict=True):
-            w = len(f[0])
-            log, done, backs = np.zeros(w), np.zeros(w, dtype=bool), 0
-            left_counts = []
-            for n in range(order):
-                _, at, mine = np.unique(f[n], return_inverse=True, return_counts=True)
-                left_counts.append(rest[n][np.searchsorted(own[n], f[n])] - mine[at] if len(f[n]) else np.zeros(0, dtype=np.int64))
-            others = max(1, words - w)
-            for n in range(order - 1, 0, -1):
-                seen = np.zeros(w, dtype=bool)
-                c = left_counts[n]
-                if len(c):
-                    seen[n:] = (c > 0) & ~done[n:]
-                    at = np.flatnonzero(seen)
-                    log[at] += np.log(c[at - n]) - np.log(left_counts[n - 1][at - n])
-                done |= seen
-                behind = ~done
-                behind[:n] = False  # too few words before: the shorter context is no backing off
-                log[behind] += math.log(backoff)
-                backs += int(behind.sum())
-            log[~done] += np.log(np.maximum(1, left_counts[0][~done]) / others)
-            s = float(log.sum())
-            rows.append((doc, w, backs, s, s / w if w else 0.0))
-        return pd.DataFrame(rows, columns=names)
-
-    return d.groupBy("block").cogroup(answers.withColumnRenamed("block", "b").groupBy("b")).applyInPandas(summed, "doc_id string, n_words long, backed_off long, logprob double, mean_logprob double").withColumn("doc_id", F.col("doc_id").cast(id_type))
+        return _scored(left, right, words, order, backoff)
+
+    out = texts.groupBy("block").cogroup(elsewhere.groupBy("b")).applyInPandas(summed, "doc_id string, n_words long, backed_off long, logprob double, mean_logprob double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def hashed(texts: Iterable[str], order: int) -> list[list[np.ndarray]]:
+    memo: dict[bytes, int] = {}
+    return [grams(word_hashes(t.encode(), memo), order) for t in texts]
+
+
+def _scored(block: pd.DataFrame, elsewhere: pd.DataFrame, words: int, order: int, backoff: float) -> pd.DataFrame:
+    """Scores of a block's documents from its own n-grams and their counts in other blocks."""
+    found = hashed(block["text"], order)
+    every, count = np.unique(np.concatenate([g for f in found for g in f] or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
+    count[np.searchsorted(every, elsewhere["gram"].to_numpy(np.int64).view(np.uint64))] += elsewhere["rest"].to_numpy(np.int64)
+    rows = []
+    for doc, f in zip(block["id"], found, strict=True):
+        w, left = len(f[0]), []
+        for g in f:  # counts without the document's own
+            _, at, mine = np.unique(g, return_inverse=True, return_counts=True)
+            left.append(count[np.searchsorted(every, g)] - mine[at])
+        log, done, backs = np.zeros(w), np.zeros(w, dtype=bool), 0
+        for n in range(order - 1, 0, -1):
+            seen = np.zeros(w, dtype=bool)
+            seen[n:] = left[n] > 0
+            seen &= ~done
+            at = np.flatnonzero(seen)
+            log[at] += np.log(left[n][at - n]) - np.log(left[n - 1][at - n])
+            done |= seen
+            behind = ~done
+            behind[:n] = False  # too few words before: the shorter context is no backing off
+            log[behind] += math.log(backoff)
+            backs += int(behind.sum())
+        log[~done] += np.log(np.maximum(1, left[0][~done]) / max(1, words - w))
+        s = float(log.sum())
+        rows.append((doc, w, backs, s, s / w if w else 0.0))
+    return pd.DataFrame(rows, columns=["doc_id", "n_words", "backed_off", "logprob", "mean_logprob"])
