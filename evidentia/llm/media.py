@@ -66,7 +66,7 @@ def feature(payload: bytes) -> str:
 
 
 class _Reader(HTMLParser):
-    """Text and images of a page in their order; a figure's caption goes to the image in it."""
+    """Text and images of a page in their order; a figure's caption goes to the images of that figure."""
 
     SKIPPED = ("script", "style")
 
@@ -75,14 +75,34 @@ class _Reader(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
-        self.figure, self.skip = None, 0
+        self.figures: list[dict] = []  # open figures: their own media and captions
+        self.skip, self.verbatim = 0, False
 
     def flush(self) -> None:
-        text = "".join(self.text).strip()
+        text = "".join(self.text)
         self.text = []
+        if not self.verbatim:
+            text = text.strip()
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            self.figures[-1]["captions"].append("".join(self.caption).strip())
+            self.caption = None
+
+    def end_figure(self) -> None:
+        """The caption goes to the figure's media, wherever it stood; without media it is text."""
+        self.end_caption()
+        self.flush()
+        figure = self.figures.pop()
+        caption = " ".join(c for c in figure["captions"] if c)
+        if figure["media"]:
+            for x in figure["media"] if figure["captions"] else []:
+                x["caption"] = caption
+        elif caption:
+            self.items.append({"kind": "text", "text": caption, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIPPED:
             self.skip += 1
@@ -90,23 +110,35 @@ class _Reader(HTMLParser):
             a = dict(attrs)
             src = a.get("data-digest") or a.get("src") or ""
             self.flush()
-            self.items.append({"kind": "media", "text": None, "digest": src.removeprefix("sha256:") or None, "caption": a.get("alt")})
+            item = {"kind": "media", "text": None, "digest": src.removeprefix("sha256:") or None, "caption": a.get("alt")}
+            self.items.append(item)
+            if self.figures:
+                self.figures[-1]["media"].append(item)
         elif tag == "figure":
+            if self.figures:
+                self.end_caption()
             self.flush()
-            self.figure = len(self.items)
+            self.figures.append({"media": [], "captions": []})
         elif tag == "figcaption":
-            self.caption = []
+            self.flush()
+            if self.figures:
+                self.end_caption()
+                self.caption = []
+        elif tag == "pre":
+            self.flush()
+            self.verbatim = True
 
     def handle_endtag(self, tag):
         if tag in self.SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            for x in self.items[self.figure or 0 :]:
-                if x["kind"] == "media":
-                    x["caption"] = "".join(self.caption).strip()
-            self.caption = None
-        elif tag == "figure":
-            self.figure = None
+        elif tag == "figcaption":
+            self.end_caption()
+            self.flush()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag == "pre":
+            self.flush()
+            self.verbatim = False
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "tr"):
             self.flush()
 
@@ -114,16 +146,35 @@ class _Reader(HTMLParser):
         if not self.skip:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def close(self):
+        super().close()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+
 
 def sequence(page: str | None) -> list[dict]:
-    """A page as ordered structs of text and media references; null and broken pages give what can be read."""
+    """A page as ordered structs of text and media references; null and broken pages give what can be read.
+
+    Text is stripped but for ``pre``, whose text is kept as it stands. A caption outside a figure is text.
+    """
     r = _Reader()
     r.feed(page or "")
     r.close()
-    r.flush()
     return [{"position": i, **x} for i, x in enumerate(r.items)]
 
 
+def laid_out(text: str, digest: str, caption: str) -> str:
+    """A page of the whole text, line by line, around one media reference; a single line is cut at a space behind its middle."""
+    lines = text.splitlines(keepends=True)
+    if len(lines) == 1 and (cut := text.find(" ", len(text) // 2)) > 0:
+        lines = [text[:cut], text[cut:]]
+    parts = [f"<pre>{html.escape(x)}</pre>" for x in lines]
+    half = -(-len(parts) // 2)
+    figure = f'<figure><figcaption>{html.escape(caption)}</figcaption><img src="sha256:{digest}" alt=""></figure>'
+    return "".join(["<article>", *parts[:half], figure, *parts[half:], "</article>"])
+
+
 def _parsed(page: pd.Series) -> pd.Series:
     return page.map(sequence)
 
@@ -131,20 +182,28 @@ def _parsed(page: pd.Series) -> pd.Series:
 def resolve(pages: DataFrame, media: DataFrame, page_col: str = "html") -> DataFrame:
     """One row per item of each page's sequence, media references with the columns of ``media`` for their digest.
 
-    ``media`` has one row per digest. References without a payload keep nulls there. Positions and
-    captions stay with their items.
+    ``media`` has one row per digest; those of null digest are not found. References without a payload keep nulls
+    there. Positions and captions stay with their items. Null and empty pages give no item, repeated rows each their
+    own items, an empty table an empty one; columns beside ``page_col`` must not be called like an item's fields or
+    like columns of ``media``. Items without a digest are dealt out by their content, so that they do not meet in one task.
     """
     parse = F.pandas_udf(_parsed, SEQUENCE)
     keep = [c for c in pages.columns if c != page_col]
     items = pages.select(*keep, F.explode(parse(page_col)).alias("i")).select(*keep, "i.*")
-    return items.join(media.withColumnRenamed("digest", "m_digest"), F.col("digest") == F.col("m_digest"), "left").drop("m_digest")
+    items = items.withColumn("m_part", F.when(F.col("digest").isNull(), F.xxhash64("position", "text")).otherwise(F.lit(0)))
+    payloads = media.withColumnRenamed("digest", "m_digest").withColumn("m_zero", F.lit(0).cast("long"))
+    return items.join(payloads, (F.col("digest") == F.col("m_digest")) & (F.col("m_part") == F.col("m_zero")), "left").drop("m_digest", "m_part", "m_zero")
 
 
-STORED = "media_key binary, n_bytes long, digest string, stored binary, page string"
+STORED = "media_key binary, n_bytes long, stored binary, digest string, position int, caption string, n_items int, text_crc32 long"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Each text's payload as PNG, its digest, and a page that refers to it: written once, not shuffled."""
+    """Each text's payload as PNG, and the reference to it in the sequence that the document's page is parsed into.
+
+    The page holds the whole text; ``text_crc32`` is of the sequence's text items put together again, ``digest``,
+    ``position`` and ``caption`` are as parsed. Texts are read once, pages are not kept, and nothing is shuffled.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,11 +211,11 @@ def store(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 data = (text or "").encode()
                 png = to_png(padded(data))
-                digest = hashlib.sha256(png).hexdigest()
-                lead = html.escape(" ".join((text or "")[:400].split())[:80])
-                page = f'<article><p>{lead}</p><figure><img src="sha256:{digest}" alt=""><figcaption>{len(data)} bytes</figcaption></figure></article>'
-                rows.append((key, len(data), digest, png, page))
-            yield pd.DataFrame(rows, columns=["media_key", "n_bytes", "digest", "stored", "page"])
+                items = sequence(laid_out(text or "", hashlib.sha256(png).hexdigest(), f"{len(data)} bytes"))
+                whole = "".join(x["text"] for x in items if x["kind"] == "text")
+                crc = zlib.crc32(whole.encode())
+                rows.extend((key, len(data), png, x["digest"], x["position"], x["caption"], len(items), crc) for x in items if x["kind"] == "media")
+            yield pd.DataFrame(rows, columns=["media_key", "n_bytes", "stored", "digest", "position", "caption", "n_items", "text_crc32"])
 
     return docs.select(row_key(id_col).alias("key"), "text").mapInPandas(run, STORED)
 
@@ -180,11 +239,13 @@ def document_media(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: its padded text stored as media, found through its page's reference, and read back.
 
     The media table is written where texts are read; only digests and figures are shuffled. Null text
-    is empty, which is one row of 255s; equal texts have equal values, and equal rows equal results.
+    is empty, which is one row of 255s; very long texts are whole; equal texts have equal values, and equal rows
+    equal results; an empty table gives an empty one; other columns are not looked at.
     """
     stored = written(store(docs, id_col), "media")
     figures = written(read_back(stored).dropDuplicates(["digest"]), "figures")
-    pages = stored.select("media_key", "n_bytes", "page").dropDuplicates(["media_key"])
-    found = resolve(pages, figures, "page").filter("kind = 'media'").drop("kind", "text")
-    ids = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col).alias("key"))
-    return ids.join(found, F.col("key") == F.col("media_key")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
+    references = stored.drop("stored").dropDuplicates(["media_key"])
+    found = references.join(figures, "digest", "left")
+    ids = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col).alias("media_key"))
+    out = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption", "n_items", "text_crc32"]
+    return ids.join(found, "media_key").select(*out)

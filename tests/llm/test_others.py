@@ -151,7 +151,8 @@ def test_media_round_trip(which, request):
         want[r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
     rows = media.document_media(d).collect()
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
-    assert all(r.position in (0, 1) and r.caption == f"{r.n_bytes} bytes" for r in rows)
+    assert all(0 <= r.position < r.n_items and r.caption == f"{r.n_bytes} bytes" for r in rows)
+    assert Counter((r.doc_id, r.text_crc32) for r in rows) == Counter((r.doc_id, zlib.crc32((r.text or "").encode())) for r in d.collect())
     by_text = {}
     for r in rows:
         by_text.setdefault(r.payload_sha256, set()).add((r.media_bytes, r.media_sha256, r.feature))
@@ -168,6 +169,40 @@ def test_interleaved_sequence(spark):
     assert [(r.position, r.size) for r in rows] == [(0, None), (1, 5), (2, None), (3, None), (4, None)]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<figure><figcaption>first</figcaption><img src=a></figure>x", [("media", None, "first"), ("text", "x", None)]),
+        ("<img src=a alt=A><figcaption>loose</figcaption>", [("media", None, "A"), ("text", "loose", None)]),
+        ("<figure><img src=a><figcaption>open", [("media", None, "open")]),
+        ("<figure><figcaption>alone</figure>tail", [("text", "alone", None), ("text", "tail", None)]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("media", None, "out"), ("media", None, "in")]),
+        ("<figure><img src=a></figure><figure><img src=b><figcaption>b</figcaption></figure>", [("media", None, None), ("media", None, "b")]),
+    ],
+)
+def test_captions(page, want):
+    assert [(x["kind"], x["text"], x["caption"]) for x in media.sequence(page)] == want
+
+
+@pytest.mark.parametrize("text", ["", " ", "one", "one two three", " a\n\n<b>&amp;</b> \r\n&lt\x0b\u2028é\x00 &#65;", "x" * 9 + "\n" + "</pre><img src=q>\n y"])
+def test_layout_keeps_the_text(text):
+    items = media.sequence(media.laid_out(text, "ab", "a & b"))
+    assert "".join(x["text"] for x in items if x["kind"] == "text") == text
+    assert [(x["digest"], x["caption"]) for x in items if x["kind"] == "media"] == [("ab", "a & b")]
+    assert [x["position"] for x in items] == list(range(len(items)))
+
+
+def test_sequences_of_given_pages(spark, sf):
+    """Every item of the given pages comes out once, in its place, with its payload's row."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    want = {(r.page_id, x["position"], x["kind"], x["text"], x["digest"]) for r in pages.collect() for x in media.sequence(r.html)}
+    digests = sorted({w[4] for w in want if w[4]}) or ["none"]
+    m = spark.createDataFrame([(d, i) for i, d in enumerate(digests)], "digest string, n int")
+    got = media.resolve(pages, m).collect()
+    assert len(got) == len(want) and {(r.page_id, r.position, r.kind, r.text, r.digest) for r in got} == want
+    assert all(r.n == (digests.index(r.digest) if r.digest else None) for r in got)
+
+
 def test_language_accuracy(spark, sf):
     d = spark.read.parquet(sf.rpartition("/")[0] + "/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in langid.identify(d).collect()}
