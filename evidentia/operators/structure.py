@@ -108,11 +108,11 @@ def segment(blocks: DataFrame, sentinels: list[str]) -> tuple[DataFrame, DataFra
 
 # The grammar of a flat law, first match wins.
 FLAT_GRAMMAR = (
-    ("CHAPTER", r"^CAPÍTULO ([IVXLC]+)\b\s*(.*)$"),
-    ("ARTICLE", r"^Art\. (\d+)[ºo°.]*\s*(.*)$"),
-    ("PARAGRAPH", r"^§ (\d+)[ºo°.]*\s*(.*)$"),
-    ("SOLE_PARAGRAPH", r"^(Parágrafo único)\.?\s*(.*)$"),
-    ("INCISO", r"^([IVXLC]+) - \s*(.*)$"),
+    ("CHAPTER", r"(?iu)^CAPÍTULO\s+([IVXLCDM]+(?:-[A-Z])?)(?:\s+(.*))?$"),
+    ("ARTICLE", r"(?iu)^Art\.\s*(\d+(?:-[A-Z])?)[ºo°.]*\s+(.*)$"),
+    ("PARAGRAPH", r"(?iu)^§\s*(\d+(?:-[A-Z])?)[ºo°.]*\s+(.*)$"),
+    ("SOLE_PARAGRAPH", r"(?iu)^(Parágrafo\s+único)\.?\s*(.*)$"),
+    ("INCISO", r"^([IVXLCDM]+)\s*[-–]\s+(.*)$"),
 )
 
 

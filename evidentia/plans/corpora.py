@@ -18,9 +18,11 @@ C = F.col
 
 
 def scratch(s) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share; one of this machine only where everything runs on it."""
     base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         s.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"

@@ -113,6 +113,16 @@ def test_row_order_does_not_matter(spark):
     assert a == b
 
 
+def test_grammar_of_lines(spark):
+    lines = {
+        "I – texto": ("INCISO", "I", "texto"), "DCM - x": ("INCISO", "DCM", "x"), "i - x": ("TEXT", None, "i - x"), "capítulo D": ("CHAPTER", "D", ""), "CAPÍTULO II-A  Do nome": ("CHAPTER", "II-A", "Do nome"),
+        "art. 3 x": ("ARTICLE", "3", "x"), "Art. 5-A. O texto": ("ARTICLE", "5-A", "O texto"), "Art.  1º  abre": ("ARTICLE", "1", "abre"), "Artigo 1": ("TEXT", None, "Artigo 1"),
+        "§2o y": ("PARAGRAPH", "2", "y"), "PARÁGRAFO ÚNICO. z": ("SOLE_PARAGRAPH", "PARÁGRAFO ÚNICO", "z"), "  ": ("BLANK", None, "  "),
+    }
+    got = structure.classify_blocks(one(spark, [(1, i, x) for i, x in enumerate(lines)], "doc_id int, pos int, text string")).collect()
+    assert {r.text: (r["class"], r.label, r.rest) for r in got} == lines
+
+
 def test_html_blocks(spark):
     page = '<p>one<p name="x">two <a href="/l" name="n">link</a></p><table><p><strike>old</strike></p></table><script>"</p>"</script>'
     got = structure.html_blocks(one(spark, [(1, page), (2, None)], "page_id int, html string")).collect()
