@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -14,8 +16,6 @@ from evidentia.llm.store import row_key, written
 
 #: Shingles whose bits are counted at once.
 BLOCK = 50_000
-#: The near-dedup stage's fingerprints have so many words of 64 bits, each with three parts of so many bits.
-WORDS, DEPTH = 40, 21
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -126,7 +126,7 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((hash64(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)).view(np.int64)
 
 
-def long_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """A SimHash of ``words`` times 64 bits over a set of hashes: each is mixed anew (splitmix64) for each word."""
     h, step = hashes.view(np.uint64), np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(64 * words, dtype=np.int64)
@@ -139,41 +139,53 @@ def long_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view("<i8")
 
 
-def with_parts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """One row per distinct text: v (a number), first (the smallest row that has it), f0 to f3 (256 bits) and parts (numbered)."""
-    part = np.arange(3 * WORDS, dtype=np.int64) << DEPTH
+def plan(n: int, similarity: float = 0.8, miss: float = 0.02) -> tuple[int, int]:
+    """Bits of a part and number of parts for ``n`` texts.
+
+    A part has eight to sixteen times as many nodes as there are texts, so that chance meetings in it grow with the texts
+    and not with their square; there are as many parts as it takes for a pair of that similarity to share
+    none with a probability of ``miss`` at most. So a text has about n^0.24 parts.
+    """
+    depth = max(12, n.bit_length() + 3)
+    return depth, max(1, math.ceil(math.log(miss) / math.log1p(-((1 - _differ(similarity)) ** depth))))
+
+
+def with_prints(docs: DataFrame, depth: int, parts: int, shingle: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """One row per distinct text: v (a number), first (the smallest row that has it) and x (its fingerprint, whole words of 64 bits)."""
+    words = max(4, math.ceil(parts / (64 // depth)))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def bits(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            f = long_fingerprint(shingle_hashes(t, shingle))
-            cut = np.stack([(f >> np.int64(DEPTH * i)) & np.int64((1 << DEPTH) - 1) for i in range(3)], axis=1).ravel()
-            out.append(np.concatenate([f[:4], cut | part]))
-        return pd.Series(out)
+        return pd.Series([long_fingerprint(shingle_hashes(t, shingle), words) for t in text])
 
     first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), row_key(id_col).alias("key"))
     same = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     rows = docs.select(same.alias("same"), first.alias("first"), bits("text").alias("x")).groupBy("same").agg(F.min("first").alias("first"), F.first("x").alias("x"))
-    return written(rows.select(F.monotonically_increasing_id().alias("v"), "first", *(F.col("x")[i].alias(f"f{i}") for i in range(4)), F.slice("x", 5, 3 * WORDS).alias("parts")), "parts")
+    return written(rows.select(F.monotonically_increasing_id().alias("v"), "first", "x"), "prints")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int, similarity: float, id_col: str) -> DataFrame:
+def _cut(x: str, depth: int, parts: int) -> Column:
+    """A fingerprint's parts, each with its number above its bits."""
+    each = 64 // depth
+    return F.expr(f"transform(sequence(0L, {parts - 1}L), i -> shiftleft(i, {depth}) | (shiftrightunsigned({x}[int(i div {each})], int(i % {each}) * {depth}) & {(1 << depth) - 1}L))")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, shingle: int, similarity: float, id_col: str) -> DataFrame:
     """Those of the pairs (u, v) whose shingle sets have at least that Jaccard similarity; sets are compared in full.
 
-    Before that, 256 bits and then all parts must differ in no more bits than ``_most`` allows.
+    Before that, 256 bits and then all bits must differ in no more places than ``_most`` allows.
     """
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def hashed(text: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, shingle) for t in text])
 
-    ends = [prints.select(F.col("v").alias(s), *(F.col(f"f{i}").alias(f"{s}{i}") for i in range(4))) for s in "uv"]
+    ends = [prints.select(F.col("v").alias(s), *(F.col("x")[i].alias(f"{s}{i}") for i in range(4))) for s in "uv"]
     near = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(4)), F.lit(0)) <= _most(256, similarity)
     pairs = written(pairs.distinct().join(ends[0], "u").join(ends[1], "v").filter(near).select("u", "v"), "pairs")
     differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    whole = pairs.join(prints.select(F.col("v").alias("u"), F.col("parts").alias("a")), "u").join(prints.select("v", F.col("parts").alias("b")), "v")
-    pairs = written(whole.filter(differ <= _most(3 * WORDS * DEPTH, similarity)).select("u", "v"), "pairs")
+    whole = pairs.join(prints.select(F.col("v").alias("u"), F.col("x").alias("a")), "u").join(prints.select("v", F.col("x").alias("b")), "v")
+    pairs = written(whole.filter(differ <= _most(64 * words, similarity)).select("u", "v"), "pairs")
     need = written(pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct().join(prints, "v").select("v", F.col("first.key").alias("key_")), "need")
     texts = docs.select(row_key(id_col).alias("key_"), "text").join(need, "key_")
     held = written(texts.select("v", hashed("text").alias("shingles")).dropDuplicates(["v"]), "shingles")
@@ -182,34 +194,42 @@ def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int,
     return written(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
 
 
+def _differ(similarity: float) -> float:
+    """Share of the bits in which two sets of that Jaccard similarity and equal size differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def _most(bits: int, similarity: float) -> int:
     """Bits that differ at most, at five standard deviations over the mean, in two sets of that similarity and equal size."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    p = _differ(similarity)
     return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """Links (u, v) between rows of ``with_parts``: all are of that Jaccard similarity, and their components are those of all such pairs that share a part.
+def similar_links(docs: DataFrame, prints: DataFrame, depth: int, parts: int, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """Links (u, v) between rows of ``with_prints``: all are of that Jaccard similarity, and their components are those of all such pairs that share a part.
 
-    A long fingerprint is cut into parts of ``DEPTH`` bits, each with a trie and a budget of no bit: texts
+    A long fingerprint is cut into parts of ``depth`` bits, each with a trie and a budget of no bit: texts
     meet in the nodes at that depth. First each text of a node is compared with the node's smallest and
     largest one, which joins large groups by few comparisons; then texts of one node are compared if they
     are still in different groups. Nodes that are one group are done, so copies are never paired with each other.
+    Nodes are counted map-side before they are shuffled, and most have one text and go.
     """
-    at = prints.select("v", "f0", F.explode("parts").alias("node"))
-    shared = at.groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).filter("n > 1")
+    words = max(4, math.ceil(parts / (64 // depth)))
+    at = prints.select("v", F.explode(_cut("x", depth, parts)).alias("node"))
+    shared = at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     at = written(at.join(shared, "node"), "nodes")
-    ends = at.filter("n > 1").select(F.explode(F.array(F.struct(F.col("low").alias("u"), "v"), F.struct(F.col("v").alias("u"), F.col("high").alias("v")))).alias("x")).select("x.*").filter("u < v")
-    links = _similar(ends, docs, prints, shingle, similarity, id_col)
+    of = at.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = at.join(of, "node").select(F.explode(F.array(F.struct(F.col("low").alias("u"), "v"), F.struct(F.col("v").alias("u"), F.col("high").alias("v")))).alias("x")).select("x.*").filter("u < v")
+    links = _similar(ends, docs, prints, words, shingle, similarity, id_col)
     roots = components(links).select(F.col("node").alias("v"), "root")
-    many = at.filter("n > 2").select("node", "v", "f0").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    many = at.filter("n > 2").select("node", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     group = many.groupBy("node", "root").agg(F.count("*").alias("m"))
     most = group.groupBy("node").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1").select("node", F.col("most.root").alias("main"))
-    open_ = written(many.join(most, "node"), "open")
+    open_ = written(many.join(most, "node").join(prints.select("v", F.col("x")[0].alias("f0")), "v"), "open")
     a = open_.filter("root != main").select("node", F.col("v").alias("u"), F.col("root").alias("ru"), F.col("f0").alias("fu"))
     pairs = a.join(open_, "node").filter((F.col("ru") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("u") < F.col("v"))) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("f0"))) <= _most(64, similarity)))
     rest = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return links.union(_similar(rest, docs, prints, shingle, similarity, id_col))
+    return links.union(_similar(rest, docs, prints, words, shingle, similarity, id_col))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
@@ -221,8 +241,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     them, are one group; texts may be of any length; an empty table gives an empty one. Texts are shuffled
     only for pairs that are compared and for rows repeated whole.
     """
-    prints = with_parts(docs, shingle, id_col)
-    roots = components(similar_links(docs, prints, shingle, similarity, id_col))
+    depth, parts = plan(docs.count(), similarity)
+    prints = with_prints(docs, depth, parts, shingle, id_col)
+    roots = components(similar_links(docs, prints, depth, parts, shingle, similarity, id_col))
     grouped = prints.select("v", "first").join(roots, F.col("v") == F.col("node"), "left")
     kept = written(grouped.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("k_")), "kept")
     names = {f"in{i}_": c for i, c in enumerate(docs.columns)}
