@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.graph import components
-from evidentia.llm.store import row_key, written
+from evidentia.llm.store import marked, row_key, written
 
 #: Shingles whose bits are counted at once.
 BLOCK = 50_000
@@ -187,7 +187,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, s
     whole = pairs.join(prints.select(F.col("v").alias("u"), F.col("x").alias("a")), "u").join(prints.select("v", F.col("x").alias("b")), "v")
     pairs = written(whole.filter(differ <= _most(64 * words, similarity)).select("u", "v"), "pairs")
     need = written(pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct().join(prints, "v").select("v", F.col("first.key").alias("key_")), "need")
-    texts = docs.select(row_key(id_col).alias("key_"), "text").join(need, "key_")
+    texts = marked(docs.select(row_key(id_col).alias("key_"), "text"), "key_", need.select("key_")).filter("likely_").join(need, "key_")
     held = written(texts.select("v", hashed("text").alias("shingles")).dropDuplicates(["v"]), "shingles")
     both = pairs.join(held.select(F.col("v").alias("u"), F.col("shingles").alias("a")), "u").join(held.select("v", F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -247,9 +247,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     grouped = prints.select("v", "first").join(roots, F.col("v") == F.col("node"), "left")
     kept = written(grouped.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("k_")), "kept")
     names = {f"in{i}_": c for i, c in enumerate(docs.columns)}
-    out = docs.select(row_key(id_col).alias("key_"), *(F.col(c).alias(i) for i, c in names.items())).join(kept, F.col("key_") == F.col("k_"), "left_semi")
-    again = written(docs.select(row_key(id_col).alias("a_")).groupBy("a_").agg(F.count("*").alias("n")).filter("n > 1").select("a_"), "repeated")
-    if not again.isEmpty():
-        on = F.col("key_") == F.col("a_")
-        out = out.join(again, on, "left_anti").union(out.join(again, on, "left_semi").dropDuplicates(["key_"]))
+    rows = docs.select(row_key(id_col).alias("key_"), *(F.col(c).alias(i) for i, c in names.items()))
+    every = docs.select(row_key(id_col).alias("a_")).groupBy("a_").agg(F.count("*").alias("n"))
+    other = written(every.join(kept, F.col("a_") == F.col("k_"), "left").filter("k_ is null or n > 1").select("a_", F.col("k_").isNull().alias("gone")), "other")
+    rows = marked(rows, "key_", other.select("a_"))
+    gone = other.filter("gone").select("a_")
+    rest = rows.filter("likely_").join(gone, F.col("key_") == F.col("a_"), "left_anti").dropDuplicates(["key_"])
+    out = rows.filter("not likely_").union(rest)
     return out.select(*(F.col(i).alias(c) for i, c in names.items()))
