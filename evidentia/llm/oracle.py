@@ -46,4 +46,11 @@ s as (select s0.*, owners from s0 join own using (v) where kind <> '{OWNED[0]}'
 g as (select doc_id, {', '.join(f"count(*) filter (kind = '{k[0]}') as n_{k[0]}" for k in (*KINDS, OWNED))}, string_agg(kind || ':' || a || ':' || e, ',' order by a, ord) filter (kind <> '{OWNED[0]}') as base, string_agg(kind || ':' || a || ':' || e, ',' order by a, ord) as spans, count(*) filter (owners < 3) as n_live, count(*) filter (owners >= 3) as n_example from s group by 1)
 select doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) as n_{k[0]}' for k in (*KINDS, OWNED))}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from documents left join g using (doc_id)"""
 
-ORACLE_SQL = {"op1_mixing": OP1, "op3_lm_score": OP3, "op6_secrets": OP6}
+OP12 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, other))::int as rank, other as negative_id, positive_score, score as negative_score
+ from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10"""
+
+ORACLE_SQL = {"op1_mixing": OP1, "op3_lm_score": OP3, "op6_secrets": OP6, "op12_hard_negatives": OP12}

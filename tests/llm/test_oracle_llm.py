@@ -12,6 +12,7 @@ def test_query(name, size, spark, sf):
     d = sf.rpartition("/")[0] + f"/{size}"
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet')")
+    con.execute(f"create view embeddings as select * from read_parquet('{d}/embeddings.parquet')")
     cur = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in cur.description]
     df = QUERIES[name](spark, d)
