@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import binary, langid, media, mixing, negatives, neighbours, packing, scoring, secrets, simhash, spelling, suffixes
+from evidentia.llm import binary, extraction, langid, media, mixing, negatives, neighbours, packing, scoring, secrets, simhash, spelling, suffixes
 from evidentia.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -54,6 +54,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_table(documents(spark, sf_dir))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -64,4 +68,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lm_score, op4_suffix_dedup, op5_neighbours, op6_secrets, op7_packing, op8_media, op9_language, op10_token_ids, op12_hard_negatives, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lm_score, op4_suffix_dedup, op5_neighbours, op6_secrets, op7_packing, op8_media, op9_language, op10_token_ids, op11_html_text, op12_hard_negatives, op13_spelling)}
