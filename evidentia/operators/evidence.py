@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,49 +45,49 @@ def freeze_evidence(cands: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def relevance(cands: DataFrame) -> DataFrame:
-    """Overlap, base score and eligibility of candidates (question, text, parent_text, position from 0). Provisions are kept once, first position first."""
-    first = top_k(cands, "question_id", ["provision", "position"], 10**9, "seen").withColumn("own", F.row_number().over(Window.partitionBy("question_id", "provision").orderBy("position"))).filter("own = 1").drop("own", "seen")
+    """Overlap, base score and eligibility of candidates (question, text, parent_text, position). Provisions are kept once, first position first, and positions are numbered again from 0."""
+    w = Window.partitionBy("question_id")
+    first = cands.withColumn("own", F.row_number().over(Window.partitionBy("question_id", "provision").orderBy("position"))).filter("own = 1").drop("own")
+    first = first.withColumn("position", F.row_number().over(w.orderBy("position")) - 1)
     q = fold_tokens(F.col("question"))
     t = F.array_union(fold_tokens(F.col("text")), fold_tokens(F.coalesce("parent_text", F.lit(""))))
     c = first.withColumns({"q_tokens": q, "tokens": t}).withColumn("shared", F.array_intersect("q_tokens", "tokens")).withColumn("overlap", F.size("shared"))
-    best = F.max("overlap").over(Window.partitionBy("question_id"))
+    best = F.max("overlap").over(w)
     least = F.when(F.size("q_tokens") <= 3, 1).otherwise(F.greatest(F.lit(1), F.floor((best + 1) / 2)))
     base = F.when(F.size("q_tokens") > 0, 0.65 * F.col("overlap") / F.size("q_tokens")).otherwise(0.0) + 0.20 / (F.col("position") + 1) + F.when(F.col("parent_text").isNotNull(), 0.15).otherwise(0.0)
     return c.withColumn("eligible", F.col("overlap") >= least).withColumn("base", base)
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_union(a, b))
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+
+
 def select_evidence(cands: DataFrame, limit: int = 3) -> DataFrame:
-    """Greedy selection by coverage less redundancy, with its diagnostics; groups are one question's candidates (200 at most by the retrieval limit).
+    """Greedy selection by coverage less redundancy, with its diagnostics, in ``limit`` rounds of windows over one partitioning by question.
 
-    First the best base score, then the best of 0.45 base + 0.40 marginal + 0.15 (1 - redundancy); a
-    candidate that adds nothing, or is weak or redundant, is passed over. Ties go to the earlier position.
+    First the best base score, then the best of 0.45 base + 0.40 marginal + 0.15 (1 - redundancy). A later candidate is
+    passed over only if it covers nothing new and is weak (base under 0.30) or redundant (0.85 or more). Ties
+    go to the earlier position. A question's candidates are never held in Python; any number of them will do.
     """
-    rel = relevance(cands).select("question_id", "id", "position", "q_tokens", "tokens", "shared", "base", "eligible")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf["eligible"]].sort_values("position").to_dict("records")
-        picked, covered, out = [], set(), []
-        while rows and len(picked) < limit:
-            scored = []
-            for r in rows:
-                marginal = len(set(r["shared"]) - covered) / max(1, len(r["q_tokens"]))
-                redundancy = max((len(set(r["tokens"]) & set(p["tokens"])) / max(1, len(set(r["tokens"]) | set(p["tokens"]))) for p in picked), default=0.0)
-                if not picked:
-                    scored.append((r["base"], -r["position"], r, marginal, redundancy, r["base"]))
-                elif marginal > 0 and not (r["base"] < 0.30 or redundancy >= 0.85):
-                    final = 0.45 * r["base"] + 0.40 * marginal + 0.15 * (1 - redundancy)
-                    scored.append((final, -r["position"], r, marginal, redundancy, final))
-            if not scored:
-                break
-            _, _, r, marginal, redundancy, final = max(scored, key=lambda x: x[:2])
-            picked.append(r)
-            covered |= set(r["shared"])
-            rows = [x for x in rows if x is not r]
-            out.append((r["question_id"], len(picked), r["id"], round(r["base"], 6), round(marginal, 6), round(redundancy, 6), round(final, 6)))
-        return pd.DataFrame(out, columns=["question_id", "pick", "id", "base", "marginal", "redundancy", "final"])
-
-    kind = rel.schema["question_id"].dataType.simpleString(), rel.schema["id"].dataType.simpleString()
-    return rel.groupBy("question_id").applyInPandas(greedy, f"question_id {kind[0]}, pick int, id {kind[1]}, base double, marginal double, redundancy double, final double")
+    w = Window.partitionBy("question_id")
+    c = relevance(cands).filter("eligible").select("question_id", "id", "position", "q_tokens", "tokens", "shared", "base")
+    c = c.withColumns({"pick": F.lit(None).cast("int"), "covered": F.array().cast("array<string>"), "marginal": F.lit(0.0), "redundancy": F.lit(0.0), "final": F.col("base")})
+    for no in range(1, limit + 1):
+        free = F.col("pick").isNull()
+        if no > 1:
+            marginal = F.size(F.array_except("shared", "covered")) / F.size("q_tokens")
+            c = c.withColumn("marginal", F.when(free, marginal).otherwise(F.col("marginal")))
+            c = c.withColumn("final", F.when(free, 0.45 * F.col("base") + 0.40 * F.col("marginal") + 0.15 * (1.0 - F.col("redundancy"))).otherwise(F.col("final")))
+            free = free & ~((F.col("marginal") == 0) & ((F.col("base") < 0.30) | (F.col("redundancy") >= 0.85)))
+        best = F.max(F.when(free, F.struct("final", (-F.col("position")).alias("back"), "tokens", "shared"))).over(w)
+        c = c.withColumn("best", best)
+        c = c.withColumn("pick", F.when(F.col("pick").isNull() & free & (F.col("position") == -F.col("best.back")), no).otherwise(F.col("pick")))
+        if no < limit:
+            seen = F.greatest("redundancy", jaccard(F.col("tokens"), F.col("best.tokens")))
+            c = c.withColumn("redundancy", F.when(F.col("pick").isNull() & F.col("best").isNotNull(), seen).otherwise(F.col("redundancy")))
+            c = c.withColumn("covered", F.when(F.col("best").isNull(), F.col("covered")).otherwise(F.array_union("covered", F.col("best.shared"))))
+    return c.filter("pick is not null").select("question_id", "pick", "id", *(F.round(x, 6).alias(x) for x in ("base", "marginal", "redundancy", "final")))
 
 
 def selection_fallbacks(cands: DataFrame, limit: int = 3) -> DataFrame:

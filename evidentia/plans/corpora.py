@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators import audit, corpus
+from evidentia.operators import audit, corpus, law
+from evidentia.plans import structures
 from evidentia.plans.inputs import PROVISIONS, provisions, sql, t
-from evidentia.plans.registry import query
+from evidentia.plans.register import query
 from evidentia.sources import io
 from evidentia.streaming import stream
 
@@ -197,11 +198,28 @@ def _(s, d):
     return corpus.run_ledger(r, e.select(C("user_id").alias("source_id"), F.lit("p").alias("parser")).distinct()).select("source_id", "outcome")
 
 
-@query("D6_reproject")
+@query("D6_reproject", sql(structures.LAWS, structures.LAW_ROWS, "select doc_id, document_order, stable_key, parent_key, provision_type, number_label, text, status, pos_start, pos_end, anchor from law_rows where doc_id % 11 <> 0"))
 def _(s, d):
-    from evidentia.plans.structures import lines
+    """Provisions of whole laws from their stored bytes."""
+    return law.reproject(structures.law_snapshots(s, d)).provisions.drop("version", "content_hash")
 
-    return corpus.reproject(lines(s, d))
+
+@query("D6_units", sql(structures.LAWS, structures.LAW_ROWS, "select doc_id, stable_key as unit_key, sha256(text) as content_hash from law_rows where doc_id % 11 <> 0 and text is not null"))
+def _(s, d):
+    return law.reproject(structures.law_snapshots(s, d)).units.select("doc_id", "unit_key", "content_hash")
+
+
+@query("D6_rejects", sql(structures.LAWS, "select doc_id, 'STRUCTURE' as stage, pos, reason from law_rejects where doc_id % 11 <> 0 union all select distinct doc_id, 'DECODE', -1, 'UnicodeDecodeError' from lines where doc_id % 11 = 0"))
+def _(s, d):
+    return law.reproject(structures.law_snapshots(s, d)).rejected.select("doc_id", "stage", "pos", "reason")
+
+
+@query("D6_reparse_difference", sql(structures.LAWS, structures.LAW_ROWS, "select doc_id, document_order, stable_key, case when document_order % 9 = 4 then 'NEW' else 'MISSING_NOW' end as change, 1::bigint as n from law_rows where doc_id % 11 <> 0 and document_order % 9 in (4, 7) union all select doc_id, document_order, stable_key, 'NEW', 1 from law_rows where doc_id % 11 <> 0 and document_order % 9 = 7"))
+def _(s, d):
+    """A stored table that lacks some rows and holds others in an older form, against what its bytes give now."""
+    now = law.reproject(structures.law_snapshots(s, d)).provisions
+    stored = now.filter("document_order % 9 != 4").withColumn("number_label", F.when(C("document_order") % 9 == 7, "old").otherwise(C("number_label")))
+    return law.reparse_difference(stored, now).select("doc_id", "document_order", "stable_key", "change", "n")
 
 
 # --- audits ---
@@ -262,12 +280,11 @@ def _(s, d):
     return s.read.parquet(f"{path}/table").select("source_id", "sha256")
 
 
-@query("K2_stream_materialize")
+@query("K2_stream_materialize", sql(structures.LINES, structures.CLASSED, structures.CARRIED, "select doc_id, document_order, stable_key, parent_key, text from flat"))
 def _(s, d):
-    from evidentia.plans.structures import lines
-
+    """Lines in three batches that split every document; the table as it is after the last."""
     path = scratch(s)
-    lines(s, d).repartition(6).write.parquet(f"{path}/lines")
+    structures.lines(s, d).repartition(6).write.parquet(f"{path}/lines")
     src = s.readStream.schema(s.read.parquet(f"{path}/lines").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/lines")
     stream.stream_materialize(src, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{path}/table").select("doc_id", "document_order", "stable_key")
+    return stream.materialized(s, f"{path}/table").select("doc_id", "document_order", "stable_key", "parent_key", "text")

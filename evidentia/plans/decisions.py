@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import evaluate, evidence, verify
 from evidentia.plans.inputs import CASES, ORDER_CANDS, PROVISIONS, cases, order_cands, provisions, sql, t, terms_sql
-from evidentia.plans.registry import query
+from evidentia.plans.register import query
 
 C = F.col
 
@@ -71,7 +71,16 @@ def _(s, d):
     return evidence.select_evidence(turns(s, d), 1).select("question_id", "pick", "id", "base")
 
 
-@query("G6_select_evidence_greedy")
+JACCARD = "(case when len(list_distinct(list_concat({a}, {b}))) = 0 then 0 else len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) end)"
+FINAL = "0.45::double * base + 0.40::double * m + 0.15::double * (1.0::double - red)"
+PICKS = f"""p1 as (select *, 0::double as m, 0::double as red, base as f from rel where eligible qualify row_number() over (partition by question_id order by base desc, position) = 1),
+s2 as (select r.*, len(list_filter(r.shared, lambda a: not list_contains(p1.shared, a)))::double / len(r.q) as m, {JACCARD.format(a='r.tk', b='p1.tk')} as red from rel r join p1 using (question_id) where r.eligible and r.id <> p1.id),
+p2 as (select *, {FINAL} as f from s2 where not (m = 0 and (base < 0.30::double or red >= 0.85::double)) qualify row_number() over (partition by question_id order by {FINAL} desc, position) = 1),
+s3 as (select r.*, len(list_filter(r.shared, lambda a: not list_contains(p1.shared, a) and not list_contains(p2.shared, a)))::double / len(r.q) as m, greatest({JACCARD.format(a='r.tk', b='p1.tk')}, {JACCARD.format(a='r.tk', b='p2.tk')}) as red from rel r join p1 using (question_id) join p2 using (question_id) where r.eligible and r.id <> p1.id and r.id <> p2.id),
+p3 as (select *, {FINAL} as f from s3 where not (m = 0 and (base < 0.30::double or red >= 0.85::double)) qualify row_number() over (partition by question_id order by {FINAL} desc, position) = 1)"""
+
+
+@query("G6_select_evidence_greedy", sql(TURNS, PICKS, "select question_id, pick::int as pick, id, round(base, 6) as base, round(m, 6) as marginal, round(red, 6) as redundancy, round(f, 6) as final from (select 1 as pick, question_id, id, base, m, red, f from p1 union all select 2, question_id, id, base, m, red, f from p2 union all select 3, question_id, id, base, m, red, f from p3)"))
 def _(s, d):
     return evidence.select_evidence(turns(s, d), 3)
 

@@ -1,21 +1,4 @@
 """All queries by name and their SQL."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under ``name``, with its DuckDB form if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-from evidentia.plans import corpora, decisions, retrieval, structures, texts  # noqa: E402, F401
+from evidentia.plans import corpora, decisions, retrieval, structures, texts  # noqa: F401
+from evidentia.plans.register import ORACLE_SQL, QUERIES  # noqa: F401

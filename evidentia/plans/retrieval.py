@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import index, retrieve
 from evidentia.plans.inputs import POSTINGS, QTERMS, QUESTIONS, TREE, UNITS, WHOLE_QUESTIONS, questions, sql, t, tree, units, vectors, whole_questions
-from evidentia.plans.registry import ORACLE_SQL, query
+from evidentia.plans.register import ORACLE_SQL, query
 
 C = F.col
 HITS = "hits as (select q.question_id, q.slot, q.n_terms, p.unit_key, p.tf, p.positions from qterms q join postings p using (version, term))"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators import audit, structure
+from evidentia.operators import audit, law, structure
 from evidentia.plans.inputs import TREE, sql, t, tree
-from evidentia.plans.registry import query
+from evidentia.plans.register import query
 
 C = F.col
 
@@ -33,11 +33,6 @@ def _(s, d):
     return structure.html_blocks(t(s, d, "pages")).select("page_id", "block", "in_table", "any_struck", "fully_struck")
 
 
-@query("C4_block_anchors")
-def _(s, d):
-    return structure.html_blocks(t(s, d, "pages")).select("page_id", "block", F.explode("anchors").alias("anchor"), F.get("anchors", F.lit(0)).alias("first_anchor"))
-
-
 def lines(s, d) -> DataFrame:
     """Statute-like lines made of the line items of an order."""
     x = tree(s, d).join(t(s, d, "lineitem").groupBy("l_orderkey").agg(F.first("l_orderkey").alias("k")), "l_orderkey")
@@ -115,6 +110,88 @@ def _(s, d):
     return structure.unsupported_blocks(classed(s, d))
 
 
+# --- whole laws: lines as pages with header, anchors, tables and struck text ---
+
+
+def law_pages(s, d) -> DataFrame:
+    """The lines of an order as a page: a header and a summary before them, a tail behind the end of the page."""
+    pos, line = C("pos") + 2, C("text")
+    inner = F.concat(F.when(pos % 2 == 0, F.format_string('<a name="a%s"></a>', pos)).otherwise(""), F.when(pos % 4 == 1, F.concat(F.lit("<strike>"), line, F.lit("</strike>"))).otherwise(line))
+    p = F.concat(F.lit("<p>"), inner, F.lit("</p>"))
+    p = F.when(pos % 5 == 2, F.concat(F.lit("<table><tr><td>"), p, F.lit("</td></tr></table>"))).otherwise(p)
+    body = lines(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", p.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
+    head = F.concat(F.when(C("doc_id") % 13 == 0, "<html><body><p>DECRETO <s>").otherwise("<html><body><p>LEI Nº <s>"), C("doc_id").cast("string"), F.lit("</s></p><p>Ementa.</p>"))
+    return body.select("doc_id", F.concat(head, "body", F.lit("</body></html><script>t</script><p>tail</p>")).alias("html"))
+
+
+def law_snapshots(s, d) -> DataFrame:
+    """The pages as stored bytes; of some the last byte stands for no character."""
+    raw = F.encode("html", "ISO-8859-1")
+    return law_pages(s, d).select("doc_id", F.when(C("doc_id") % 11 == 0, F.concat(raw, F.unhex(F.lit("81")))).otherwise(raw).alias("raw_bytes"))
+
+
+def law_lines(s, d) -> DataFrame:
+    x = lines(s, d)
+    docs = x.select("doc_id").distinct()
+    head = F.concat(F.when(C("doc_id") % 13 == 0, "DECRETO ").otherwise("LEI Nº "), C("doc_id").cast("string"))
+    return x.withColumn("pos", C("pos") + 2).unionByName(docs.select("doc_id", F.lit(0).alias("pos"), head.alias("text"))).unionByName(docs.select("doc_id", F.lit(1).alias("pos"), F.lit("Ementa.").alias("text")))
+
+
+PLACED = "('CHAPTER', 'ARTICLE', 'PARAGRAPH', 'SOLE', 'INCISO')"
+LAWS = LINES + f""",
+law0 as (select distinct doc_id, 0 as pos, case when doc_id % 13 = 0 then 'DECRETO ' else 'LEI Nº ' end || doc_id as text from lines union all select distinct doc_id, 1, 'Ementa.' from lines union all select doc_id, pos + 2, text from lines),
+law1 as (select doc_id, pos, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+([,.;:])', '\\1', 'g')) as text from law0),
+law2 as (select *, case when text like 'CAPÍTULO %' then 'CHAPTER' when text like 'Art. %' then 'ARTICLE' when text like '§ %' then 'PARAGRAPH' when text like 'Parágrafo único.%' then 'SOLE' when text like '% - inciso' then 'INCISO' when text like 'LEI N%' then 'HEADER' else 'TEXT' end as class,
+ case when text like 'CAPÍTULO %' then 'I' when text like 'Art. %' or text like '§ %' then regexp_extract(text, '(\\d+)', 1) when text like 'Parágrafo único.%' then 'UNIQUE' when text like '% - inciso' then regexp_extract(text, '^([IV]+)', 1) end as label from law1),
+law3 as (select *, min(case when class = 'HEADER' then pos end) over d as h, min(case when class = 'CHAPTER' then pos end) over d as c0, max(case when class in {PLACED} then pos end) over d as ls from law2 window d as (partition by doc_id)),
+law4 as (select *, coalesce(h < c0, false) as sound, coalesce(h < c0, false) and text <> '' and pos >= h and pos < c0 as root, coalesce(h < c0, false) and text <> '' and pos >= c0 as live from law3),
+law5 as (select *, case when live and class in {PLACED} then class end as kind from law4),
+law6 as (select *, max(case when kind is not null then pos end) over w as b_pos, max(case when kind = 'CHAPTER' then pos end) over w as ch_pos, max(case when kind = 'ARTICLE' then pos end) over w as art_pos from law5 window w as (partition by doc_id order by pos)),
+law7 as (select x.*, b.kind = 'CHAPTER' and b.text = 'CAPÍTULO I' as bare, case when art_pos > ch_pos then 'ARTICLE:' || a.label end as article from law6 x left join law2 a on a.doc_id = x.doc_id and a.pos = x.art_pos left join law5 b on b.doc_id = x.doc_id and b.pos = x.b_pos),
+law8 as (select *, case when kind = 'ARTICLE' then article || '/CAPUT' when kind in ('PARAGRAPH', 'SOLE') then article || '/PARAGRAPH:' || label end as own from law7),
+law9 as (select *, max(case when own is not null then pos end) over (partition by doc_id order by pos) as host_pos from law8),
+law10 as (select x.*, case when x.host_pos > x.ch_pos then v.own end as host, x.live and x.kind is null and coalesce(x.bare, false) as title from law9 x left join law8 v on v.doc_id = x.doc_id and v.pos = x.host_pos),
+law11 as (select *, coalesce(text <> '' and not root and not title and (pos < h or pos > ls), false) as chrome, case when root then h when title then b_pos else pos end as opener,
+ case when root then 'PREAMBLE' when title or kind = 'CHAPTER' then 'CHAPTER:I' when kind in ('ARTICLE', 'PARAGRAPH', 'SOLE') then own when kind = 'INCISO' then host || '/INCISO:' || label end as key,
+ case when kind = 'CHAPTER' then 'PREAMBLE' when kind in ('ARTICLE', 'PARAGRAPH', 'SOLE') then article when kind = 'INCISO' then host end as parent from law10),
+law12 as (select *, case when live and not chrome and key is null then case when kind = 'INCISO' then 'INCISO_WITHOUT_PARENT' when kind is not null then 'PARAGRAPH_WITHOUT_ARTICLE' else 'UNMATCHED_TEXT' end end as why from law11),
+law_rejects as (select doc_id, case when bool_and(sound) then min(case when why is not null then pos end) else -1 end as pos, case when bool_and(sound) then arg_min(why, pos) filter (why is not null) else 'NO_PREAMBLE' end as reason from law12 group by 1 having not bool_and(sound) or count(why) > 0),
+law as (select * from law12 where doc_id not in (select doc_id from law_rejects))"""
+LAW_ROWS = """joined as (select doc_id, opener, key, string_agg(text, chr(10) order by pos) as text, min(pos) as pos_start, max(pos) as pos_end, max(kind) as kind, max(label) as label, max(parent) as parent from law where key is not null group by all),
+parts as (select doc_id, opener, 0 as sub, case when kind = 'ARTICLE' then parent else key end as stable_key, case when kind = 'ARTICLE' then 'CHAPTER:I' else parent end as parent_key, case when key = 'PREAMBLE' then 'DOCUMENT_ROOT' when kind = 'SOLE' then 'PARAGRAPH' else kind end as provision_type, case when key <> 'PREAMBLE' then label end as number_label, case when kind = 'ARTICLE' then null else text end as text, pos_start, pos_end from joined
+ union all select doc_id, opener, 1, key, parent, 'CAPUT', null, text, pos_start, pos_end from joined where kind = 'ARTICLE'),
+law_rows as (select doc_id, row_number() over (partition by doc_id order by opener, sub)::int as document_order, stable_key, parent_key, provision_type, number_label, text, 'IN_FORCE' as status, pos_start, pos_end, case when pos_start % 2 = 0 and pos_start > 1 then 'a' || pos_start end as anchor from parts)"""
+FLAGS = LINES + """,
+blocks as (select doc_id, pos + 2 as block, pos + 2 > 1 and (pos + 2) % 5 = 2 as in_table, text <> '' and (pos + 2) % 4 = 1 as any_struck, text <> '' and (pos + 2) % 4 = 1 as fully_struck, case when (pos + 2) % 2 = 0 then 'a' || (pos + 2) end as anchor from lines
+ union all select distinct doc_id, 0, false, true, false, null from lines union all select distinct doc_id, 1, false, false, false, null from lines)"""
+
+
+@query("C3_law_block_flags", sql(FLAGS, "select doc_id, block, in_table, any_struck, fully_struck from blocks union all select distinct doc_id, max(block) over (partition by doc_id) + 1, false, false, false from blocks"))
+def _(s, d):
+    """Also of the paragraph behind the page's end, which is cut off only later."""
+    return structure.html_blocks(law_pages(s, d), "doc_id").select("doc_id", "block", "in_table", "any_struck", "fully_struck")
+
+
+@query("C4_block_anchors", sql(FLAGS, "select doc_id, block, anchor, anchor as first_anchor from blocks where anchor is not null"))
+def _(s, d):
+    return structure.html_blocks(law_pages(s, d), "doc_id").select("doc_id", "block", F.explode("anchors").alias("anchor"), F.get("anchors", F.lit(0)).alias("first_anchor"))
+
+
+@query("C7_law_provisions", sql(LAWS, LAW_ROWS, "select doc_id, document_order, stable_key, parent_key, provision_type, number_label, text, status, pos_start, pos_end from law_rows"))
+def _(s, d):
+    return law.parse_law(law_lines(s, d)).provisions.drop("anchor")
+
+
+@query("C9_law_coverage", sql(LAWS, "select doc_id, pos, key as consumed_by, case when text = '' then 'EMPTY' when chrome then 'CHROME' end as ignored_reason from law"))
+def _(s, d):
+    return law.parse_law(law_lines(s, d)).coverage
+
+
+@query("C10_law_rejects", sql(LAWS, "select doc_id, pos, reason from law_rejects"))
+def _(s, d):
+    return law.parse_law(law_lines(s, d)).rejected.select("doc_id", "pos", "reason")
+
+
 KINDS = ("TITLE", "CHAPTER", "ARTICLE", "PARAGRAPH", "INCISO", "ALINEA", "ITEM")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import sqlfuncs, text
 from evidentia.operators import evidence, index
 from evidentia.plans.inputs import POSTINGS, QTERMS, QUESTIONS, STOP, TREE, UNITS, questions, sql, t, terms_sql, tree, units
-from evidentia.plans.registry import query
+from evidentia.plans.register import query
 
 C = F.col
 
@@ -24,7 +24,7 @@ def _(s, d):
     return text.check_integrity(x).select("doc_id", "sha_ok", "length_ok")
 
 
-@query("B3_decode_strict")
+@query("B3_decode_strict", "select doc_id, case when doc_id % 10 <> 3 then length(text) end::int as length, case when doc_id % 10 = 3 then 'UnicodeDecodeError' end as error from documents")
 def _(s, d):
     x = t(s, d, "documents").select("doc_id", F.when(C("doc_id") % 10 == 3, F.concat(C("text").cast("binary"), F.unhex(F.lit("ff")))).otherwise(C("text").cast("binary")).alias("raw"))
     return x.select("doc_id", text.decode_strict(C("raw")).alias("r")).select("doc_id", F.length("r.text").alias("length"), "r.error")
