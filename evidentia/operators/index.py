@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import content_hash, fold_terms
@@ -33,6 +33,47 @@ def build_postings(units: DataFrame, text: str = "text", **shape) -> DataFrame:
     return p.withColumn("tf", F.size("positions"))
 
 
+BUCKETED = ("version", "term")
+
+
+def _append(df: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Appended to a table in parts by version and buckets by (version, term): a task writes the one bucket that its rows hash to."""
+    w = df.repartition(buckets, *BUCKETED).withColumn("part", F.col("version")).write.mode("append").partitionBy("part").bucketBy(buckets, *BUCKETED).sortBy(*BUCKETED)
+    (w if df.sparkSession.catalog.tableExists(name) else w.option("path", path)).saveAsTable(name)
+
+
+def store_index(units: DataFrame, name: str, path: str, buckets: int = 64, **shape) -> None:
+    """Postings and document frequencies as tables ``name`` and ``name_df``, bucketed by (version, term), with sizes in ``name_sizes``; versions are appended.
+
+    Joins on (version, term) and groupings by it read the buckets as they lie: no posting is shuffled again.
+    ``path`` and ``buckets`` are fixed with the first call; there should be so many that they leave a bucket of a version some hundred MB at most. A version is
+    stored once; :func:`withdraw_version` takes it out before it is stored anew.
+    """
+    spark = units.sparkSession
+    versions = [r.version for r in units.select("version").distinct().collect()] if spark.catalog.tableExists(f"{name}_sizes") else []
+    have = {r.part for r in spark.table(f"{name}_sizes").select("part").distinct().collect()} if versions else set()
+    if again := have & set(versions):
+        raise ValueError(f"versions are stored already: {sorted(again)}")
+    _append(build_postings(units, **shape), name, f"{path}/postings", buckets)
+    new = spark.table(name).filter(~F.col("part").isin(*have)) if have else spark.table(name)
+    _append(document_frequency(new), f"{name}_df", f"{path}/df", buckets)
+    sizes = corpus_size(units).withColumn("part", F.col("version"))
+    w = sizes.coalesce(1).write.mode("append").partitionBy("part")
+    (w if spark.catalog.tableExists(f"{name}_sizes") else w.option("path", f"{path}/sizes")).saveAsTable(f"{name}_sizes")
+
+
+def withdraw_version(spark: SparkSession, name: str, version: str) -> None:
+    """A version's postings, frequencies and size are gone; other versions' files are not touched."""
+    for t in (name, f"{name}_df", f"{name}_sizes"):
+        nothing = spark.createDataFrame([], spark.table(t).drop("part").schema)
+        spark.sql(f"insert overwrite table {t} partition (part = :v) select * from {{nothing}}", args={"v": version}, nothing=nothing)
+
+
+def stored(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, document frequencies and sizes of a stored index."""
+    return tuple(spark.table(t).drop("part") for t in (name, f"{name}_df", f"{name}_sizes"))
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("version", "term").agg(F.count("*").alias("df"))
 

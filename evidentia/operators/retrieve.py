@@ -87,43 +87,130 @@ def lexical_search(questions: DataFrame, postings: DataFrame, limit: int = 200,
     return top_k(s, "question_id", [F.desc("score"), "unit_key"], limit)
 
 
+#: Rows and queries of a block; a block of rows passes by a block of queries in one task.
+ROW_BLOCK, QUERY_BLOCK, MOST_SLABS = 8_192, 16_384, 4_096
+
+
+def unit_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(id, dim, vector) of the rows whose vector can be compared: not null, all components finite, not zero; scaled to length one."""
+    v = F.col("vector")
+    ok = v.isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    d = df.select(F.col(key).cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector")).filter(ok)
+    d = d.withColumn("norm", norm).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    return d.select("id", F.size("vector").alias("dim"), F.transform("vector", lambda x: x / F.col("norm")).alias("vector"))
+
+
+def _best_of_cells(both: DataFrame, k: int, parts: int) -> DataFrame:
+    """Of rows (cell, kind, id, vector), kind 0 queries before kind 1 rows: each query's ``k`` best rows in its cell, which stream past it."""
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if scores.shape[1] > k:  # all that tie with the k-th stay for the order by id
+            least = np.partition(scores, -k, axis=1)[:, -k, None]
+            q, r = np.nonzero(scores >= least)
+        else:
+            q, r = np.nonzero(np.ones_like(scores, dtype=bool))
+        s, i = scores[q, r], ids[q, r]
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top_s, top_i = np.full((len(scores), k), -np.inf), np.full((len(scores), k), np.iinfo(np.int64).max)
+        first = place < k
+        top_s[q[first], place[first]], top_i[q[first], place[first]] = s[first], i[first]
+        return top_s, top_i
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, asked, found = None, [], [], None
+
+        def answers() -> Iterator[pd.DataFrame]:
+            if found is not None:
+                q, c = np.nonzero(found[0] > -np.inf)
+                yield pd.DataFrame({"question_id": np.concatenate(ids)[q], "id": found[1][q, c], "score": found[0][q, c]})
+
+        for pdf in batches:
+            for (cell, kind), part in pdf.groupby(["cell", "kind"], sort=False):
+                if cell != at:
+                    yield from answers()
+                    at, ids, asked, found = cell, [], [], None
+                x = np.array(part["vector"].tolist(), dtype=np.float64)
+                if kind == 0:
+                    ids.append(part["id"].to_numpy())
+                    asked.append(x)
+                elif asked:
+                    q = np.concatenate(asked)
+                    if found is None:
+                        found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+                    for s in range(0, len(q), 1_000):
+                        cut = slice(s, s + 1_000)
+                        scores = np.round(q[cut] @ x.T, 6)
+                        own = np.broadcast_to(part["id"].to_numpy(), scores.shape)
+                        found[0][cut], found[1][cut] = best(np.concatenate([found[0][cut], scores], axis=1), np.concatenate([found[1][cut], own], axis=1))
+        yield from answers()
+
+    return both.repartition(parts, "cell").sortWithinPartitions("cell", "kind").mapInPandas(run, "question_id long, id long, score double")
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine nearest rows: queries in blocks against all vectors, best k of each task first.
+    """Exact cosine nearest rows: blocks of queries meet slabs of vectors, each task keeps the best ``k`` of each of its queries.
+
+    ``queries``: question_id, vector; ``vectors``: id, vector, ids as longs. The query set is stated by the caller. Neither
+    side goes through the driver or is held whole: a block of queries stays in a task while a slab of vectors passes by, and
+    only the best of each are shuffled again. Vectors that are null, zero or hold nulls, NaN or infinities take no
+    part, vectors of other lengths do not meet; without queries or vectors the result is empty.
+    """
+    q, v = unit_vectors(queries, "question_id"), unit_vectors(vectors, "id")
+    n_q, n_v = queries.count(), vectors.count()
+    groups, slabs = -(-n_q // QUERY_BLOCK) or 1, min(MOST_SLABS, -(-n_v // ROW_BLOCK) or 1)
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("*", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), up_to(slabs).alias("s"), F.lit(0).alias("kind"))
+    v = v.select("*", up_to(groups).alias("g"), F.pmod(F.xxhash64("id"), F.lit(slabs)).alias("s"), F.lit(1).alias("kind"))
+    both = q.unionByName(v).select(((F.col("dim") * groups + F.col("g")) * slabs + F.col("s")).alias("cell"), "kind", "id", "vector")
+    return top_k(_best_of_cells(both, k, min(20_000, 2 * groups * slabs)), "question_id", [F.desc("score"), "id"], k)
+
+
+def plane_codes(df: DataFrame, tables: int, planes: int, probes: int, seed: int) -> DataFrame:
+    """(id, dim, vector, cell) of unit vectors: in each table the side of ``planes`` random hyperplanes, and as many cells as ``probes`` asks for, nearest first.
+
+    Further cells flip the plane that the vector is closest to, then the second closest, then both, and so on.
+    """
 
-    ``queries``: question_id, vector; ``vectors``: id, vector. The query set is stated by the caller; it goes to
-    the tasks in blocks of at most 2,000 vectors, each a pass over the vectors, which are never shuffled. Vectors
-    that are null, hold nulls or infinities, or are of another length than the longest query take no part.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        normals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim", sort=False):
+                if dim not in normals:
+                    normals[dim] = np.random.default_rng(seed).normal(size=(tables, planes, dim))
+                x = np.array(part["vector"].tolist(), dtype=np.float64)
+                for t in range(tables):
+                    side = x @ normals[dim][t].T
+                    bits, near = (side > 0).astype(np.int64), np.argsort(np.abs(side), axis=1)
+                    code = bits @ (1 << np.arange(planes))
+                    for p in range(probes):
+                        flips = sum((np.int64(1) << near[:, j] for j in range(planes) if p >> j & 1), np.zeros(len(x), np.int64))
+                        yield pd.DataFrame({"id": part["id"].to_numpy(), "dim": dim, "vector": part["vector"].to_numpy(), "cell": ((np.int64(dim) * tables + t) << planes) + (code ^ flips)})
+
+    return df.mapInPandas(run, "id long, dim int, vector array<double>, cell long")
+
+
+def vector_search_near(queries: DataFrame, vectors: DataFrame, k: int = 10, tables: int = 12, planes: int | None = None, probes: int = 4, salt_rows: int = 50_000, seed: int = 5) -> DataFrame:
+    """Approximate form of :func:`vector_search`: candidates share a cell of random hyperplanes in one of ``tables``, and are compared exactly.
+
+    The number of ``planes`` follows the table (some hundred rows a cell), so that a query meets a share of the rows that
+    shrinks as they grow. A cell with over ``salt_rows`` rows, say of copies, is dealt out over several tasks,
+    each with the cell's queries. Recall depends on how the vectors lie: structureless ones need more tables or probes; it
+    is to be measured against the exact form.
     """
-    spark = vectors.sparkSession
-    usable = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    queries = queries.filter(usable)
-    dim = queries.agg(F.max(F.size("vector"))).first()[0] or 0
-    queries, vectors = (x.filter(usable & (F.size("vector") == dim)) for x in (queries, vectors))
-    rows = queries.count()
-    blocks = max(1, -(-rows // 2000))
-    parts = queries.withColumn("b", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        own = parts.filter(F.col("b") == b).select("question_id", "vector").toPandas()
-        q = np.array(own["vector"].tolist(), dtype=np.float64).reshape(len(own), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((own["question_id"].to_numpy(), q))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for pdf in batches:
-                x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                if not len(x) or not len(q):
-                    continue
-                score = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-                own = pdf["id"].to_numpy()
-                for i in range(len(q)):
-                    top = np.lexsort((own, -score[i]))[:k]
-                    yield pd.DataFrame({"question_id": ids[i], "id": own[top], "score": score[i][top]})
-
-        found = vectors.select("id", "vector").mapInPandas(best, "question_id long, id long, score double")
-        out = found if out is None else out.union(found)
-    return top_k(out, "question_id", [F.desc("score"), "id"], k)
+    q, v = unit_vectors(queries, "question_id"), unit_vectors(vectors, "id")
+    n = vectors.count()
+    planes = planes or max(1, min(40, (n // 256).bit_length()))
+    coded = plane_codes(v, tables, planes, 1, seed)
+    asked = plane_codes(q, tables, planes, min(probes, 1 << planes), seed)
+    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts")).filter("salts > 1")
+    salted = lambda d, salt: d.join(sizes, "cell", "left").withColumn("salt", salt).select(F.xxhash64("cell", "salt").alias("cell"), "id", "vector")
+    asked = salted(asked, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).withColumn("kind", F.lit(0))
+    coded = salted(coded, F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).withColumn("kind", F.lit(1))
+    met = _best_of_cells(asked.unionByName(coded), k, max(16, min(20_000, n * tables // 50_000)))
+    return top_k(met.distinct(), "question_id", [F.desc("score"), "id"], k)
 
 
 def reciprocal_rank_fusion(channels: list[DataFrame], k: int = 60) -> DataFrame:

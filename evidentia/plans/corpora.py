@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +9,13 @@ from evidentia.operators import audit, corpus, law
 from evidentia.plans import structures
 from evidentia.plans.inputs import PROVISIONS, provisions, sql, t
 from evidentia.plans.register import query
+from evidentia.sources.scratch import scratch
 from evidentia.sources import io
 from evidentia.streaming import stream
 
 C = F.col
 
 
-def scratch(s) -> str:
-    """A folder that driver and executors share; one of this machine only where everything runs on it."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        s.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
-
-
 def snapshots(s, d) -> DataFrame:
     """Documents as captures of their source at the time of an event."""
     e = t(s, d, "events").select(C("event_id").alias("doc_id"), C("ts").alias("acquired_at"))
@@ -38,10 +25,10 @@ def snapshots(s, d) -> DataFrame:
 SNAP = "snap as (select doc_id as snapshot_id, source as source_id, sha256(text) as sha256, text, ts as acquired_at from documents join events on event_id = doc_id)"
 
 
-@query("A1_read_cases", "select item_id::varchar as case_id, 'c' || (item_id % 4) as category, substr(text, 1, 40) as question, 1 as n_expected from benchmark")
+@query("A1_read_cases", "select item_id::varchar as case_id, 'c' || (item_id % 4) as category, text as question, 1 as n_expected from benchmark")
 def _(s, d):
     """Cases written as one JSON dataset per category, read back."""
-    b = t(s, d, "benchmark").select(C("item_id").cast("string").alias("case_id"), F.concat(F.lit("c"), (C("item_id") % 4).cast("string")).alias("category"), F.substring("text", 1, 40).alias("question"), F.array(F.concat(F.lit("k"), "item_id")).alias("expected_provisions"))
+    b = t(s, d, "benchmark").select(C("item_id").cast("string").alias("case_id"), F.concat(F.lit("c"), (C("item_id") % 4).cast("string")).alias("category"), C("text").alias("question"), F.array(F.concat(F.lit("k"), "item_id")).alias("expected_provisions"))
     path = scratch(s)
     b.groupBy(C("category").alias("dataset")).agg(F.lit("1").alias("version"), F.collect_list(F.struct(*b.columns)).alias("cases")).select(F.to_json(F.struct("*")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return io.read_cases(s, path, "retrieval").select("case_id", "category", "question", F.size("expected_provisions").alias("n_expected"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import ACCENTED, FOLDED
+from evidentia.operators import index
 
 STOP = ("the", "and", "for", "with", "that", "les", "des", "der", "die", "und", "los", "las", "que")
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
@@ -25,23 +28,14 @@ UNITS = """units as (select lang as version, doc_id, doc_id || ':' || lpad((i)::
  from (select lang, doc_id, unnest(range(len(l))) as i, unnest(l) as line from (select lang, doc_id, string_split(text, chr(10)) as l from documents)) where regexp_matches(line, '\\S'))"""
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first twelve words of each benchmark passage, asked of each language."""
-    b = t(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"))
-    return b.select("*", F.explode(F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))).alias("version")).withColumn("question_id", F.concat_ws("-", "item_id", "version"))
-
-
-QUESTIONS = """questions as (select item_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') as question, version, item_id || '-' || version as question_id
- from benchmark, (values ('de'), ('en'), ('es'), ('fr')) v(version))"""
-
-
 def whole_questions(spark: SparkSession, d: str) -> DataFrame:
     """Each whole benchmark passage, asked of each language."""
     b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
     return b.select("*", F.explode(F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))).alias("version")).withColumn("question_id", F.concat_ws("-", "item_id", "version"))
 
 
-WHOLE_QUESTIONS = QUESTIONS.replace("array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ')", "text")
+WHOLE_QUESTIONS = """questions as (select item_id, text as question, version, item_id || '-' || version as question_id
+ from benchmark, (values ('de'), ('en'), ('es'), ('fr')) v(version))"""
 
 #: DuckDB form of fold_terms and fold_tokens over an expression.
 def terms_sql(x: str, stop: bool = False, min_len: int = 3, plural: bool = True, stem: int = 6) -> str:
@@ -129,3 +123,15 @@ CASES = f"""cases0 as (select doc_id::varchar as case_id, lang as category, qual
  {_arr('doc_id % 3 + 1', 3, 0)} as expected, {_arr('doc_id % 4 + 1', 2, 1)} as retrieved, {_arr('doc_id % 6 + 1', 2, 1)} as assembled, {_arr('doc_id % 2 + 1', 3, 1)} as cited, {_arr('1', 5, 2)} as acceptable
  from labels join documents using (doc_id)),
 cases as (select *, case when expect_answer then 'ANSWER' else 'ABSTAIN' end as expected_decision, case when answered then 'ANSWER' else 'ABSTAIN' end as decision, case when expect_answer then expected else [] end as required, case when answered then cited else [] end as citations from cases0)"""
+
+
+def stored_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, frequencies and sizes of the units, stored once in a session for the files as they are."""
+    from evidentia.sources.scratch import scratch
+
+    files = t(spark, d, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    state = files.agg(F.count("*"), F.expr("sum(cast(xxhash64(file_path, file_modification_time, file_size) as decimal(38, 0)))")).first()
+    name = "postings_" + hashlib.md5(str(tuple(state)).encode()).hexdigest()[:16]
+    if not spark.catalog.tableExists(f"{name}_sizes"):
+        index.store_index(units(spark, d), name, scratch(spark), buckets=32)
+    return index.stored(spark, name)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators import index, retrieve
-from evidentia.plans.inputs import POSTINGS, QTERMS, QUESTIONS, TREE, UNITS, WHOLE_QUESTIONS, questions, sql, t, tree, units, vectors, whole_questions
-from evidentia.plans.register import ORACLE_SQL, query
+from evidentia.plans.inputs import POSTINGS, QTERMS, TREE, UNITS, WHOLE_QUESTIONS, sql, stored_index, t, tree, vectors, whole_questions
+from evidentia.plans.register import query
 
 C = F.col
 HITS = "hits as (select q.question_id, q.slot, q.n_terms, p.unit_key, p.tf, p.positions from qterms q join postings p using (version, term))"
@@ -15,7 +15,7 @@ RANKED = "select * from (select *, row_number() over (partition by question_id o
 OR_SCORE = "scored as (select question_id, unit_key, round(sum(tf) * 0.1, 6) as score from hits group by all)"
 
 
-@query("F1_search_strict", sql(QUESTIONS.replace("1, 12", "1, 2"), UNITS, POSTINGS, QTERMS, HITS, """full_units as (select question_id, unit_key, max(n_terms) as n from hits group by all having count(*) = max(n_terms)),
+@query("F1_search_strict", sql(WHOLE_QUESTIONS, UNITS, POSTINGS, QTERMS, HITS, """full_units as (select question_id, unit_key, max(n_terms) as n from hits group by all having count(*) = max(n_terms)),
 occ as (select h.question_id, h.unit_key, f.n, h.slot, unnest(h.positions) as p from hits h join full_units f using (question_id, unit_key)),
 ends as (select a.question_id, a.unit_key, a.n, a.p as r, b.slot, max(b.p) as latest from occ a join occ b using (question_id, unit_key) where b.p <= a.p group by all),
 lefts as (select question_id, unit_key, r, min(latest) as l from ends group by question_id, unit_key, n, r having count(*) = n),
@@ -23,13 +23,12 @@ covers as (select *, lag(l) over (partition by question_id, unit_key order by r)
 kept as (select question_id, unit_key, l, r, (select count(*) from occ o where o.question_id = c.question_id and o.unit_key = c.unit_key and o.p between c.l and c.r) as m from covers c where before is null or l > before),
 scored as (select question_id, unit_key, round(sum(0.1::double / (1 + (r - l) - (m - 1))), 6) as score from kept group by all)""", RANKED.format(order="score desc, unit_key", rows="scored", k=10)))
 def _(s, d):
-    q = questions(s, d).withColumn("question", F.array_join(F.slice(F.split("question", " "), 1, 2), " "))
-    return retrieve.search_strict(q, index.build_postings(units(s, d)))
+    return retrieve.search_strict(whole_questions(s, d), stored_index(s, d)[0])
 
 
-@query("F2_search_relaxed_or", sql(QUESTIONS, UNITS, POSTINGS, QTERMS, HITS, OR_SCORE, RANKED.format(order="score desc, unit_key", rows="scored", k=10)))
+@query("F2_search_relaxed_or", sql(WHOLE_QUESTIONS, UNITS, POSTINGS, QTERMS, HITS, OR_SCORE, RANKED.format(order="score desc, unit_key", rows="scored", k=10)))
 def _(s, d):
-    return retrieve.search_relaxed_or(questions(s, d), index.build_postings(units(s, d)))
+    return retrieve.search_relaxed_or(whole_questions(s, d), stored_index(s, d)[0])
 
 
 F3 = """w as (select q.question_id, q.version, q.term, coalesce(ln((n_units + 1) / (df + 1)), ln(coalesce(n_units, 0) + 1.0)) as weight from qterms q left join sizes using (version) left join freq using (version, term)),
@@ -38,19 +37,17 @@ m as (select question_id, unit_key, count(*) as matched, sum(weight) as ww, sum(
 scored as (select question_id, unit_key, round(case when total <> 0 then ww / total end, 6) as weighted_coverage, round(matched / n, 6) as coverage, round(tf * 0.1, 6) as score from m join totals using (question_id))"""
 
 
-@query("F3_search_weighted_coverage", sql(QUESTIONS, UNITS, POSTINGS, QTERMS, F3, RANKED.format(order="weighted_coverage desc, coverage desc, score desc, unit_key", rows="scored", k=10)))
+@query("F3_search_weighted_coverage", sql(WHOLE_QUESTIONS, UNITS, POSTINGS, QTERMS, F3, RANKED.format(order="weighted_coverage desc, coverage desc, score desc, unit_key", rows="scored", k=10)))
 def f3(s, d) -> DataFrame:
-    u = units(s, d)
-    p, n = index.build_postings(u), index.corpus_size(u)
-    return retrieve.search_weighted_coverage(questions(s, d), p, index.idf_weights(index.document_frequency(p), n), n)
+    postings, df, sizes = stored_index(s, d)
+    return retrieve.search_weighted_coverage(whole_questions(s, d), postings, index.idf_weights(df, sizes), sizes)
 
 
-@query("F4_lexical_search", sql(QUESTIONS.replace("1, 12", "1, 2"), UNITS, POSTINGS, QTERMS, HITS, """places as (select question_id, unit_key, n_terms, unnest(list_transform(positions, lambda p: p - slot)) as base from hits),
+@query("F4_lexical_search", sql(WHOLE_QUESTIONS, UNITS, POSTINGS, QTERMS, HITS, """places as (select question_id, unit_key, n_terms, unnest(list_transform(positions, lambda p: p - slot)) as base from hits),
 phrases as (select question_id, unit_key, count(*) as n from (select question_id, unit_key, base from places group by question_id, unit_key, n_terms, base having count(*) = n_terms) group by all),
 scored as (select question_id, unit_key, round(sum(tf) * 0.1 + 2.0 * case when max(n_terms) > 1 then coalesce(max(n), 0) else sum(tf) end, 6)::double as score from hits left join phrases using (question_id, unit_key) group by all)""", RANKED.format(order="score desc, unit_key", rows="scored", k=20)))
 def _(s, d):
-    q = questions(s, d).withColumn("question", F.array_join(F.slice(F.split("question", " "), 1, 2), " "))
-    return retrieve.lexical_search(q, index.build_postings(units(s, d)), 20)
+    return retrieve.lexical_search(whole_questions(s, d), stored_index(s, d)[0], 20)
 
 
 COS = "cosines as (select q.vec_id as question_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0)"
@@ -62,6 +59,13 @@ def f6(s, d) -> DataFrame:
     return retrieve.vector_search(v.filter("id % 50 = 0").select(C("id").alias("question_id"), "vector"), v)
 
 
+@query("F6_vector_search_near")
+def _(s, d):
+    """By cells of random hyperplanes; tests measure its recall against the exact form."""
+    v = vectors(s, d)
+    return retrieve.vector_search_near(v.filter("id % 50 = 0").select(C("id").alias("question_id"), "vector"), v, tables=24, probes=16)
+
+
 def channels(s, d) -> list[DataFrame]:
     """Two rankings of each customer's orders: by price and by date."""
     o = t(s, d, "orders").select(C("o_custkey").alias("question_id"), C("o_orderkey").alias("id"), "o_totalprice", "o_orderdate", (C("o_custkey") % 4 == 0).alias("is_short"))
@@ -104,11 +108,11 @@ def _tok(c: str) -> str:
     return f"list_distinct({terms_sql(c, plural=False)})"
 
 
-@query("F11_parent_union_boost", sql(BOOST, f"""y as (select conv_id, turn, {_tok("array_to_string(list_slice(string_split(coalesce(parent_text, text) || ' ' || text, ' '), 1, 3), ' ')")} as q, {_tok('text')} as own, {_tok('parent_text')} as par from x)""", "select conv_id, turn, round(0.1::double + case when turn % 2 = 1 and len(q) > 0 and len(list_filter(q, lambda a: not list_contains(list_concat(own, par), a))) = 0 and len(list_filter(q, lambda a: not list_contains(own, a))) > 0 then 0.04 else 0 end, 9) as contextual_score from y"))
+@query("F11_parent_union_boost", sql(BOOST, f"""y as (select conv_id, turn, {_tok("coalesce(parent_text, text) || ' ' || text")} as q, {_tok('text')} as own, {_tok('parent_text')} as par from x)""", "select conv_id, turn, round(0.1::double + case when turn % 2 = 1 and len(q) > 0 and len(list_filter(q, lambda a: not list_contains(list_concat(own, par), a))) = 0 and len(list_filter(q, lambda a: not list_contains(own, a))) > 0 then 0.04 else 0 end, 9) as contextual_score from y"))
 def _(s, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     x = t(s, d, "conversations").withColumn("parent_text", F.lag("text").over(w))
-    q = F.array_join(F.slice(F.split(F.concat(F.coalesce("parent_text", "text"), F.lit(" "), "text"), " "), 1, 3), " ")
+    q = F.concat(F.coalesce("parent_text", "text"), F.lit(" "), "text")
     x = x.withColumns({"question": q, "rrf_score": F.lit(0.1), "element_type": F.when(C("turn") % 2 == 1, "ITEM").otherwise("ARTICLE")})
     return retrieve.parent_union_boost(x).select("conv_id", "turn", "contextual_score")
 
@@ -160,55 +164,12 @@ def _(s, d):
     return retrieve.hybrid_search(q, qv, index.build_postings(docs.select("version", "unit_key", "text")), v.select("id", "vector"), elements).select("question_id", "id", C("score").alias("boosted"), "rank")
 
 
-@query("F15_search_context", "select o_orderkey, c_name, n_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderkey % 10 = 3")
-def _(s, d):
-    o = t(s, d, "orders").filter("o_orderkey % 10 = 3").select("o_orderkey", C("o_custkey").cast("long").alias("version"))
-    v = t(s, d, "customer").select(C("c_custkey").cast("long").alias("version"), C("c_nationkey").alias("act"), "c_name", C("c_custkey").alias("snapshot_id"))
-    a = t(s, d, "nation").select(C("n_nationkey").alias("act"), "n_name")
-    good, _ = retrieve.search_context(o, v, a, t(s, d, "customer").select(C("c_custkey").alias("snapshot_id")))
-    return good.select("o_orderkey", "c_name", "n_name")
-
-
 @query("F16_corpus_keys", "select distinct l_returnflag as version, l_partkey as stable_key from lineitem")
 def _(s, d):
     return retrieve.corpus_keys(t(s, d, "lineitem").select(C("l_returnflag").alias("version"), C("l_partkey").alias("stable_key")))
 
 
-@query("F17_rank_of", sql(FUSED, "select question_id, id, rank_0 as price_rank, rank_1 as date_rank from (select o_custkey as question_id, o_orderkey as id from orders where o_orderkey % 7 = 0) left join f0 using (question_id, id)"))
-def _(s, d):
-    a, b = channels(s, d)
-    c = a.select("question_id", "id", "rank", F.lit("price").alias("channel")).union(b.select("question_id", "id", "rank", F.lit("date").alias("channel")))
-    return retrieve.rank_of(c, t(s, d, "orders").filter("o_orderkey % 7 = 0").select(C("o_custkey").alias("question_id"), C("o_orderkey").alias("id")), ["price", "date"])
-
-
-def whole(name: str) -> str:
-    """The SQL of a query over short questions, asked with whole passages."""
-    return ORACLE_SQL[name].replace(QUESTIONS.replace("1, 12", "1, 2"), WHOLE_QUESTIONS).replace(QUESTIONS, WHOLE_QUESTIONS)
-
-
-@query("F1_search_strict_whole", whole("F1_search_strict"))
-def _(s, d):
-    return retrieve.search_strict(whole_questions(s, d), index.build_postings(units(s, d)))
-
-
-@query("F2_search_relaxed_or_whole", whole("F2_search_relaxed_or"))
-def _(s, d):
-    return retrieve.search_relaxed_or(whole_questions(s, d), index.build_postings(units(s, d)))
-
-
-@query("F3_search_weighted_coverage_whole", whole("F3_search_weighted_coverage"))
-def _(s, d):
-    u = units(s, d)
-    p, n = index.build_postings(u), index.corpus_size(u)
-    return retrieve.search_weighted_coverage(whole_questions(s, d), p, index.idf_weights(index.document_frequency(p), n), n)
-
-
-@query("F4_lexical_search_whole", whole("F4_lexical_search"))
-def _(s, d):
-    return retrieve.lexical_search(whole_questions(s, d), index.build_postings(units(s, d)), 20)
-
-
-@query("F15_search_context_all", ORACLE_SQL["F15_search_context"].removesuffix(" where o_orderkey % 10 = 3"))
+@query("F15_search_context", "select o_orderkey, c_name, n_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey")
 def _(s, d):
     """Every order is traced."""
     o = t(s, d, "orders").select("o_orderkey", C("o_custkey").cast("long").alias("version"))
@@ -218,7 +179,7 @@ def _(s, d):
     return good.select("o_orderkey", "c_name", "n_name")
 
 
-@query("F17_rank_of_all", ORACLE_SQL["F17_rank_of"].replace(" where o_orderkey % 7 = 0", ""))
+@query("F17_rank_of", sql(FUSED, "select question_id, id, rank_0 as price_rank, rank_1 as date_rank from (select o_custkey as question_id, o_orderkey as id from orders) left join f0 using (question_id, id)"))
 def _(s, d):
     """Every order is ranked; those that a channel lacks are null there."""
     a, b = channels(s, d)

@@ -301,6 +301,27 @@ def _(s, d):
     return structure.ancestors(deep(s, d), "identity_key").select("doc_id", "document_order", "depth", F.array_join("ancestors", ",").alias("ancestors"))
 
 
+KEYED = LINES + ",\n" + CLASSED + ",\n" + CARRIED + """,
+nodes as (select distinct doc_id, 'n' || document_order as key, 'n' || coalesce((select min(q.document_order) from flat q where q.doc_id = p.doc_id and q.stable_key = p.parent_key), case when document_order % 40 = 39 then document_order else 0 end) as parent_key from flat p)"""
+
+
+def keyed(s, d) -> DataFrame:
+    """Provisions by numbers that say nothing of their parents; some are their own parents."""
+    p = c7(s, d)
+    first = p.groupBy(C("doc_id").alias("f_doc"), C("stable_key").alias("f_key")).agg(F.min("document_order").alias("at"))
+    j = p.join(first, (C("doc_id") == C("f_doc")) & (C("parent_key") == C("f_key")), "left")
+    at = F.coalesce("at", F.when(C("document_order") % 40 == 39, C("document_order")).otherwise(0))
+    return j.select("doc_id", F.concat(F.lit("n"), "document_order").alias("key"), F.concat(F.lit("n"), at).alias("parent_key"))
+
+
+@query("C20_ancestors_of_keys", "with recursive " + KEYED + """,
+walk as (select doc_id, key, 0 as depth, '' as ancestors from nodes n where not exists (select 1 from nodes m where m.doc_id = n.doc_id and m.key = n.parent_key)
+ union all select n.doc_id, n.key, depth + 1, case when w.ancestors = '' then w.key else w.ancestors || ',' || w.key end from nodes n join walk w on w.doc_id = n.doc_id and w.key = n.parent_key)
+select doc_id, key, depth, ancestors from walk""")
+def _(s, d):
+    return structure.ancestors_of_keys(keyed(s, d))[0].select("doc_id", "key", "depth", F.array_join("ancestors", ",").alias("ancestors"))
+
+
 @query("C21_validate_tree", sql(LINES, CLASSED, CARRIED, """g as (select doc_id, count(*) filter (text is null and provision_type not in ('ROOT', 'ARTICLE')) as b, count(*) filter (number_label is null and provision_type in ('ARTICLE', 'INCISO', 'PARAGRAPH')) as l from flat group by 1)""", "select doc_id, 'ROOT_NOT_FIRST' as rule, 1::bigint as n from g union all select doc_id, 'BLANK_TEXT', b from g where b > 0 union all select doc_id, 'NO_LABEL', l from g where l > 0"))
 def _(s, d):
     return structure.validate_tree(c7(s, d))

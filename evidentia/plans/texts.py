@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import sqlfuncs, text
 from evidentia.operators import evidence, index
-from evidentia.plans.inputs import POSTINGS, QTERMS, QUESTIONS, STOP, TREE, UNITS, questions, sql, t, terms_sql, tree, units
+from evidentia.plans.inputs import POSTINGS, QTERMS, STOP, TREE, UNITS, WHOLE_QUESTIONS, sql, t, terms_sql, tree, units, whole_questions
 from evidentia.plans.register import query
 
 C = F.col
@@ -166,11 +166,11 @@ def _(s, d):
     return index.attach_embeddings(x.select(C("vec_id").alias("chunk_id")), v, 64).select(C("chunk_id").alias("vec_id"), "error")
 
 
-@query("F5_query_terms", sql(QUESTIONS, QTERMS, "select question_id, coalesce(array_to_string(l, ' | '), question) as or_query, coalesce(len(l), 0) <= 3 as is_short from questions left join (select question_id, list(term order by slot) as l from qterms group by 1) using (question_id)"))
+@query("F5_query_terms", sql(WHOLE_QUESTIONS, QTERMS, "select question_id, coalesce(array_to_string(l, ' | '), question) as or_query, coalesce(len(l), 0) <= 3 as is_short from questions left join (select question_id, list(term order by slot) as l from qterms group by 1) using (question_id)"))
 def _(s, d):
     from evidentia.operators.retrieve import query_terms
 
-    return query_terms(questions(s, d)).select("question_id", "or_query", "is_short")
+    return query_terms(whole_questions(s, d)).select("question_id", "or_query", "is_short")
 
 
 @query("F18_with_provision_keys", "select o_orderkey::varchar as unit_key, coalesce((select string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) from lineitem where l_orderkey = o_orderkey and l_quantity > 10), '') as provision_keys from orders")

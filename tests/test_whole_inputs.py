@@ -12,5 +12,5 @@ def test_questions_are_whole_passages(spark, sf):
 
 def test_all_orders_are_traced_and_ranked(spark, sf):
     orders = sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
-    assert sorted(r.o_orderkey for r in entry.queries()["F15_search_context_all"](spark, sf).collect()) == orders
-    assert sorted(r.id for r in entry.queries()["F17_rank_of_all"](spark, sf).collect()) == orders
+    assert sorted(r.o_orderkey for r in entry.queries()["F15_search_context"](spark, sf).collect()) == orders
+    assert sorted(r.id for r in entry.queries()["F17_rank_of"](spark, sf).collect()) == orders
