@@ -109,16 +109,6 @@ def decode_strict(raw: Column, charset: str = "utf-8") -> Column:
     return F.pandas_udf(run, "text string, error string")(raw)
 
 
-def fingerprint(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], parts: int = 64) -> DataFrame:
-    """One hash per key that depends on all rows and their order. Large groups are hashed in ranges by row number, then as a list of hashes."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rows = df.select(key, n.alias("n"), F.sha2(F.to_json(F.struct(*fields)), 256).alias("h"))
-    chunk = rows.groupBy(key, F.floor(F.col("n") / 1000).alias("c")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
-    return chunk.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
-
-
 def valid_request(df: DataFrame, modes: Sequence[str]) -> DataFrame:
     """Adds ``reject``: the first rule a request breaks, or null."""
     c = F.col

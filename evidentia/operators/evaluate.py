@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators.index import top_k
+from evidentia.operators.ranks import ranked
 
 ratio = lambda a, b: F.coalesce(F.round(F.try_divide(a, b), 6), F.lit(0.0))
 
@@ -37,19 +38,18 @@ def aggregate_metrics(per_case: DataFrame, by: str, metrics: list[str]) -> DataF
 
 
 def latency_summary(df: DataFrame, by: str, ms: str = "latency_ms") -> DataFrame:
-    """Median, mean, maximum, sum and the floor-index 95th percentile.
+    """Median, mean, maximum, sum and the floor-index 95th percentile, all exact.
 
-    The p95 is the row at max(1, floor(0.95 n)) in order, the median the mean of the one or two middle rows.
-    Rows are counted by value first (map-side); ranks are running sums over distinct values.
+    The p95 is the row at max(1, floor(0.95 n)) in order, the median the mean of the one or two middle rows. Places are found in
+    ranges of values (see :func:`evidentia.operators.ranks.ranked`), so that no task sorts a category; null values do not count.
     """
-    values = df.filter(F.col(ms).isNotNull()).groupBy(by, F.col(ms).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    r = values.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
-    at = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("v")))
-    half = lambda up: F.floor((F.col("n") + up) / 2)
-    sums = df.filter(F.col(ms).isNotNull()).groupBy(by).agg(F.round(F.avg(ms), 6).alias("mean"), F.round(F.sum(ms), 4).alias("total")).withColumnRenamed(by, "by_")
-    g = r.groupBy(by).agg(F.max("n").alias("n"), F.round((at(half(1)) + at(half(2))) / 2, 6).alias("p50"), F.round(at(F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))), 6).alias("p95"), F.max("v").alias("maximum"))
-    return g.join(sums, F.col(by).eqNullSafe(F.col("by_"))).select(by, "n", "p50", "p95", "mean", "maximum", "total")
+    d = df.filter(F.col(ms).isNotNull()).select(F.col(by).alias("by_"), F.col(ms).alias("v"))
+    sums = d.groupBy("by_").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("maximum"), F.round(F.sum("v"), 4).alias("total"))
+    at = ranked(d, ["by_"], ["v"], "place").withColumnRenamed("by_", "b_").join(sums, F.col("b_").eqNullSafe(F.col("by_")))
+    low, high, late = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2), F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
+    at = at.filter(F.col("place").isin(low, high, late))
+    value = lambda place: F.max(F.when(F.col("place") == place, F.col("v")))
+    return at.groupBy(F.col("by_").alias(by), "n", "mean", "maximum", "total").agg(F.round((value(low) + value(high)) / 2, 6).alias("p50"), F.round(value(late), 6).alias("p95")).select(by, "n", "p50", "p95", "mean", "maximum", "total")
 
 
 def decision_confusion(outcomes: DataFrame) -> DataFrame:

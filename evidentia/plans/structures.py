@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators import audit, law, structure
+from evidentia.operators import audit, deep, law, structure
 from evidentia.plans.inputs import TREE, sql, t, tree
 from evidentia.plans.register import query
 
@@ -203,7 +203,7 @@ def elements(s, d) -> DataFrame:
     return structure.deep_hierarchy(e)
 
 
-def deep(s, d) -> DataFrame:
+def deep_rows(s, d) -> DataFrame:
     x = elements(s, d)
     return x.withColumn("text_status", F.when(C("struck"), "UNRESOLVED").when(C("pos") % 5 == 4, "REVOKED").otherwise("CURRENT"))
 
@@ -218,7 +218,42 @@ deep as (select doc_id, pos, element_type, label, text, struck, row_number() ove
 
 @query("C11_deep_hierarchy", sql(ELEMENTS, "select doc_id, pos, element_type, document_order, identity_key, parent_key, orphan from deep"))
 def _(s, d):
-    return deep(s, d).select("doc_id", "pos", "element_type", "document_order", "identity_key", "parent_key", "orphan")
+    return deep_rows(s, d).select("doc_id", "pos", "element_type", "document_order", "identity_key", "parent_key", "orphan")
+
+
+def act_lines(s, d) -> DataFrame:
+    """The lines of an order as a deep act, from the seventh on items: some have a rubric in place of an article, some no alínea to hang an item on."""
+    o, n = C("l_orderkey"), C("child_order")
+    line = (
+        F.when(n == 1, "TÍTULO I").when(n == 2, F.when(o % 4 == 0, "DO TÍTULO").otherwise("Art. 1º Texto (Vide Lei 1) só."))
+        .when(n == 3, "Art. 2º Outro.").when(n == 4, "§ 1º Parágrafo.").when(n == 5, "I - inciso").when(n == 6, F.when(o % 3 == 0, "texto").otherwise("a) alínea")).otherwise("1. item")
+    )
+    return tree(s, d).select(o.alias("doc_id"), (n - 1).alias("pos"), line.alias("text"), ((o % 5 == 0) & (n == 5)).alias("struck"))
+
+
+ACTS = TREE + """,
+al as (select l_orderkey as doc_id, child_order - 1 as pos, max(child_order) over (partition by l_orderkey) as n from tree),
+ae as (select doc_id, -1 as pos, 0 as sub, 'DOCUMENT_ROOT' as element_type, null as label, 'root' as text, 'CURRENT' as text_status, '@root' as identity_key, null as parent_key from al where pos = 0
+ union all select doc_id, 0, 0, 'TITLE', 'I', 'TÍTULO I' || case when doc_id % 4 = 0 and n > 1 then chr(10) || 'DO TÍTULO' else '' end, 'CURRENT', '@root/TITLE:I', '@root' from al where pos = 0
+ union all select doc_id, 1, 0, 'ARTICLE', '1', 'Art. 1º', 'CURRENT', '@root/TITLE:I/ARTICLE:1', '@root/TITLE:I' from al where pos = 1 and doc_id % 4 <> 0
+ union all select doc_id, 1, 1, 'CAPUT', null, 'Texto  só.', 'CURRENT', '@root/TITLE:I/ARTICLE:1/CAPUT:@caput', '@root/TITLE:I/ARTICLE:1' from al where pos = 1 and doc_id % 4 <> 0
+ union all select doc_id, 1, 2, 'NOTE', null, '(Vide Lei 1)', 'NOT_APPLICABLE', null, '@root/TITLE:I/ARTICLE:1/CAPUT:@caput' from al where pos = 1 and doc_id % 4 <> 0
+ union all select doc_id, 2, 0, 'ARTICLE', '2', 'Art. 2º', 'CURRENT', '@root/TITLE:I/ARTICLE:2', '@root/TITLE:I' from al where pos = 2
+ union all select doc_id, 2, 1, 'CAPUT', null, 'Outro.', 'CURRENT', '@root/TITLE:I/ARTICLE:2/CAPUT:@caput', '@root/TITLE:I/ARTICLE:2' from al where pos = 2
+ union all select doc_id, 3, 0, 'PARAGRAPH', '1', 'Parágrafo.', 'CURRENT', '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1', '@root/TITLE:I/ARTICLE:2' from al where pos = 3
+ union all select doc_id, 4, 0, 'INCISO', 'I', 'inciso', case when doc_id % 5 = 0 then 'UNRESOLVED' else 'CURRENT' end, '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1/INCISO:I', '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1' from al where pos = 4
+ union all select doc_id, 5, 0, 'ALINEA', 'a', 'alínea', 'CURRENT', '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1/INCISO:I/ALINEA:A', '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1/INCISO:I' from al where pos = 5 and doc_id % 3 <> 0
+ union all select doc_id, pos, 0, 'ITEM', '1', 'item', case when pos = n - 1 then 'CURRENT' else 'UNRESOLVED' end, '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1/INCISO:I/ALINEA:A/ITEM:1', '@root/TITLE:I/ARTICLE:2/PARAGRAPH:1/INCISO:I/ALINEA:A' from al where pos >= 6 and doc_id % 3 <> 0)"""
+
+
+@query("C11_act_elements", sql(ACTS, "select doc_id, row_number() over (partition by doc_id order by pos, sub)::int as document_order, element_type, label, text, text_status, case when element_type = 'NOTE' then 'REFERENCE_NOTE' else 'NORMATIVE' end as content_role, identity_key, parent_key from ae"))
+def _(s, d):
+    return deep.parse_act(act_lines(s, d)).elements.drop("pos")
+
+
+@query("C11_act_coverage", sql(ACTS, "select doc_id, pos, case when pos >= 5 and doc_id % 3 = 0 then null when pos = 1 and doc_id % 4 = 0 then 'TITLE' else (['TITLE', 'ARTICLE', 'ARTICLE', 'PARAGRAPH', 'INCISO', 'ALINEA', 'ITEM'])[least(pos + 1, 7)] end as consumed_as, case when pos >= 5 and doc_id % 3 = 0 then 'UNCLASSIFIED' end as ignored_reason from al"))
+def _(s, d):
+    return deep.parse_act(act_lines(s, d)).coverage
 
 
 def headed(s, d) -> DataFrame:
@@ -264,12 +299,12 @@ def _(s, d):
 
 @query("C15_identity_keys", sql(ELEMENTS, "select doc_id, identity_key, count(*) as n from deep where not orphan group by all"))
 def _(s, d):
-    return deep(s, d).filter("not orphan").groupBy("doc_id", "identity_key").agg(F.count("*").alias("n"))
+    return deep_rows(s, d).filter("not orphan").groupBy("doc_id", "identity_key").agg(F.count("*").alias("n"))
 
 
 @query("C16_distinct_provisions", sql(ELEMENTS, "select doc_id, identity_key, arg_min(element_type, document_order) as element_type, arg_min(label, document_order) as label, arg_min(parent_key, document_order) as parent_key, count(*) as occurrences from deep group by all"))
 def _(s, d):
-    return structure.distinct_provisions(deep(s, d))[0]
+    return structure.distinct_provisions(deep_rows(s, d))[0]
 
 
 DEMOTED = "dem as (select *, case when text_status = 'CURRENT' and element_type not in ('ARTICLE', 'CAPUT') and row_number() over (partition by doc_id, identity_key, text_status order by document_order desc) > 1 then 'UNRESOLVED' else text_status end as new_status from deep)"
@@ -277,7 +312,7 @@ DEMOTED = "dem as (select *, case when text_status = 'CURRENT' and element_type
 
 @query("C17_demote_current_collisions", sql(ELEMENTS, DEMOTED, "select doc_id, document_order, identity_key, new_status as text_status from dem"))
 def demoted(s, d) -> DataFrame:
-    return structure.demote_current_collisions(deep(s, d)).select("doc_id", "document_order", "identity_key", "text_status")
+    return structure.demote_current_collisions(deep_rows(s, d)).select("doc_id", "document_order", "identity_key", "text_status")
 
 
 @query("C18_document_order", "select l_orderkey as doc_id, l_linenumber, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)::int as document_order from lineitem")
@@ -298,7 +333,7 @@ def _(s, d):
 
 @query("C20_ancestors", sql(ELEMENTS, "select doc_id, document_order, len(string_split(identity_key, '/')) - 1 as depth, array_to_string(list_transform(range(1, len(string_split(identity_key, '/'))), lambda n: array_to_string(list_slice(string_split(identity_key, '/'), 1, n), '/')), ',') as ancestors from deep"))
 def _(s, d):
-    return structure.ancestors(deep(s, d), "identity_key").select("doc_id", "document_order", "depth", F.array_join("ancestors", ",").alias("ancestors"))
+    return structure.ancestors(deep_rows(s, d), "identity_key").select("doc_id", "document_order", "depth", F.array_join("ancestors", ",").alias("ancestors"))
 
 
 KEYED = LINES + ",\n" + CLASSED + ",\n" + CARRIED + """,
@@ -329,7 +364,7 @@ def _(s, d):
 
 @query("C22_article_projection", sql(ELEMENTS, "arts as (select distinct doc_id, identity_key as article from deep where element_type = 'ARTICLE' and label in ('1', '3'))", "select doc_id, article, element_type, count(*) as n from arts join (select doc_id, element_type, regexp_extract(identity_key, '^(.*?/ARTICLE:[^/]+)', 1) as article, identity_key from deep where contains(identity_key, '/ARTICLE:')) using (doc_id, article) where identity_key <> article group by all"))
 def _(s, d):
-    return structure.article_projection(deep(s, d), ["1", "3"])
+    return structure.article_projection(deep_rows(s, d), ["1", "3"])
 
 
 # --- audits over these structures ---
@@ -337,17 +372,17 @@ def _(s, d):
 
 @query("J4_structure_counters", sql(ELEMENTS, "x as (select *, regexp_extract(parent_key, '([A-Z]+):[^/]*$', 1) as pt, (len(string_split(identity_key, '/')) - 1)::varchar as depth from deep)", "select 'TYPE' as counter, element_type as a, null::varchar as b, count(*) as n from x group by all union all select 'STATUS', element_type, text_status, count(*) from x group by all union all select 'EDGE', pt, element_type, count(*) from x group by all union all select 'DEPTH', depth, null, count(*) from x group by all"))
 def _(s, d):
-    return audit.structure_counters(deep(s, d))
+    return audit.structure_counters(deep_rows(s, d))
 
 
 @query("J5_deepest_path", sql(ELEMENTS, "select doc_id, arg_max(identity_key, (len(string_split(identity_key, '/'))) * 1000 - document_order) as deepest_path, max(len(string_split(identity_key, '/')) - 1) as depth from deep group by 1"))
 def _(s, d):
-    return audit.deepest_path(deep(s, d))
+    return audit.deepest_path(deep_rows(s, d))
 
 
 @query("J6_duplicate_groups", sql(ELEMENTS, "g as (select doc_id, identity_key, count(*) as n, count(*) filter (text_status = 'CURRENT') as current, count(distinct coalesce(text, '')) as texts from deep group by all having count(*) > 1)", "select *, case when current = 1 then 'HISTORICAL_REDACTION' when texts = 1 then 'PARSER_DUPLICATION' else 'AMBIGUITY' end as kind from g"))
 def _(s, d):
-    return audit.duplicate_groups(deep(s, d))
+    return audit.duplicate_groups(deep_rows(s, d))
 
 
 EDGES = [("TITLE", "CHAPTER"), ("CHAPTER", "ARTICLE"), ("ARTICLE", "PARAGRAPH"), ("ARTICLE", "INCISO"), ("PARAGRAPH", "INCISO"), ("INCISO", "ALINEA"), ("ALINEA", "ITEM"), ("", "TITLE")]
@@ -356,7 +391,7 @@ FOUND = "pt as (select *, regexp_extract(parent_key, '([A-Z]+):[^/]*$', 1) as pa
 
 @query("J7_findings", sql(ELEMENTS, FOUND, "select * from fnd"))
 def j7(s, d) -> DataFrame:
-    return audit.findings(deep(s, d), EDGES)
+    return audit.findings(deep_rows(s, d), EDGES)
 
 
 @query("J8_diagnose_unclassified", r"""select doc_id, pos, kind, case when kind in ('NUMBERED', 'HEADING_LIKE') then 'ERROR' when kind = 'EMPTY' then 'INFO' else 'WARNING' end as severity from (select doc_id, i as pos, case when not regexp_matches(x, '\S') then 'EMPTY' when regexp_matches(x, '^\s*\(') then 'NOTE_LIKE' when regexp_matches(x, '^\s*\d+[.)-]') then 'NUMBERED' when regexp_matches(x, '^[^a-zà-ÿ]*[A-ZÀ-Þ][^a-zà-ÿ]*$') then 'HEADING_LIKE' when regexp_matches(x, '[.;:]\s*$') then 'SENTENCE' else 'FRAGMENT' end as kind from (select doc_id, unnest(range(len(l)))::int as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents)))""")
@@ -367,12 +402,12 @@ def _(s, d):
 
 @query("J9_unresolved_causes", sql(ELEMENTS, DEMOTED, "select case when struck then 'STRUCK_WITHOUT_MARKER' else 'COLLISION' end as cause, count(*) as n from dem where new_status = 'UNRESOLVED' group by 1"))
 def _(s, d):
-    return audit.unresolved_causes(structure.demote_current_collisions(deep(s, d)))
+    return audit.unresolved_causes(structure.demote_current_collisions(deep_rows(s, d)))
 
 
 @query("J9_strike_matrix", sql(ELEMENTS, "select struck, count(*) filter (text_status = 'CURRENT') as current, count(*) filter (text_status = 'UNRESOLVED') as unresolved, count(*) filter (text_status = 'REVOKED') as revoked from deep group by 1"))
 def _(s, d):
-    return audit.strike_matrix(deep(s, d), ["CURRENT", "UNRESOLVED", "REVOKED"])
+    return audit.strike_matrix(deep_rows(s, d), ["CURRENT", "UNRESOLVED", "REVOKED"])
 
 
 @query("J9_block_reuse", sql(LINES, CLASSED, CARRIED, "select doc_id, pos, count(*) as n, string_agg(distinct provision_type, '+' order by provision_type) as types, string_agg(distinct provision_type, '+' order by provision_type) <> 'ARTICLE+CAPUT' as unusual from flat group by all having count(*) > 1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import sqlfuncs, text
-from evidentia.operators import evidence, index
+from evidentia.operators import evidence, index, ranks
 from evidentia.plans.inputs import POSTINGS, QTERMS, STOP, TREE, UNITS, WHOLE_QUESTIONS, sql, t, terms_sql, tree, units, whole_questions
 from evidentia.plans.register import query
 
@@ -65,7 +65,16 @@ def _(s, d):
 @query("B10_fingerprint", """with r as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, sha256('{"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || '}') as h from lineitem)
 select k as l_orderkey, sha256(sha256(string_agg(h, chr(10) order by n))) as fingerprint from r group by k""")
 def _(s, d):
-    return text.fingerprint(t(s, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey", "l_suppkey"])
+    return ranks.fingerprint(t(s, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey", "l_suppkey"])
+
+
+@query("B10_fingerprint_all", """with r as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as n, sha256('{"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || '}') as h from lineitem),
+c as (select n // 1000 as c, sha256(string_agg(h, chr(10) order by n)) as h from r group by 1)
+select 'all' as k, sha256(string_agg(h, chr(10) order by c)) as fingerprint from c""")
+def _(s, d):
+    """All line items as one group."""
+    x = t(s, d, "lineitem").withColumn("k", F.lit("all"))
+    return ranks.fingerprint(x, "k", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey", "l_suppkey"])
 
 
 @query("B11_valid_request", """select event_id, case when trim(q) = '' then 'BLANK_QUESTION' when user_id % 5 = 0 then 'BAD_VERSION' when l not between 1 and 100 then 'BAD_LIMIT' when event_type not in ('click', 'view') then 'BAD_MODE' end as reject
