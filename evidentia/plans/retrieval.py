@@ -23,7 +23,8 @@ covers as (select *, lag(l) over (partition by question_id, unit_key order by r)
 kept as (select question_id, unit_key, l, r, (select count(*) from occ o where o.question_id = c.question_id and o.unit_key = c.unit_key and o.p between c.l and c.r) as m from covers c where before is null or l > before),
 scored as (select question_id, unit_key, round(sum(0.1::double / (1 + (r - l) - (m - 1))), 6) as score from kept group by all)""", RANKED.format(order="score desc, unit_key", rows="scored", k=10)))
 def _(s, d):
-    return retrieve.search_strict(whole_questions(s, d), stored_index(s, d)[0])
+    postings, df, _ = stored_index(s, d)
+    return retrieve.search_strict(whole_questions(s, d), postings, frequencies=df)
 
 
 @query("F2_search_relaxed_or", sql(WHOLE_QUESTIONS, UNITS, POSTINGS, QTERMS, HITS, OR_SCORE, RANKED.format(order="score desc, unit_key", rows="scored", k=10)))

@@ -113,3 +113,11 @@ def test_ancestors_of_keys(spark):
     assert got == want and ended.count() == len(want)
     assert {(r.doc_id, r.key) for r in circles.collect()} == {(1, "a"), (1, "b"), (1, "c"), (1, "self")}
     assert all(x.count() == 0 for x in structure.ancestors_of_keys(e.limit(0)))
+
+
+def test_strict_search_by_rarest_terms(spark):
+    units_ = spark.createDataFrame([("v", str(i), t) for i, t in enumerate(["alpha bravo charlie", "alpha bravo", "bravo x alpha y charlie alpha", "charlie", "delta"])], "version string, unit_key string, text string")
+    q = spark.createDataFrame([(1, "v", "alpha charlie"), (2, "v", "alpha missing"), (3, "v", ""), (4, "w", "alpha"), (5, "v", "bravo")], "question_id int, version string, question string")
+    p = index.build_postings(units_)
+    plain, pruned = (lists(retrieve.search_strict(q, p, frequencies=f), "question_id", "unit_key", "score", "rank") for f in (None, index.document_frequency(p)))
+    assert plain == pruned and {r[0] for r in plain} == {1, 5}
