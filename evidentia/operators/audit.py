@@ -81,7 +81,7 @@ def finding(df: DataFrame, code: str, severity: str, where: str = "pos") -> Data
 
 
 def findings(elements: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
-    """Findings with a common schema: orphans, parent-child types outside the allowed edges, blank texts, repeated orders."""
+    """Findings with a common schema: orphans, parent-child types outside the allowed edges, blank texts. Whole acts: ``act_audit``."""
     e = elements.withColumn("parent_type", F.regexp_extract("parent_key", r"([A-Z]+):[^/]*$", 1))
     allowed = F.lit(False)
     for a, b in edges:

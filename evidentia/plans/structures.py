@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators import audit, deep, law, structure
+from evidentia.operators import act_audit, audit, deep, law, structure
 from evidentia.plans.inputs import TREE, sql, t, tree
 from evidentia.plans.register import query
 
@@ -394,6 +394,64 @@ def j7(s, d) -> DataFrame:
     return audit.findings(deep_rows(s, d), EDGES)
 
 
+def damaged_act(s, d):
+    """Deep acts whose elements have one kind of damage for each remainder of 13."""
+    act = deep.parse_act(act_lines(s, d))
+    k, kind = C("doc_id") % 13, C("element_type")
+    hit = lambda n, what: (k == n) & (kind == what)
+    e = act.elements.withColumns({
+        "text": F.when(hit(0, "CAPUT"), "").when(hit(11, "INCISO"), "outro").when(hit(12, "CAPUT") & (C("pos") == 2), "Art. 2º Outro.").otherwise(C("text")),
+        "identity_key": F.when(hit(1, "NOTE"), "@root/NOTE:x").when(hit(2, "INCISO"), F.concat("identity_key", F.lit("X"))).when(hit(10, "ARTICLE"), "@root/TITLE:I/ARTICLE:1").otherwise(C("identity_key")),
+        "parent_key": F.when(hit(4, "PARAGRAPH"), "@root/TITLE:I").otherwise(C("parent_key")),
+        "text_status": F.when(hit(5, "ITEM") | hit(8, "NOTE"), "CURRENT").when(hit(9, "ALINEA"), "REVOKED").otherwise(C("text_status")),
+        "document_order": C("document_order") + (k == 6).cast("int"),
+        "pos": C("pos") + F.when(hit(7, "ALINEA"), 1000).otherwise(0),
+        "element_type": F.when(hit(3, "PARAGRAPH"), "ITEM").otherwise(kind),
+    })
+    return e, act_lines(s, d), act.coverage, structure.distinct_provisions(act.elements.filter("identity_key is not null"))[0]
+
+
+DAMAGED = ACTS + """,
+lt as (select doc_id, pos, doc_id % 5 = 0 and pos = 4 as struck, case pos when 0 then 'TÍTULO I' when 1 then case when doc_id % 4 = 0 then 'DO TÍTULO' else 'Art. 1º Texto (Vide Lei 1) só.' end when 2 then 'Art. 2º Outro.' when 3 then '§ 1º Parágrafo.' when 4 then 'I - inciso' when 5 then case when doc_id % 3 = 0 then 'texto' else 'a) alínea' end else '1. item' end as line from al),
+oe as (select * replace (greatest(pos, 0) as pos), doc_id % 13 as k, row_number() over (partition by doc_id order by pos, sub) as o, case when element_type = 'NOTE' then 'REFERENCE_NOTE' else 'NORMATIVE' end as role from ae),
+fe as (select doc_id, pos + case when k = 7 and element_type = 'ALINEA' then 1000 else 0 end as pos, case when k = 3 and element_type = 'PARAGRAPH' then 'ITEM' else element_type end as element_type, label,
+ case when k = 0 and element_type = 'CAPUT' then '' when k = 11 and element_type = 'INCISO' then 'outro' when k = 12 and element_type = 'CAPUT' and pos = 2 then 'Art. 2º Outro.' else text end as text,
+ case when (k = 5 and element_type = 'ITEM') or (k = 8 and element_type = 'NOTE') then 'CURRENT' when k = 9 and element_type = 'ALINEA' then 'REVOKED' else text_status end as text_status, role,
+ case when k = 1 and element_type = 'NOTE' then '@root/NOTE:x' when k = 2 and element_type = 'INCISO' then identity_key || 'X' when k = 10 and element_type = 'ARTICLE' then '@root/TITLE:I/ARTICLE:1' else identity_key end as identity_key,
+ case when k = 4 and element_type = 'PARAGRAPH' then '@root/TITLE:I' else parent_key end as parent_key, o + case when k = 6 then 1 else 0 end as o from oe),
+pv as (select doc_id, identity_key, any_value(element_type) as ptype, any_value(parent_key) as pparent from ae where identity_key is not null group by all),
+fx as (select fe.*, lt.line, lt.struck, pv.ptype, pv.pparent, lag(coalesce(fe.identity_key, parent_key)) over w as before, row_number() over w as rn, sum((element_type = 'ARTICLE')::int) over w as art,
+ case when parent_key = '@root' then 'DOCUMENT_ROOT' else regexp_extract(parent_key, '([A-Z_]+):[^/]*$', 1) end as above
+ from fe left join lt using (doc_id, pos) left join pv on pv.doc_id = fe.doc_id and pv.identity_key = fe.identity_key window w as (partition by fe.doc_id order by o, fe.pos, element_type)),
+arts as (select a.doc_id, a.pos, a.label, a.o, a.identity_key, count(c.element_type) as caputs, count(*) filter (c.text <> '' and c.pos = a.pos) as good, max(c.text_status) as st
+ from fx a left join fx c on c.doc_id = a.doc_id and c.art = a.art and c.element_type = 'CAPUT' and c.parent_key = a.identity_key where a.element_type = 'ARTICLE' group by all)"""
+J7_PARTS = {
+    "ARTICLE_CAPUT_INVALID": "select doc_id, pos as block, 'ARTICLE' as element_type, label, 'BLOCKER' as severity, caputs::varchar as detail from arts where caputs <> 1 or good <> 1",
+    "NOTE_WITH_IDENTITY": "select doc_id, pos, element_type, label, 'BLOCKER', null from fx where element_type = 'NOTE' and identity_key is not null",
+    "UNMATCHED_NORMATIVE_OCCURRENCE": "select doc_id, pos, element_type, label, 'BLOCKER', identity_key from fx where element_type <> 'NOTE' and ptype is null",
+    "ACT_OR_TYPE_IDENTITY_MISMATCH": "select doc_id, pos, element_type, label, 'BLOCKER', identity_key from fx where element_type <> 'NOTE' and ptype <> element_type",
+    "IDENTITY_PARENT_MISMATCH": "select doc_id, pos, element_type, label, 'BLOCKER', identity_key from fx where element_type <> 'NOTE' and ptype is not null and pparent is distinct from parent_key",
+    "MULTIPLE_CURRENT_PER_VERSION_PROVISION": "select doc_id, null, null, null, 'BLOCKER', identity_key from fx where element_type <> 'NOTE' and ptype is not null and text_status = 'CURRENT' group by doc_id, identity_key having count(*) > 1",
+    "DOCUMENT_ORDER_INVALID": "select doc_id, null, null, null, 'BLOCKER', null from fx group by doc_id having not bool_and(o = rn and (element_type = 'DOCUMENT_ROOT' or coalesce(before = parent_key or starts_with(before, parent_key || '/'), false)))",
+    "PROVENANCE_INVALID": "select doc_id, null, null, null, 'BLOCKER', count(*)::varchar from fx where line is null group by doc_id",
+    "HIERARCHY_EDGE_UNEXPECTED": "select doc_id, pos, element_type, label, 'BLOCKER', above || '>' || element_type from fx where parent_key is not null and above || '>' || element_type not in (" + ", ".join(f"'{a}>{b}'" for a, bs in act_audit.EDGES.items() for b in bs) + ")",
+    "NOTE_INVALID": "select doc_id, pos, element_type, label, 'BLOCKER', null from fx where element_type = 'NOTE' and (text_status <> 'NOT_APPLICABLE' or trim(text) = '' or role = 'NORMATIVE' or parent_key is null)",
+    "REVOKED_WITHOUT_TEXTUAL_EVIDENCE": "select doc_id, pos, element_type, label, 'BLOCKER', null from fx where text_status = 'REVOKED' and not coalesce(regexp_matches(line, 'Revogad[oa]', 'i'), false)",
+    "HISTORICAL_OCCURRENCES_RECONCILED": "select doc_id, arg_min(pos, o), 'ARTICLE', arg_min(label, o), 'INFO', 'SAME_LEGAL_DEVICE_HISTORICAL_REDACTION' from arts group by doc_id, identity_key having count(*) > 1 and bool_or(coalesce(st in ('HISTORICAL', 'REVOKED', 'UNRESOLVED'), false))",
+    "DUPLICATE_ARTICLE_STRUCTURAL_KEY": "select doc_id, arg_min(pos, o), 'ARTICLE', arg_min(label, o), 'BLOCKER', case when count(distinct pos) < count(*) then 'PARSER_DUPLICATION' else 'STRUCTURAL_AMBIGUITY' end from arts group by doc_id, identity_key having count(*) > 1 and not bool_or(coalesce(st in ('HISTORICAL', 'REVOKED', 'UNRESOLVED'), false))",
+    "IGNORED_BLOCK_DIAGNOSED": "select doc_id, pos, null, null, 'WARNING', 'REQUIRES_REVIEW' from lt where doc_id % 3 = 0 and pos >= 5",
+    "UNRESOLVED_PRESERVED": "select doc_id, null, null, null, 'WARNING', concat_ws(',', case when count(*) filter (struck) > 0 then 'FULL_STRIKE_WITHOUT_DECISIVE_MARKER=' || count(*) filter (struck) end, case when count(*) filter (not coalesce(struck, false)) > 0 then 'UNCLASSIFIED_STATUS_PATTERN=' || count(*) filter (not coalesce(struck, false)) end) from fx where text_status = 'UNRESOLVED' group by doc_id",
+    "TEXT_NOT_IN_SOURCE": "select doc_id, pos, element_type, label, 'BLOCKER', null from fx where doc_id % 13 = 11 and element_type = 'INCISO'",
+    "SOURCE_TEXT_OVERLAP": "select doc_id, pos, element_type, label, 'WARNING', null from fx where doc_id % 13 = 12 and element_type = 'CAPUT' and pos = 2",
+    "SOURCE_TEXT_UNCLAIMED": "select doc_id, pos, null, null, 'WARNING', null from fx where (doc_id % 13 = 11 and element_type = 'INCISO') or (doc_id % 13 = 12 and element_type = 'CAPUT' and pos = 2) or (doc_id % 13 = 0 and element_type = 'CAPUT')",
+}
+
+
+@query("J7_act_findings", sql(DAMAGED, " union all ".join(f"select *, '{code}' as code from ({body}) q(doc_id, block, element_type, label, severity, detail)" for code, body in J7_PARTS.items())))
+def _(s, d):
+    return act_audit.act_findings(*damaged_act(s, d))
+
+
 @query("J8_diagnose_unclassified", r"""select doc_id, pos, kind, case when kind in ('NUMBERED', 'HEADING_LIKE') then 'ERROR' when kind = 'EMPTY' then 'INFO' else 'WARNING' end as severity from (select doc_id, i as pos, case when not regexp_matches(x, '\S') then 'EMPTY' when regexp_matches(x, '^\s*\(') then 'NOTE_LIKE' when regexp_matches(x, '^\s*\d+[.)-]') then 'NUMBERED' when regexp_matches(x, '^[^a-zà-ÿ]*[A-ZÀ-Þ][^a-zà-ÿ]*$') then 'HEADING_LIKE' when regexp_matches(x, '[.;:]\s*$') then 'SENTENCE' else 'FRAGMENT' end as kind from (select doc_id, unnest(range(len(l)))::int as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents)))""")
 def _(s, d):
     b = t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
