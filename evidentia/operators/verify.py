@@ -75,17 +75,43 @@ SPLITTERS = (r";\s*", r",\s+(?=and\b|or\b)", r"\s+(?:and|but)\s+")
 PROTECTED = r"\b(unless|except|provided that|only if)\b"
 
 
+def clause_spans(text: Column, splitter: str) -> Column:
+    """What lies between the matches of ``splitter``, without the spaces, commas and semicolons around it: array of (start from 1, length, clause)."""
+    gap = r"[ ,;\t\n]+"
+    raw = F.zip_with(F.split(text, splitter), F.regexp_extract_all(text, F.lit(splitter), F.lit(0)), lambda p, d: F.struct(p.alias("part"), F.length(F.coalesce(d, F.lit(""))).alias("after")))
+
+    def step(acc: Column, x: Column) -> Column:
+        led = F.regexp_replace(x["part"], f"^{gap}", "")
+        clause = F.regexp_replace(led, f"{gap}$", "")
+        start = (acc["at"] + F.length(x["part"]) - F.length(led)).cast("int")
+        span = F.struct(start.alias("start"), F.length(clause).alias("length"), clause.alias("clause"))
+        return F.struct((acc["at"] + F.length(x["part"]) + x["after"]).cast("int").alias("at"), F.when(clause == "", acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
+
+    none = F.array().cast("array<struct<start:int,length:int,clause:string>>")
+    return F.aggregate(raw, F.struct(F.lit(1).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+
 def split_clauses(claims: DataFrame, predicate: str = PREDICATE, splitters: tuple = SPLITTERS, protected: str = PROTECTED) -> DataFrame:
-    """Clauses of a claim: the first splitter whose parts all have two tokens and a predicate; protected scopes stay whole."""
+    """Clauses of a claim with clause_no, clause, start (from 1) and length: ``substr(claim, start, length)`` is the clause.
+
+    The first splitter counts whose parts, of two at least, all have two tokens and a predicate; protected scopes stay whole. A whole claim
+    goes without white space around it, a blank one as it is; a null claim is one null clause.
+    """
     text, low = F.col("claim"), F.lower("claim")
 
     def usable(parts: Column) -> Column:
-        return (F.size(parts) > 1) & F.forall(parts, lambda p: (F.size(F.regexp_extract_all(p, F.lit(r"(\p{L}+)"), F.lit(1))) >= 2) & F.lower(p).rlike(predicate))
+        return (F.size(parts) > 1) & F.forall(parts, lambda p: (F.size(F.regexp_extract_all(p["clause"], F.lit(r"(\p{L}+)"), F.lit(1))) >= 2) & F.lower(p["clause"]).rlike(predicate))
 
-    chosen = F.when(low.rlike(protected), F.array(text))
+    led = F.regexp_replace(text, r"^\s+", "")
+    bare = F.regexp_replace(led, r"\s+$", "")
+    blank = bare == ""
+    whole = F.array(F.struct(F.when(blank, 1).otherwise(F.length(text) - F.length(led) + 1).alias("start"), F.length(F.when(blank, text).otherwise(bare)).alias("length"), F.when(blank, text).otherwise(bare).alias("clause")))
+    chosen = F.when(low.rlike(protected), whole)
     for s in splitters:
-        chosen = chosen.when(usable(F.split(text, s)), F.split(text, s))
-    return claims.select(*[c for c in claims.columns if c != "claim"], F.posexplode(chosen.otherwise(F.array(text))).alias("clause_no", "clause"))
+        parts = clause_spans(text, s)
+        chosen = chosen.when(usable(parts), parts)
+    kept = [c for c in claims.columns if c != "claim"]
+    return claims.select(*kept, F.posexplode(chosen.otherwise(whole)).alias("clause_no", "c")).select(*kept, "clause_no", "c.clause", "c.start", "c.length")
 
 
 def clause_scores(clauses: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -178,6 +204,56 @@ def locator_check(claims: DataFrame, pattern: str = r"(?i)\barticle\s+(\d+)") ->
     return c.withColumn("locator_ok", F.size("missing") == 0)
 
 
+# Fixed value: a place in an act, with article, inciso or paragraph, and letter.
+LOCATOR = r"(?iu)\bart\.?\s*(\d+)[ºo]?(?:\s*,?\s*(?:inciso|§)\s*([IVXLCDM]+|\d+))?(?:\s*,?\s*alínea\s*[\"']?([a-z]))?"
+EXTRACTS = ("EBCG_V1", "EBCG_V2")  # fixed values: modes whose claims are extracts
+
+
+def locator_groups(claims: DataFrame, cited: DataFrame, pattern: str = LOCATOR, extracts: tuple = EXTRACTS) -> DataFrame:
+    """Claims with ``places`` (how many they name) and ``locator_ok``: one of them must lie in the identity of a cited item.
+
+    ``claims``: question_id, claim_no, claim, mode; ``cited``: question_id, claim_no, identity_key, snapshot_text. A place lies in
+    an identity that has its article's step and, where named, one with its inciso or paragraph and its letter; steps are
+    found as text, so article 1 also lies in 12. Claims without a place are in order, as is a verbatim extract of the only
+    item it cites. A claim without citations has no item to lie in; null identities are empty.
+    """
+    keys = ["question_id", "claim_no"]
+    c = cited.groupBy(*keys).agg(F.collect_list(F.upper(F.coalesce("identity_key", F.lit("")))).alias("identities"), F.count("*").alias("n_cited"), F.max("snapshot_text").alias("only_text"))
+    all_of = lambda i: F.regexp_extract_all(F.coalesce("claim", F.lit("")), F.lit(pattern), F.lit(i))
+    places = F.transform(F.arrays_zip(all_of(1).alias("article"), all_of(2).alias("sub"), all_of(3).alias("letter")), lambda x: F.struct(F.concat(F.lit("ARTICLE:"), x["article"]).alias("article"), F.concat(F.lit(":"), F.upper(x["sub"])).alias("sub"), F.concat(F.lit("ALINEA:"), F.upper(x["letter"])).alias("letter")))
+    lies = lambda p, i: F.contains(i, p["article"]) & ((p["sub"] == ":") | F.contains(i, p["sub"])) & ((p["letter"] == "ALINEA:") | F.contains(i, p["letter"]))
+    j = claims.join(c, keys, "left").withColumn("found", places)
+    extract = F.col("mode").isin(*extracts) & (F.col("n_cited") == 1) & (F.col("only_text") == F.col("claim"))
+    inside = F.exists("found", lambda p: F.exists(F.coalesce("identities", F.array().cast("array<string>")), lambda i: lies(p, i)))
+    ok = F.coalesce(extract, F.lit(False)) | (F.size("found") == 0) | inside
+    return j.select(*claims.columns, F.size("found").alias("places"), ok.alias("locator_ok"))
+
+
+def answer_chain_check(answers: DataFrame, claims: DataFrame, items: DataFrame, code_pattern: str = r"\bEV\d{3,}\b") -> DataFrame:
+    """All errors (question_id, claim_code, code, error) of answers, from their claims down to the stored documents; each once.
+
+    ``answers``: question_id, answer, abstain; ``claims`` as in :func:`citation_chain_check`; ``items``: question_id, code,
+    validated, snapshot_text, stored_text, source_url, stored_url (stored ones null where the chain breaks). An abstained
+    answer may have no claims, and is not looked at further; others need one, and name no code in their text that is no item of
+    theirs. Of an item that is not validated, or has no chain, nothing else is said.
+    """
+    open_ = answers.filter(~F.coalesce("abstain", F.lit(False))).select("question_id")
+    heads = claims.select("question_id").distinct()
+    none = F.lit(None).cast("string")
+    row = lambda df, error, code=none: df.select("question_id", none.alias("claim_code"), code.alias("code"), F.lit(error).alias("error"))
+    gave_up = row(answers.filter("abstain").join(heads, "question_id", "left_semi"), "CLAIMS_OF_ABSTAINED")
+    bare = row(open_.join(heads, "question_id", "left_anti"), "NO_CLAIMS")
+    said = answers.join(open_, "question_id", "left_semi").select("question_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(code_pattern), F.lit(0)))).alias("code"))
+    foreign = row(said.join(items.select("question_id", "code"), ["question_id", "code"], "left_anti"), "UNKNOWN_IN_ANSWER", F.col("code"))
+    live = claims.join(open_, "question_id", "left_semi")
+    usable = items.withColumn("sound", F.coalesce("validated", F.lit(False)))
+    of_claims = citation_chain_check(live, items.withColumn("stored_text", F.when(F.col("validated"), F.col("stored_text")).otherwise(F.col("snapshot_text"))))
+    used = live.select("question_id", "claim_code", F.explode("codes").alias("code")).join(usable, ["question_id", "code"])
+    drift = F.when(~F.col("sound"), "NOT_VALIDATED").when(F.col("stored_text").isNotNull() & ~F.col("source_url").eqNullSafe(F.col("stored_url")), "URL_DRIFT")
+    of_items = used.select("question_id", "claim_code", "code", drift.alias("error")).filter("error is not null")
+    return gave_up.union(bare).union(foreign).union(of_claims).union(of_items).distinct()
+
+
 def citation_chain_check(claims: DataFrame, items: DataFrame) -> DataFrame:
     """Error rows (question_id, claim_code, code, error): blank or repeated claim code, no text, no citation, unknown code, text drift."""
     n = F.count("*").over(Window.partitionBy("question_id", "claim_code"))
@@ -229,3 +305,34 @@ def evaluate_answers(cases: DataFrame, keys: list[str] | None = None) -> DataFra
 def target_fidelity(cases: DataFrame) -> DataFrame:
     """Whether any cited key is expected or acceptable; null where an abstention is expected."""
     return cases.select("case_id", F.when(F.col("expected_decision") != "ABSTAIN", F.arrays_overlap("cited", F.array_union("expected", "acceptable"))).alias("target_hit"))
+
+
+def semantic_report(claims: DataFrame, evidence: DataFrame, judgements: DataFrame) -> DataFrame:
+    """Status of each claim (question_id, claim_code, status, reason), where one fault in an answer's judgements voids them all.
+
+    ``claims``: question_id, claim_code, claim, codes; ``evidence``: question_id, code, text; ``judgements``: question_id,
+    claim_code, codes, has_supported, all_supported, contradicted. Faults, the first in this order is the answer's reason:
+    UNKNOWN_CLAIM (judged, not made), FOREIGN_CODE (judged by a code that the claim does not cite, or citing one that is no
+    evidence), BAD_DECISION (a boolean is null, or all is supported and nothing is), OMITTED_CLAIM; status is then null.
+    A supported claim needs a token in common with the judged evidence's texts, else it is UNSUPPORTED. A null list
+    of codes is empty; claim codes are unique in an answer; a claim judged twice gives two rows.
+    """
+    keys = ["question_id", "claim_code"]
+    nothing = F.array().cast("array<string>")
+    known = evidence.groupBy("question_id").agg(F.collect_set("code").alias("available"))
+    c = claims.select(*keys, "claim", F.coalesce("codes", nothing).alias("cited"), F.lit(1).alias("made"))
+    j = judgements.select(*keys, F.coalesce("codes", nothing).alias("judged"), "has_supported", "all_supported", "contradicted", F.lit(1).alias("given"))
+    x = c.join(j, keys, "full").join(known, "question_id", "left").withColumn("available", F.coalesce("available", nothing))
+    foreign = (F.size(F.array_except("judged", "cited")) > 0) | (F.size(F.array_except("cited", "available")) > 0)
+    sound = F.col("has_supported").isNotNull() & F.col("all_supported").isNotNull() & F.col("contradicted").isNotNull() & ~(F.col("all_supported") & ~F.col("has_supported"))
+    fault = F.when(F.col("made").isNull(), F.struct(F.lit(1).alias("no"), F.lit("UNKNOWN_CLAIM").alias("reason"))).when(F.col("given").isNull(), F.struct(F.lit(4).alias("no"), F.lit("OMITTED_CLAIM").alias("reason"))).when(foreign, F.struct(F.lit(2).alias("no"), F.lit("FOREIGN_CODE").alias("reason"))).when(~sound, F.struct(F.lit(3).alias("no"), F.lit("BAD_DECISION").alias("reason")))
+    x = x.withColumn("reason", F.min(fault).over(Window.partitionBy("question_id"))["reason"])
+    said = x.filter("reason is null").select(*keys, "judged", F.explode(fold_tokens(F.col("claim"))).alias("token")).distinct().select(*keys, "token", F.explode("judged").alias("code"))
+    shown = evidence.select("question_id", "code", F.explode(fold_tokens(F.col("text"))).alias("token")).distinct()
+    anchored = said.join(shown, ["question_id", "code", "token"], "left_semi").select(*keys).distinct().withColumn("anchored", F.lit(True))
+    x = x.join(anchored, keys, "left")
+    status = (
+        F.when(F.col("reason").isNotNull(), None).when(F.col("contradicted") | ~F.col("has_supported"), "UNSUPPORTED")
+        .when(~F.col("all_supported"), "PARTIALLY_SUPPORTED").when(F.col("anchored"), "SUPPORTED").otherwise("UNSUPPORTED")
+    )
+    return x.select(*keys, status.alias("status"), "reason")

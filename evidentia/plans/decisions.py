@@ -179,6 +179,22 @@ def _(s, d):
     return verify.split_clauses(t(s, d, "orders").select("o_orderkey", claim.alias("claim"))).select("o_orderkey", "clause_no", "clause")
 
 
+CLAUSE_SPLITTERS = (r"\.\s*\n", r",\s+", r"\s+and\s+")
+
+
+@query("H4_clause_offsets", sql("c as (select conv_id, turn, text, " + ", ".join(f"string_split_regex(text, '{p}') as p{i}, regexp_extract_all(text, '{p}') as d{i}" for i, p in enumerate(CLAUSE_SPLITTERS)) + " from conversations where role = 'assistant')",
+    "t as (select *, " + ", ".join(f"list_filter(list_transform(range(1, len(p{i}) + 1), lambda k: {{'at': 1 + list_sum(list_transform(range(1, k), lambda j: length(p{i}[j]) + length(coalesce(d{i}[j], ''))))::bigint, 'raw': p{i}[k], 'clause': trim(p{i}[k], ' ,;' || chr(9) || chr(10))}}), lambda x: x.clause <> '') as s{i}" for i in range(3)) + " from c)",
+    "u as (select *, regexp_matches(lower(text), '\\bwas\\b') as whole, " + ", ".join(f"len(s{i}) > 1 and len(list_filter(s{i}, lambda x: len(regexp_extract_all(x.clause, '\\p{{L}}+')) < 2 or not regexp_matches(lower(x.clause), '[a-z]{{4,}}'))) = 0 as ok{i}" for i in range(3)) + " from t)",
+    "v as (select conv_id, turn, text, case when whole then null when ok0 then s0 when ok1 then s1 when ok2 then s2 end as s from u)",
+    "w as (select conv_id, turn, unnest(range(len(s)))::int as clause_no, unnest(s) as x from v where s is not null)",
+    "select conv_id, turn, clause_no, x.clause as clause, (coalesce(x.at, 1) + length(x.raw) - length(ltrim(x.raw, ' ,;' || chr(9) || chr(10))))::int as start, length(x.clause)::int as length, true as held from w union all select conv_id, turn, 0, trim(text, ' ' || chr(9) || chr(10)), 1 + length(text) - length(ltrim(text, ' ' || chr(9) || chr(10))), length(trim(text, ' ' || chr(9) || chr(10))), true from v where s is null"))
+def _(s, d):
+    """Whole answers in their clauses, with their places."""
+    c = t(s, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", C("text").alias("claim"), C("text").alias("whole"))
+    x = verify.split_clauses(c, r"[a-z]{4,}", CLAUSE_SPLITTERS, r"\bwas\b")
+    return x.select("conv_id", "turn", "clause_no", "clause", "start", "length", (F.substr("whole", "start", "length") == C("clause")).alias("held"))
+
+
 def clauses(s, d) -> tuple[DataFrame, DataFrame]:
     c = t(s, d, "conversations")
     cl = c.filter("role = 'assistant'").select(C("conv_id").alias("question_id"), C("turn").alias("claim_no"), F.lit(0).alias("clause_no"), C("text").alias("clause"))
@@ -227,6 +243,20 @@ def _(s, d):
     return verify.locator_check(x).select("o_orderkey", "locator_ok")
 
 
+PLACES = "case o_orderkey % 5 when 0 then 'sem lugar' when 1 then 'no art. ' || a when 2 then 'Art ' || a || 'º, inciso iv' when 3 then 'art. ' || a || ' § 2' else 'art. 77 e art. ' || a || ', inciso IV, alínea \"b\"' end"
+
+
+@query("H7_locator_groups", sql("o as (select o_orderkey, o_custkey, o_orderkey % 4 + 1 as a, o_orderkey % 3 + 1 as b, o_orderkey % 7 = 3 as extract from orders)",
+    "x as (select *, ['ARTICLE:' || b || '/PARAGRAPH:2'] || case when o_orderkey % 2 = 0 and not extract then ['ARTICLE:' || a || '/INCISO:IV/ALINEA:B'] else [] end as ids from o)",
+    "select o_custkey as question_id, o_orderkey as claim_no, (case o_orderkey % 5 when 0 then 0 when 4 then 2 else 1 end)::int as places, extract or o_orderkey % 5 = 0 or len(list_filter(ids, lambda i: contains(i, 'ARTICLE:' || a) and (o_orderkey % 5 not in (2, 4) or contains(i, ':IV')) and (o_orderkey % 5 <> 3 or contains(i, ':2')) and (o_orderkey % 5 <> 4 or contains(i, 'ALINEA:B')))) > 0 as locator_ok from x"))
+def _(s, d):
+    o = t(s, d, "orders").withColumns({"a": (C("o_orderkey") % 4 + 1).cast("string"), "b": (C("o_orderkey") % 3 + 1).cast("string"), "extract": C("o_orderkey") % 7 == 3}).withColumn("claim", F.expr(PLACES))
+    key = [C("o_custkey").alias("question_id"), C("o_orderkey").alias("claim_no")]
+    first = o.select(*key, F.concat(F.lit("article:"), "b", F.lit("/PARAGRAPH:2")).alias("identity_key"), F.when(C("extract"), C("claim")).alias("snapshot_text"))
+    second = o.filter("o_orderkey % 2 = 0 and not extract").select(*key, F.concat(F.lit("ARTICLE:"), "a", F.lit("/INCISO:IV/ALINEA:B")).alias("identity_key"), F.lit("other").alias("snapshot_text"))
+    return verify.locator_groups(o.select(*key, "claim", F.lit("EBCG_V1").alias("mode")), first.union(second)).select("question_id", "claim_no", "places", "locator_ok")
+
+
 @query("H8_citation_chain_check", """with c as (select conv_id as question_id, 'C' || (turn // 2) as claim_code, turn from conversations where role = 'assistant'), n as (select *, count(*) over (partition by question_id, claim_code) as n from c)
 select distinct question_id, claim_code, null::varchar as code, 'DUPLICATE_CODE' as error from n where n > 1
 union all select distinct question_id, claim_code, null, 'NO_CITATION' from n where turn % 5 = 1
@@ -239,6 +269,38 @@ def _(s, d):
     return verify.citation_chain_check(cl, i)
 
 
+@query("H8_answer_chain", """with a as (select c_custkey as q, c_custkey % 6 = 1 as abstain from customer),
+o as (select o_custkey as q, o_orderkey as k, 'EV' || lpad(o_orderkey::varchar, 7, '0') as code, o_orderkey % 5 as r from orders where o_custkey % 11 <> 0),
+live as (select o.* from o join a using (q) where not abstain)
+select q as question_id, null::varchar as claim_code, null::varchar as code, 'CLAIMS_OF_ABSTAINED' as error from a where abstain and q in (select q from o)
+union all select q, null, null, 'NO_CLAIMS' from a where not abstain and q not in (select q from o)
+union all select q, null, 'EV' || lpad((q % 7 + 100)::varchar, 3, '0'), 'UNKNOWN_IN_ANSWER' from a where not abstain and q % 4 = 2
+union all select q, 'C' || k, code, (['UNKNOWN_CODE', 'NOT_VALIDATED', 'CHAIN_MISSING', 'URL_DRIFT'])[r + 1] from live where r < 4
+union all select q, 'C' || k, code, 'TEXT_DRIFT' from live where r = 3 and k % 2 = 0""")
+def _(s, d):
+    a = t(s, d, "customer").select(C("c_custkey").alias("question_id"), F.when(C("c_custkey") % 4 == 2, F.format_string("see EV%d, EV12 and xEV999", (C("c_custkey") % 7 + 100).cast("int"))).otherwise("plain").alias("answer"), (C("c_custkey") % 6 == 1).alias("abstain"))
+    k, r = C("o_orderkey"), C("o_orderkey") % 5
+    o = t(s, d, "orders").filter("o_custkey % 11 != 0").select(C("o_custkey").alias("question_id"), k, F.concat(F.lit("EV"), F.lpad(k.cast("string"), 7, "0")).alias("code"))
+    claims = o.select("question_id", F.concat(F.lit("C"), k).alias("claim_code"), F.lit("a claim").alias("claim"), F.array("code").alias("codes"))
+    items = o.filter(r != 0).select("question_id", "code", (r != 1).alias("validated"), F.lit("text").alias("snapshot_text"), F.when(r == 2, None).when((r == 3) & (k % 2 == 0), "other").otherwise("text").alias("stored_text"), F.lit("u").alias("source_url"), F.when(r == 3, "v").otherwise("u").alias("stored_url"))
+    return verify.answer_chain_check(a, claims, items)
+
+
+@query("H9_semantic_report", """with c as (select o_custkey as q, o_orderkey as k, o_custkey % 17 as f, o_orderkey % 6 as r from orders),
+j as (select *, case when f = 3 and k % 2 = 0 then 'OMITTED_CLAIM' when f = 5 and k % 3 = 0 then 'FOREIGN_CODE' when f = 7 and k % 4 = 0 then 'BAD_DECISION' end as own, case when f = 9 then 'UNKNOWN_CLAIM' end as extra from c),
+a as (select *, coalesce(max(extra) over (partition by q), min(own) filter (own <> 'OMITTED_CLAIM') over (partition by q), max(own) over (partition by q)) as reason from j)
+select q as question_id, 'C' || k as claim_code, case when reason is null then case when r in (0, 1) then 'UNSUPPORTED' when r = 2 then 'PARTIALLY_SUPPORTED' when r = 3 then 'UNSUPPORTED' else 'SUPPORTED' end end as status, reason from a
+union all select distinct q, 'C0', null, reason from a where f = 9""")
+def _(s, d):
+    o = t(s, d, "orders").select(C("o_custkey").alias("question_id"), F.concat(F.lit("C"), "o_orderkey").alias("claim_code"), C("o_orderkey").alias("k"), (C("o_custkey") % 17).alias("f"), (C("o_orderkey") % 6).alias("r"), F.concat(F.lit("E"), "o_orderkey").alias("code"))
+    claims = o.select("question_id", "claim_code", F.lit("the seller delivers").alias("claim"), F.array("code").alias("codes"))
+    evidence = o.select("question_id", "code", F.when(C("r") == 3, "nothing alike").otherwise("sellers wait").alias("text"))
+    bad = (C("f") == 7) & (C("k") % 4 == 0)
+    j = o.filter("not (f = 3 and k % 2 = 0)").select("question_id", "claim_code", F.when((C("f") == 5) & (C("k") % 3 == 0), F.array(F.lit("E0"))).otherwise(F.array("code")).alias("codes"), (C("r") != 0).alias("has_supported"), F.when(bad, None).otherwise(C("r") >= 3).alias("all_supported"), (C("r") == 1).alias("contradicted"))
+    extra = o.filter("f = 9").select("question_id", F.lit("C0").alias("claim_code"), F.array().cast("array<string>").alias("codes"), F.lit(True), F.lit(True), F.lit(False)).distinct()
+    return verify.semantic_report(claims, evidence, j.union(extra))
+
+
 @query("H9_semantic_status", """with j as (select o_custkey as question_id, o_orderkey as claim_no, case when o_orderkey % 8 = 5 then 'MISSING' when o_orderkey % 2 = 0 and o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 then 'SUPPORTED' when o_orderkey % 2 = 0 and o_orderkey % 5 <> 0 then 'PARTIALLY_SUPPORTED' else 'UNSUPPORTED' end as status from orders)
 select question_id, claim_no, status, bool_and(status <> 'MISSING') over (partition by question_id) as report_valid from j""")
 def _(s, d):
