@@ -58,7 +58,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
     count table (gram, total) comes from that partitioning and is joined to it, and counts from elsewhere go back
     to their block, where they are summed by document. The number of blocks follows the input, so that a block
     stays within a few MB; a single text longer than a block makes a block of its own size. N-grams are told
-    apart by 64 bits of hash. Null text is empty; rows repeated whole count as often as they stand, and each is
+    apart by 64 bits of hash. A block that gets counts of n-grams it does not hold fails, so rows dealt out in two ways, as after a
+    retry over unordered input, never give a silent wrong score. Null text is empty; rows repeated whole count as often as they stand, and each is
     scored against the others; ids may be null or repeat; an empty table gives an empty one; other columns are not
     looked at.
     """
@@ -95,7 +96,11 @@ def _scored(block: pd.DataFrame, elsewhere: pd.DataFrame, words: int, order: int
     """Scores of a block's documents from its own n-grams and their counts in other blocks."""
     found = hashed(block["text"], order)
     every, count = np.unique(np.concatenate([g for f in found for g in f] or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
-    count[np.searchsorted(every, elsewhere["gram"].to_numpy(np.int64).view(np.uint64))] += elsewhere["rest"].to_numpy(np.int64)
+    gram = elsewhere["gram"].to_numpy(np.int64).view(np.uint64)
+    at = np.searchsorted(every, gram)
+    if len(gram) and (at.max() >= len(every) or (every[at] != gram).any()):
+        raise ValueError("counts of n-grams that their block does not hold: rows were dealt out differently when they were counted")
+    count[at] += elsewhere["rest"].to_numpy(np.int64)
     rows = []
     for doc, f in zip(block["id"], found, strict=True):
         w, left = len(f[0]), []

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from evidentia.llm import langid, media, neighbours, scoring, suffixes
@@ -237,3 +238,13 @@ def test_bloom_model_corrects_false_positives():
 
 def test_empty_tables(empty):
     assert scoring.score(empty).count() == suffixes.remove_repeats(empty).count() == media.document_media(empty).count() == 0
+
+
+def test_counts_of_another_block_are_refused():
+    block = pd.DataFrame({"id": ["1"], "text": ["a b a"]})
+    gram = np.array([scoring.hashed(["a b a"], 2)[0][0][0]], dtype=np.uint64).view(np.int64)
+    ok = scoring._scored(block, pd.DataFrame({"gram": gram, "rest": [3]}), 6, 2, 0.4)
+    assert ok["n_words"].tolist() == [3]
+    for strange in (gram + 1, np.array([-1], dtype=np.int64)):  # -1 is beyond all
+        with pytest.raises(ValueError):
+            scoring._scored(block, pd.DataFrame({"gram": strange, "rest": [3]}), 6, 2, 0.4)
