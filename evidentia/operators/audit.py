@@ -32,6 +32,35 @@ def corpus_audit(snapshots: DataFrame, provisions: DataFrame, units: DataFrame,
     return out
 
 
+def version_audit(versions: DataFrame, provisions: DataFrame, units: DataFrame, links: DataFrame, lines: DataFrame, coverage: DataFrame, parsed: DataFrame, projected: DataFrame) -> DataFrame:
+    """Checks of stored versions against their identity, their links and what is derived again from their bytes: version, check, ok.
+
+    ``versions``: version, identity, version_hash; ``provisions``: version, pos_start, pos_end; ``units``: version, unit_key;
+    ``links``: version, unit_key, provision_version; ``lines`` and ``coverage``, a row a line; ``parsed`` and ``projected``, the
+    provisions and units derived again (see ``law.reproject``, ``law.reparse_difference`` says which rows differ). A null
+    place or hash fails its check; a version without rows has none to fail, rows of unknown versions are not looked at.
+    """
+    per = lambda df, **n: df.groupBy("version").agg(*(c.alias(k) for k, c in n.items()))
+    rows = F.count("*")
+    sound = (F.col("pos_start") >= 0) & (F.col("pos_end") >= F.col("pos_start"))
+    u, k = units.select("version", "unit_key").distinct(), links.select("version", "unit_key").distinct()
+    loose = u.join(k, ["version", "unit_key"], "left_anti").union(k.join(u, ["version", "unit_key"], "left_anti"))
+    counts = (
+        per(provisions, stored=rows, misplaced=F.count_if(~F.coalesce(sound, F.lit(False)))), per(units, stored_units=rows), per(loose, loose=rows),
+        per(links, crossed=F.count_if(~F.col("provision_version").eqNullSafe(F.col("version")))), per(lines, lines=rows), per(coverage, covered=rows),
+        per(parsed, parsed=rows), per(projected, projected=rows),
+    )
+    v = versions.select("version", F.coalesce(F.sha2("identity", 256) == F.col("version_hash"), F.lit(False)).alias("version_hash"))
+    for df in counts:
+        v = v.join(df, "version", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    checks = {
+        "version_hash": F.col("version_hash"), "source_locators": n("misplaced") == 0, "all_units_linked": n("loose") == 0, "links_same_version": n("crossed") == 0,
+        "coverage": n("covered") == n("lines"), "materialized_provisions": n("stored") == n("parsed"), "materialized_units": n("stored_units") == n("projected"),
+    }
+    return v.select("version", *(c.alias(k) for k, c in checks.items())).unpivot(["version"], list(checks), "check", "ok")
+
+
 def trace_unit(units: DataFrame, links: DataFrame, provisions: DataFrame, versions: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Unit to its first linked provision, version, snapshot and source."""
     first = links.groupBy("version", "unit_key").agg(F.min_by("stable_key", "position").alias("key"))
@@ -65,6 +94,29 @@ def structure_counters(elements: DataFrame) -> DataFrame:
     return g.select(pick(0).alias("counter"), pick(1).alias("a"), pick(2).alias("b"), "n")
 
 
+def act_counters(elements: DataFrame) -> DataFrame:
+    """(doc_id, counter, a, n) of each act's elements as :func:`deep.parse_act` gives them, in one pass of grouping sets.
+
+    NOTE_PARENT: notes by the type they hang on (NONE without parent); NOTE_ARTICLE: by the article they are in (NO_ARTICLE);
+    ROLE: elements by content role; DUPLICATE_KEY: keys met several times, with their occurrences; ODD_LABEL: articles whose label is
+    no plain number. Nulls are groups of their own.
+    """
+    parent = F.when(F.col("parent_key") == "@root", "DOCUMENT_ROOT").otherwise(F.regexp_extract("parent_key", r"([A-Z_]+):[^/]*$", 1))
+    inside = F.regexp_extract("parent_key", "/ARTICLE:([^/]+)", 1)
+    note, article = F.col("element_type") == "NOTE", F.col("element_type") == "ARTICLE"
+    tags = {
+        "NOTE_PARENT": F.when(note, F.coalesce(parent, F.lit("NONE"))), "NOTE_ARTICLE": F.when(note, F.when(F.coalesce(inside, F.lit("")) == "", "NO_ARTICLE").otherwise(inside)),
+        "ROLE": F.coalesce("content_role", F.lit("NONE")), "DUPLICATE_KEY": F.col("identity_key"), "ODD_LABEL": F.when(article & ~F.coalesce(F.col("label").rlike("^[0-9]+$"), F.lit(False)), F.coalesce("label", F.lit("NONE"))),
+    }
+    e = elements.select("doc_id", *(c.alias(n) for n, c in tags.items()))
+    g = e.groupingSets([["doc_id", n] for n in tags], "doc_id", *tags).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    full = (1 << len(tags)) - 1
+    bit = {n: full ^ (1 << (len(tags) - 1 - i)) for i, n in enumerate(tags)}
+    pick = lambda of: F.coalesce(*(F.when(F.col("gid") == b, of(n)) for n, b in bit.items()))
+    out = g.select("doc_id", pick(F.lit).alias("counter"), pick(F.col).alias("a"), "n")
+    return out.filter(F.col("a").isNotNull() & ((F.col("counter") != "DUPLICATE_KEY") | (F.col("n") > 1)))
+
+
 def deepest_path(elements: DataFrame, path: str = "identity_key") -> DataFrame:
     depth = F.size(F.split(path, "/")) - 1
     return elements.groupBy("doc_id").agg(F.max_by(F.struct(F.col(path).alias("p"), depth.alias("d")), F.struct(depth, -F.col("document_order"))).alias("m")).select("doc_id", F.col("m.p").alias("deepest_path"), F.col("m.d").alias("depth"))

@@ -244,6 +244,23 @@ def _(s, d):
     return audit.constraint_report(li, {"quantity": "l_quantity <= 45", "flag": "l_returnflag in ('A', 'R')"}, {"line": ["l_orderkey", "l_linenumber"]}, {"part": (["l_partkey"], t(s, d, "part").filter("p_partkey % 10 != 3"), ["p_partkey"])})
 
 
+@query("J1_version_audit", """with v as (select o_orderkey as version, o_orderkey % 10 <> 3 as hash_ok from orders), l as (select *, l_orderkey as version, l_linenumber || '-' || l_partkey as unit_key from lineitem),
+p as (select version, count(*) as stored, count(*) filter (l_partkey % 50 = 0) as misplaced, count(*) filter (l_partkey % 30 <> 2) as parsed, count(*) filter (l_partkey % 45 <> 4) as projected, count(*) filter (l_suppkey % 9 <> 5) as covered, count(*) filter (l_partkey % 60 = 7 and l_partkey % 40 <> 1) as crossed from l group by 1),
+k as (select version, count(*) as loose from (select distinct version, unit_key from l where unit_key not in (select unit_key from l m where m.version = l.version and m.l_partkey % 40 <> 1)) group by 1),
+x as (select * from v left join p using (version) left join k using (version)),
+c as (select unnest(['version_hash', 'source_locators', 'all_units_linked', 'links_same_version', 'coverage', 'materialized_provisions', 'materialized_units']) as "check")
+select version, "check", case "check" when 'version_hash' then hash_ok when 'source_locators' then coalesce(misplaced, 0) = 0 when 'all_units_linked' then coalesce(loose, 0) = 0 when 'links_same_version' then coalesce(crossed, 0) = 0 when 'coverage' then coalesce(covered, 0) = coalesce(stored, 0) when 'materialized_provisions' then coalesce(parsed, 0) = coalesce(stored, 0) else coalesce(projected, 0) = coalesce(stored, 0) end as ok from x, c""")
+def _(s, d):
+    """Orders as versions, their line items as provisions, units, links and lines, some of which were not derived again."""
+    k = C("o_orderkey")
+    identity = F.concat(F.lit("act|"), C("o_custkey").cast("string"), F.lit("|"), k.cast("string"))
+    v = t(s, d, "orders").select(k.alias("version"), identity.alias("identity"), F.when(k % 10 == 3, "other").otherwise(F.sha2(identity, 256)).alias("version_hash"))
+    li = t(s, d, "lineitem").select(C("l_orderkey").alias("version"), F.concat_ws("-", C("l_linenumber").cast("string"), C("l_partkey").cast("string")).alias("unit_key"), C("l_partkey").alias("k"), C("l_suppkey").alias("u"), C("l_linenumber").alias("pos_start"))
+    p = li.withColumn("pos_end", C("pos_start") + C("k") % 50 - F.when(C("k") % 50 == 0, 1).otherwise(0))
+    links = li.filter("k % 40 <> 1").withColumn("provision_version", C("version") + (C("k") % 60 == 7).cast("int"))
+    return audit.version_audit(v, p, li, links, li, li.filter("u % 9 <> 5"), li.filter("k % 30 <> 2"), li.filter("k % 45 <> 4"))
+
+
 KEPT = {
     "sources": ("nation", "n_nationkey as id, concat('A', n_regionkey) as authority_code, concat('u', n_nationkey % 20) as official_url, n_name as name"),
     "source_snapshots": ("documents", "doc_id as id, doc_id % 30 as source_id, case when doc_id % 50 = 7 then upper(sha2(text, 256)) else sha2(text, 256) end as sha256, encode(text, 'UTF-8') as raw_bytes, octet_length(text) + cast(doc_id % 41 = 3 as int) as byte_length, case when doc_id % 67 = 4 then 'changed' else 'text/html' end as content_type"),

@@ -375,6 +375,13 @@ def _(s, d):
     return audit.structure_counters(deep_rows(s, d))
 
 
+@query("J4_act_counters", sql(ACTS, "r as (select *, case when element_type = 'NOTE' then 'REFERENCE_NOTE' else 'NORMATIVE' end as role, case when parent_key = '@root' then 'DOCUMENT_ROOT' else regexp_extract(parent_key, '([A-Z_]+):[^/]*$', 1) end as above from ae)",
+    """select doc_id, 'NOTE_PARENT' as counter, above as a, count(*) as n from r where element_type = 'NOTE' group by all union all select doc_id, 'NOTE_ARTICLE', regexp_extract(parent_key, '/ARTICLE:([^/]+)', 1), count(*) from r where element_type = 'NOTE' group by all
+ union all select doc_id, 'ROLE', role, count(*) from r group by all union all select doc_id, 'DUPLICATE_KEY', identity_key, count(*) from r where identity_key is not null group by all having count(*) > 1 union all select doc_id, 'ODD_LABEL', label, count(*) from r where element_type = 'ARTICLE' and not regexp_full_match(label, '[0-9]+') group by all"""))
+def _(s, d):
+    return audit.act_counters(deep.parse_act(act_lines(s, d)).elements)
+
+
 @query("J5_deepest_path", sql(ELEMENTS, "select doc_id, arg_max(identity_key, (len(string_split(identity_key, '/'))) * 1000 - document_order) as deepest_path, max(len(string_split(identity_key, '/')) - 1) as depth from deep group by 1"))
 def _(s, d):
     return audit.deepest_path(deep_rows(s, d))
