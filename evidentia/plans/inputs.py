@@ -125,13 +125,18 @@ CASES = f"""cases0 as (select doc_id::varchar as case_id, lang as category, qual
 cases as (select *, case when expect_answer then 'ANSWER' else 'ABSTAIN' end as expected_decision, case when answered then 'ANSWER' else 'ABSTAIN' end as decision, case when expect_answer then expected else [] end as required, case when answered then cited else [] end as citations from cases0)"""
 
 
-def stored_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, frequencies and sizes of the units, stored once in a session for the files as they are."""
+def stored_index(spark: SparkSession, d: str, kind: str = "lines") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, frequencies and sizes of the units (lines or whole documents), stored once in a session for the files as they are."""
     from evidentia.sources.scratch import scratch
 
     files = t(spark, d, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
     state = files.agg(F.count("*"), F.expr("sum(cast(xxhash64(file_path, file_modification_time, file_size) as decimal(38, 0)))")).first()
-    name = "postings_" + hashlib.md5(str(tuple(state)).encode()).hexdigest()[:16]
+    name = f"postings_{kind}_" + hashlib.md5(str(tuple(state)).encode()).hexdigest()[:16]
     if not spark.catalog.tableExists(f"{name}_sizes"):
-        index.store_index(units(spark, d), name, scratch(spark), buckets=32)
+        index.store_index({"lines": units, "documents": whole_documents}[kind](spark, d), name, scratch(spark), buckets=32)
     return index.stored(spark, name)
+
+
+def whole_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as one unit of one version."""
+    return t(spark, d, "documents").select(F.lit("v").alias("version"), F.col("doc_id").cast("string").alias("unit_key"), "text")

@@ -162,7 +162,7 @@ def _(s, d):
     article, item = F.floor(C("key") / 8), C("key") % 8
     path = F.concat(F.lit("@root/ARTICLE:"), article.cast("string"), F.when(item == 0, "/@caput").otherwise(F.concat(F.lit("/INCISO:"), item.cast("string"))))
     elements = docs.select("key", F.when(item != 0, article * 8).alias("parent_key"), "text", F.when(item == 0, "ARTICLE").otherwise("ITEM").alias("element_type"), path.alias("path"))
-    return retrieve.hybrid_search(q, qv, index.build_postings(docs.select("version", "unit_key", "text")), v.select("id", "vector"), elements).select("question_id", "id", C("score").alias("boosted"), "rank")
+    return retrieve.hybrid_search(q, qv, stored_index(s, d, "documents")[0], v.select("id", "vector"), elements).select("question_id", "id", C("score").alias("boosted"), "rank")
 
 
 @query("F16_corpus_keys", "select distinct l_returnflag as version, l_partkey as stable_key from lineitem")
