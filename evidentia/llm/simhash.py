@@ -205,12 +205,21 @@ def _most(bits: int, similarity: float) -> int:
     return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
 
 
+def _to_ends(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each text (node, v, root) with the smallest and the largest of its node, where they are of different groups."""
+    end = F.struct("v", "root")
+    x = members.join(members.groupBy("node").agg(F.min(end).alias("low"), F.max(end).alias("high")), "node")
+    pair = lambda a, b: F.struct(a["v"].alias("u"), a["root"].alias("u_root"), b["v"].alias("v"), b["root"].alias("v_root"))
+    return x.select(F.explode(F.array(pair(F.col("low"), end), pair(end, F.col("high")))).alias("x")).select("x.*").filter("u < v and u_root != v_root").select("u", "v")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, depth: int, parts: int, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """Links (u, v) between rows of ``with_prints``: all are of that Jaccard similarity, and their components are those of all such pairs that share a part.
 
     A long fingerprint is cut into parts of ``depth`` bits, each with a trie and a budget of no bit: texts
     meet in the nodes at that depth. First each text of a node is compared with the node's smallest and
-    largest one, which joins large groups by few comparisons; then texts of one node are compared if they
+    largest one, which joins large groups by few comparisons, in an eighth of the nodes at first, then in the others where the two
+    are not yet of one group; then texts of one node are compared if they
     are still in different groups. Nodes that are one group are done, so copies are never paired with each other.
     Nodes are counted map-side before they are shuffled, and most have one text and go.
     """
@@ -218,10 +227,13 @@ def similar_links(docs: DataFrame, prints: DataFrame, depth: int, parts: int, sh
     at = prints.select("v", F.explode(_cut("x", depth, parts)).alias("node"))
     shared = at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     at = written(at.join(shared, "node"), "nodes")
-    of = at.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    ends = at.join(of, "node").select(F.explode(F.array(F.struct(F.col("low").alias("u"), "v"), F.struct(F.col("v").alias("u"), F.col("high").alias("v")))).alias("x")).select("x.*").filter("u < v")
+    early = F.pmod(F.xxhash64("node"), F.lit(8)) == 0
+    ends = _to_ends(at.filter(early).withColumn("root", F.col("v")))
     links = _similar(ends, docs, prints, words, shingle, similarity, id_col)
     roots = components(links).select(F.col("node").alias("v"), "root")
+    ends = _to_ends(at.filter(~early).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
+    links = links.union(_similar(ends, docs, prints, words, shingle, similarity, id_col))
+    roots = components(links).select(F.col("node").alias("v"), "root")
     many = at.filter("n > 2").select("node", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     group = many.groupBy("node", "root").agg(F.count("*").alias("m"))
     most = group.groupBy("node").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1").select("node", F.col("most.root").alias("main"))
