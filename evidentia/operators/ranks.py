@@ -32,20 +32,32 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "n", part
     return own.join(here, on).withColumn(name, F.col("before_") + F.col("own_")).drop("tie_", "range_", "r_", "own_", "before_", *(f"b{i}_" for i in range(len(by))))
 
 
-def fingerprint(df: DataFrame, key: str, order: list[str], fields: list[str], fan: int = 1000) -> DataFrame:
+def fingerprint(df: DataFrame, key: str, order: list[str], fields: list[str], fan: int = 1000, levels: int | None = None) -> DataFrame:
     """One hash per key that depends on all rows and their order, by a tree of hashes of ``fan`` rows each, so that no group is ever one row or one task.
 
-    Rows that tie in ``order`` are taken in the order of their hashes. A key without rows has no hash.
+    Rows that tie in ``order`` are taken in the order of their hashes. A key without rows has no hash. Groups of fewer than ``fan`` rows
+    are hashed where their rows meet; only larger ones are dealt out by ranges. With ``levels`` the tree is that deep at most:
+    of 1, a key's hash is that of its rows' chunks, whose hashes (65 bytes for ``fan`` rows) then meet in one row.
     """
-    rows = df.select(F.col(key).alias("k_"), *(F.col(c).alias(f"o{i}_") for i, c in enumerate(order)), F.sha2(F.to_json(F.struct(*fields)), 256).alias("h"))
-    level = ranked(rows, ["k_"], [*(f"o{i}_" for i in range(len(order))), "h"]).select("k_", "n", "h")
+    rows = df.select(F.col(key).alias("k_"), *(F.col(c).alias(f"o{i}_") for i, c in enumerate(order)), *(F.col(c).alias(f"f{i}_") for i, c in enumerate(fields)))
+    own = F.sha2(F.to_json(F.struct(*(F.col(f"f{i}_").alias(c) for i, c in enumerate(fields)))), 256)
+    names = [f"o{i}_" for i in range(len(order))]
+    sizes = cut(rows.groupBy("k_").agg(F.count("*").alias("c")).filter(F.col("c") >= fan).select(F.col("k_").alias("l_")))
+    in_large = F.col("k_").eqNullSafe(F.col("l_"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "\n")
-    done = None
+    group = F.sort_array(F.transform(F.collect_list(F.struct(*names, *(f"f{i}_" for i in range(len(fields))))), lambda x: F.struct(*(x[c].alias(c) for c in names), F.sha2(F.to_json(F.struct(*(x[f"f{i}_"].alias(c) for i, c in enumerate(fields)))), 256).alias("h"))))
+    whole = F.sha2(F.sha2(F.array_join(F.transform(group, lambda x: x["h"]), "\n"), 256), 256)
+    if sizes.isEmpty():
+        return rows.groupBy("k_").agg(whole.alias("fingerprint")).withColumnRenamed("k_", key)
+    done = rows.join(sizes, in_large, "left_anti").groupBy("k_").agg(whole.alias("fingerprint"))
+    level = rows.join(sizes, in_large, "left_semi").select("k_", *names, own.alias("h"))
+    level = ranked(level, ["k_"], [*names, "h"]).select("k_", "n", "h")
+    depth = 0
     while True:  # once for each factor of ``fan`` in the largest group
-        level = cut(level.groupBy("k_", F.floor(F.col("n") / fan).alias("c")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("c", "n"))
-        large = level.groupBy(F.col("k_").alias("l_")).agg(F.count("*").alias("c")).filter(F.col("c") > fan)
-        small = level.join(large, F.col("k_").eqNullSafe(F.col("l_")), "left_anti").groupBy("k_").agg(F.sha2(joined, 256).alias("fingerprint"))
-        done = small if done is None else done.unionByName(small)
+        level, depth = cut(level.groupBy("k_", F.floor(F.col("n") / fan).alias("c")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("c", "n")), depth + 1
+        large = level.groupBy(F.col("k_").alias("l_")).agg(F.count("*").alias("c")).filter(F.col("c") > (fan if depth != levels else 2**62))
+        small = level.join(large, in_large, "left_anti").groupBy("k_").agg(F.sha2(joined, 256).alias("fingerprint"))
+        done = done.unionByName(small)
         if large.isEmpty():
             return done.withColumnRenamed("k_", key)
-        level = level.join(large, F.col("k_").eqNullSafe(F.col("l_")), "left_semi")
+        level = level.join(large, in_large, "left_semi")

@@ -50,6 +50,16 @@ def test_hash_tree(spark):
         assert {r.k: r.fingerprint for r in ranks.fingerprint(df.repartition(7), "k", ["i"], ["i"], fan).collect()} == want
 
 
+def test_hash_of_chunks_in_one_step(spark):
+    """Of more than fan * fan rows, too, ``levels=1`` hashes the chunks' hashes at once, as the SQL of B10_fingerprint_all does."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    n, fan = 100, 4
+    df = spark.range(n).selectExpr("'all' as k", "id as i").repartition(5)
+    h = [sha(json.dumps({"i": i}, separators=(",", ":"))) for i in range(n)]
+    chunks = [sha("\n".join(h[j - 1] for j in range(max(1, c * fan), min(n, c * fan + fan - 1) + 1))) for c in range(n // fan + 1)]
+    assert [r.fingerprint for r in ranks.fingerprint(df, "k", ["i"], ["i"], fan, levels=1).collect()] == [sha("\n".join(chunks))]
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame(rows(), "k string, v double, i int")
     for r in evaluate.latency_summary(df, "k", "v").collect():
