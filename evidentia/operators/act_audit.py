@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import normalize_matching
+from evidentia.sources.scratch import cut, spread
 
 # What may hang on what.
 EDGES = {
@@ -39,14 +40,15 @@ def _table(df: DataFrame, tag: int, names: dict) -> DataFrame:
 
 
 def _together(elements: DataFrame, lines: DataFrame, coverage: DataFrame, provisions: DataFrame) -> DataFrame:
-    """All four tables as rows of one, by document: what follows are windows within it, so nothing is shuffled again."""
+    """All four tables as rows of one, written once and dealt out by document: what follows are windows within it, so nothing is shuffled again."""
     doc = elements.schema["doc_id"].dataType.simpleString()
     names = {"doc_id": doc, "pos": "long", "text": "string", "struck": "boolean", "in_table": "boolean", "ignored_reason": "string"}
     names |= dict.fromkeys(("element_type", "label", "text_status", "content_role", "identity_key", "parent_key"), "string") | {"document_order": "long"}
     out = _table(lines, 0, names)
     for tag, df in ((1, elements), (2, provisions), (3, coverage)):
         out = out.union(_table(df, tag, names))
-    return out.repartition("doc_id")
+    out = cut(out)
+    return spread(out, out.count(), "doc_id")
 
 
 def unclassified_kind(match: Column, in_table: Column) -> Column:

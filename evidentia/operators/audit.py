@@ -95,7 +95,7 @@ def structure_counters(elements: DataFrame) -> DataFrame:
 
 
 def act_counters(elements: DataFrame) -> DataFrame:
-    """(doc_id, counter, a, n) of each act's elements as :func:`deep.parse_act` gives them, in one pass of grouping sets.
+    """(doc_id, counter, a, n) of each act's elements as :func:`deep.parse_act` gives them, in one pass; rows stay where their document is.
 
     NOTE_PARENT: notes by the type they hang on (NONE without parent); NOTE_ARTICLE: by the article they are in (NO_ARTICLE);
     ROLE: elements by content role; DUPLICATE_KEY: keys met several times, with their occurrences; ODD_LABEL: articles whose label is
@@ -108,13 +108,9 @@ def act_counters(elements: DataFrame) -> DataFrame:
         "NOTE_PARENT": F.when(note, F.coalesce(parent, F.lit("NONE"))), "NOTE_ARTICLE": F.when(note, F.when(F.coalesce(inside, F.lit("")) == "", "NO_ARTICLE").otherwise(inside)),
         "ROLE": F.coalesce("content_role", F.lit("NONE")), "DUPLICATE_KEY": F.col("identity_key"), "ODD_LABEL": F.when(article & ~F.coalesce(F.col("label").rlike("^[0-9]+$"), F.lit(False)), F.coalesce("label", F.lit("NONE"))),
     }
-    e = elements.select("doc_id", *(c.alias(n) for n, c in tags.items()))
-    g = e.groupingSets([["doc_id", n] for n in tags], "doc_id", *tags).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
-    full = (1 << len(tags)) - 1
-    bit = {n: full ^ (1 << (len(tags) - 1 - i)) for i, n in enumerate(tags)}
-    pick = lambda of: F.coalesce(*(F.when(F.col("gid") == b, of(n)) for n, b in bit.items()))
-    out = g.select("doc_id", pick(F.lit).alias("counter"), pick(F.col).alias("a"), "n")
-    return out.filter(F.col("a").isNotNull() & ((F.col("counter") != "DUPLICATE_KEY") | (F.col("n") > 1)))
+    e = elements.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("counter"), c.alias("a")) for n, c in tags.items()))).alias("t")).filter("t.a is not null")
+    g = e.groupBy("doc_id", "t.counter", "t.a").agg(F.count("*").alias("n"))
+    return g.filter((F.col("counter") != "DUPLICATE_KEY") | (F.col("n") > 1))
 
 
 def deepest_path(elements: DataFrame, path: str = "identity_key") -> DataFrame:

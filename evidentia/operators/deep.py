@@ -201,9 +201,10 @@ def parse_act(blocks: DataFrame, root_text: str = "root") -> Act:
         .when(kind == "ALINEA", lower("ALINEA", F.col("inc.key"), F.col("inc.way"))).when(kind == "ITEM", lower("ITEM", F.col("ali.key"), F.col("ali.way")))
         .when(kind == "NOTE", single(on_key, on_way)).when(F.col("role") == "NOTE", head_notes).when(kind == "PREAMBLE", preamble)
     )
-    good = good.withColumn("made", made)
-    first = good.groupBy("doc_id").agg(F.min("pos").alias("pos")).select("doc_id", "pos", F.array(element(F.lit("DOCUMENT_ROOT"), none, F.lit(root_text), F.lit("CURRENT"), norm, F.lit("@root"), none, ways["TITLE"])).alias("made"))
-    e = good.select("doc_id", "pos", "made").unionByName(first).select("doc_id", "pos", F.explode("made").alias("e")).select("doc_id", "pos", "e.*")
+    root = F.array(element(F.lit("DOCUMENT_ROOT"), none, F.lit(root_text), F.lit("CURRENT"), norm, F.lit("@root"), none, ways["TITLE"]))
+    good = good.withColumns({"made": made, "line_no": F.row_number().over(w)})
+    # the root comes with the document's first line, so that elements keep the partitioning of lines
+    e = good.select("doc_id", "pos", F.explode(F.when(F.col("line_no") > 1, F.col("made")).when(F.col("made").isNull(), root).otherwise(F.concat(root, "made"))).alias("e")).select("doc_id", "pos", "e.*")
     e = e.withColumn("document_order", F.row_number().over(Window.partitionBy("doc_id").orderBy("way"))).drop("way")
     odd = F.size(F.collect_set(F.struct("element_type", F.coalesce("label", F.lit("")), "parent_key")).over(Window.partitionBy("doc_id", "identity_key")))
     e = e.withColumn("bad", F.max((F.col("identity_key").isNotNull() & (odd > 1)).cast("int")).over(doc))

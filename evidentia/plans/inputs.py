@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import ACCENTED, FOLDED
 from evidentia.operators import index
+from evidentia.sources.scratch import spread
 
 STOP = ("the", "and", "for", "with", "that", "les", "des", "der", "die", "und", "los", "las", "que")
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
@@ -68,11 +69,12 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    """Orders over their line items."""
+    """Orders over their line items, dealt out by order as their number asks; what goes on by order stays so."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return t(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.row_number().over(w).alias("child_order"), "l_orderkey").withColumn("child", F.concat(F.lit("l"), "l_orderkey", F.lit("."), "child_order"))
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return spread(li, li.count(), "l_orderkey").select(F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.row_number().over(w).alias("child_order"), "l_orderkey").withColumn("child", F.concat(F.lit("l"), "l_orderkey", F.lit("."), "child_order"))
 
 
 TREE = """tree as (select 'o' || l_orderkey as parent, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)::int as child_order, l_orderkey, 'l' || l_orderkey || '.' || row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as child from lineitem)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import act_audit, audit, deep, law, structure
 from evidentia.plans.inputs import TREE, sql, t, tree
 from evidentia.plans.register import query
+from evidentia.sources.scratch import cut
 
 C = F.col
 
@@ -35,7 +36,7 @@ def _(s, d):
 
 def lines(s, d) -> DataFrame:
     """Statute-like lines made of the line items of an order."""
-    x = tree(s, d).join(t(s, d, "lineitem").groupBy("l_orderkey").agg(F.first("l_orderkey").alias("k")), "l_orderkey")
+    x = tree(s, d)
     n = (C("l_orderkey") * 7 + C("child_order") * 3) % 10
     i = C("child_order").cast("string")
     line = (
@@ -404,6 +405,7 @@ def j7(s, d) -> DataFrame:
 def damaged_act(s, d):
     """Deep acts whose elements have one kind of damage for each remainder of 13."""
     act = deep.parse_act(act_lines(s, d))
+    act = act._replace(elements=cut(act.elements), coverage=cut(act.coverage))
     k, kind = C("doc_id") % 13, C("element_type")
     hit = lambda n, what: (k == n) & (kind == what)
     e = act.elements.withColumns({

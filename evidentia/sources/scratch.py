@@ -19,6 +19,19 @@ def scratch(s: SparkSession) -> str:
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
 
 
+#: Rows of a partition of :func:`spread`.
+SPREAD_ROWS = 50_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` dealt out by ``by`` in as many partitions as ``rows`` ask for, so that a task's share does not grow with the table.
+
+    Windows, groupings and joins on all of ``by`` that follow keep the partitioning. Where the session's number of partitions is enough, nothing is done.
+    """
+    parts = -(-rows // SPREAD_ROWS)
+    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table: its lineage is cut, its size is known, and lost executors cost no recomputation."""
     path = scratch(df.sparkSession)
