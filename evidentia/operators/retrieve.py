@@ -28,9 +28,100 @@ def matches(questions: DataFrame, postings: DataFrame, **shape) -> DataFrame:
     return q.join(postings, ["version", "term"])
 
 
+#: Postings of a slab and questions of a block; a block of questions passes by a slab of units in one task.
+SLAB_POSTINGS, QUESTION_BLOCK = 400_000, 4_096
+
+
+def _number(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, its rows told apart by a number."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def best_units(terms: DataFrame, postings: DataFrame, k: int, weighted: bool, whole: bool = False) -> DataFrame:
+    """Of each question the ``k`` best units of each slab (question_id, unit_key, matched, w, tf): matched terms, their weights, their occurrences.
+
+    ``terms``: question_id, version, term and, if ``weighted``, weight and total. Best is by the rounded share of weight, matched terms and
+    occurrences if ``weighted``, else by occurrences; ties by unit_key. With ``whole`` all units that match ``total`` terms come as well. Every posting of a term that is asked for moves once, to the
+    slab of its unit, where all its questions meet it: what a question and a unit have in common is added up there and never a row,
+    so that what is shuffled grows with the postings and not with questions times units.
+    """
+    ids = _number(terms.select(F.col("question_id").alias("id_")).distinct(), "q_")
+    asked = _number(terms.select(F.col("version").alias("version"), "term").distinct(), "t_")
+    w = (F.col(c).cast("double") if c in terms.columns else F.lit(0.0).alias(c) for c in ("weight", "total"))
+    q = cut(terms.join(ids, F.col("question_id").eqNullSafe(F.col("id_"))).join(asked, ["version", "term"]).select("q_", "t_", *w))
+    slabs, groups = -(-postings.count() // SLAB_POSTINGS) or 1, -(-ids.count() // QUESTION_BLOCK) or 1
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = postings.select("version", "term", "unit_key", "tf").join(asked, ["version", "term"])
+    p = p.select(up_to(groups).alias("g"), F.pmod(F.xxhash64("unit_key"), F.lit(slabs)).cast("int").alias("s"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("q"), F.col("t_").alias("t"), F.col("tf").cast("double").alias("a"), F.lit(0.0).alias("b"), "unit_key")
+    q = q.select(F.pmod(F.xxhash64("q_"), F.lit(groups)).cast("int").alias("g"), up_to(slabs).alias("s"), F.lit(0).alias("kind"), F.col("q_").alias("q"), F.col("t_").alias("t"), F.col("weight").alias("a"), F.col("total").alias("b"), F.lit("").alias("unit_key"))
+    both = q.unionByName(p).select((F.col("g") * F.lit(slabs).cast("long") + F.col("s")).alias("cell"), "kind", "q", "t", "a", "b", "unit_key")
+
+    def score(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ask, has = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+        if not len(ask) or not len(has):
+            return
+        codes, names = pd.factorize(has["unit_key"].to_numpy(dtype=object), sort=False)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.empty(len(names), dtype=np.int64)
+        place[order] = np.arange(len(names))
+        unit, names = place[codes], np.asarray(names, dtype=object)[order]
+        term, inverse = np.unique(has["t"].to_numpy(), return_inverse=True)
+        tf, n = has["a"].to_numpy(), len(names)
+        ask = ask[ask["t"].isin(term)].sort_values("q", kind="stable")
+        qs, first = np.unique(ask["q"].to_numpy(), return_index=True)
+        step = max(1, 2_000_000 // n)
+        for i in range(0, len(qs), step):
+            block = ask.iloc[first[i] : first[i + step] if i + step < len(qs) else None]
+            own = np.argsort(block["t"].to_numpy(), kind="stable")
+            bt, bq = np.searchsorted(term, block["t"].to_numpy()[own]), np.searchsorted(qs[i : i + step], block["q"].to_numpy()[own])
+            weight, m = block["a"].to_numpy()[own], len(qs[i : i + step])
+            begin, end = np.searchsorted(bt, np.arange(len(term))), np.searchsorted(bt, np.arange(len(term)), side="right")
+            matched, got, occ = np.zeros(m * n), np.zeros(m * n), np.zeros(m * n)
+            for a in range(0, len(unit), 50_000):  # postings at a time, so that their hits stay few
+                t = inverse[a : a + 50_000]
+                many = (end - begin)[t]
+                row = np.repeat(np.arange(len(t)), many)
+                hit = np.repeat(begin[t] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(row))
+                cell = bq[hit] * n + unit[a : a + 50_000][row]
+                matched += np.bincount(cell, minlength=m * n)
+                occ += np.bincount(cell, tf[a : a + 50_000][row], m * n)
+                if weighted:
+                    got += np.bincount(cell, weight[hit], m * n)
+            total = np.zeros(m)
+            total[bq] = block["b"].to_numpy()[own]
+            for j in range(m):
+                at = slice(j * n, j * n + n)
+                u = np.flatnonzero(matched[at])
+                every = u[matched[at][u] >= total[j]] if whole else u[:0]
+                share = np.floor(got[at][u] / total[j] * 1e6 + 0.5) if weighted and total[j] else np.zeros(len(u))
+                lead = share if weighted and total[j] else occ[at][u] if not weighted else matched[at][u]
+                if len(u) > k:  # all that tie with the k-th in the first measure stay for the others
+                    stay = lead >= np.partition(lead, -k)[-k]
+                    u, share = u[stay], share[stay]
+                keys = (u, -occ[at][u], -matched[at][u], -share) if weighted else (u, -occ[at][u])
+                u = np.union1d(u[np.lexsort(keys)[:k]], every)
+                yield pd.DataFrame({"q": qs[i + j], "unit_key": names[u], "matched": matched[at][u].astype(np.int64), "w": got[at][u], "tf": occ[at][u].astype(np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell", sort=False):
+                if cell != at and held:
+                    yield from score(pd.concat(held))
+                    held = []
+                at = cell
+                held.append(part)
+        if held:
+            yield from score(pd.concat(held))
+
+    found = both.repartition(min(20_000, max(slabs * groups, 8)), "cell").sortWithinPartitions("cell", "kind").mapInPandas(run, "q long, unit_key string, matched long, w double, tf long")
+    return found.join(ids, F.col("q") == F.col("q_")).select(F.col("id_").alias("question_id"), "unit_key", "matched", "w", "tf")
+
+
 def search_relaxed_or(questions: DataFrame, postings: DataFrame, limit: int = 10, **shape) -> DataFrame:
     """Any term matches; score is 0.1 per occurrence (each is a cover of its own)."""
-    m = matches(questions, postings, **shape).groupBy("question_id", "unit_key").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
+    q = questions.select("question_id", "version", F.explode(fold_tokens(F.col("question"), **shape)).alias("term"))
+    m = best_units(q, postings, limit, False).select("question_id", "unit_key", F.round(F.col("tf") * 0.1, 6).alias("score"))
     return top_k(m, "question_id", [F.desc("score"), "unit_key"], limit)
 
 
@@ -71,27 +162,39 @@ def search_weighted_coverage(questions: DataFrame, postings: DataFrame, weights:
     """Units with any term, by idf-weighted coverage, plain coverage, density and key.
 
     Terms that no unit has count in both denominators with df 0; a zero denominator makes the weighted
-    value null for the whole question. Only (question, term) rows and the postings they meet are shuffled.
+    value null for the whole question. Only (question, term) rows and the postings of their terms are shuffled (:func:`best_units`).
     """
     q = questions.select("question_id", "version", F.explode(fold_tokens(F.col("question"), **shape)).alias("term"))
     q = q.join(sizes.select("version", "n_units"), "version", "left").join(weights.select("version", "term", "weight"), ["version", "term"], "left")
     q = q.withColumn("weight", F.coalesce("weight", F.log(F.coalesce("n_units", F.lit(0)) + 1.0)))
     totals = q.groupBy("question_id").agg(F.count("*").alias("n_terms"), F.sum("weight").alias("total"))
-    m = q.join(postings.select("version", "term", "unit_key", "tf"), ["version", "term"]).groupBy("question_id", "unit_key").agg(F.count("*").alias("matched"), F.sum("weight").alias("w"), F.sum("tf").alias("tf"))
-    m = m.join(totals, "question_id")
+    q = cut(q.join(totals, "question_id"))
+    m = best_units(q, postings, limit, True).join(q.select("question_id", "n_terms", "total").distinct(), "question_id")
     m = m.select("question_id", "unit_key", F.round(F.when(F.col("total") != 0, F.col("w") / F.col("total")), 6).alias("weighted_coverage"), F.round(F.col("matched") / F.col("n_terms"), 6).alias("coverage"), F.round(F.col("tf") * 0.1, 6).alias("score"))
     return top_k(m, "question_id", [F.desc("weighted_coverage"), F.desc("coverage"), F.desc("score"), "unit_key"], limit)
 
 
 def lexical_search(questions: DataFrame, postings: DataFrame, limit: int = 200, stop: tuple = (), **shape) -> DataFrame:
-    """OR score plus 20 times the phrase score (0.1 per place where all terms stand in a row)."""
-    m = matches(questions, postings, stop=stop, **shape)
+    """OR score plus 20 times the phrase score (0.1 per place where all terms stand in a row).
+
+    A phrase only stands in a unit that has all terms: those are scored by their positions. Of the others the best by
+    occurrences are enough, as a phrase only adds to a score.
+    """
+    q = cut(questions.select("question_id", "version", F.explode(fold_tokens(F.col("question"), stop=stop, **shape)).alias("term")))
+    n = cut(q.groupBy("question_id").agg(F.count("*").alias("n")))
+    plain = cut(best_units(q.join(n, "question_id").withColumnRenamed("n", "total"), postings, limit, False, whole=True).join(n, "question_id"))
+    full = plain.filter("n > 1 and matched >= n").select("question_id", "unit_key")
+    plain = plain.select("question_id", "unit_key", F.round(F.col("tf") * 0.1 + 2.0 * F.when(F.col("n") > 1, 0).otherwise(F.col("tf")), 6).alias("score"))
+    t = questions.select("question_id", "version", fold_tokens(F.col("question"), stop=stop, **shape).alias("terms"))
+    t = t.select("question_id", "version", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "term"))
+    m = full.join(t, "question_id").join(postings.select("version", "term", "unit_key", "tf", "positions"), ["version", "term", "unit_key"])
     one = m.groupBy("question_id", "unit_key").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list(F.transform("positions", lambda p: p - F.col("slot")))).alias("bases"), F.first("n_terms").alias("n"))
     run = lambda a, b: F.when(b == a["at"], a["run"] + 1).otherwise(F.lit(1))
     step = lambda a, b: F.struct(b.alias("at"), run(a, b).alias("run"), (a["hits"] + (run(a, b) == F.col("n")).cast("int")).alias("hits"))
     start = F.struct(F.lit(-(2**31)).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
     phrases = F.aggregate(F.array_sort("bases"), start, step, lambda a: a["hits"])
     s = one.select("question_id", "unit_key", F.round(F.col("tf") * 0.1 + 2.0 * F.when(F.col("n") > 1, phrases).otherwise(F.col("tf")), 6).alias("score"))
+    s = plain.unionByName(s).groupBy("question_id", "unit_key").agg(F.max("score").alias("score"))
     return top_k(s, "question_id", [F.desc("score"), "unit_key"], limit)
 
 
