@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -49,50 +50,58 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), fp("text").alias("fp"), *([row_key(id_col).alias("key")] if keyed else []))
 
 
-def _prefix(key: str, depth: int) -> Column:
-    return F.shiftrightunsigned(F.col(key), 64 - depth) if depth < 64 else F.col(key)
+def _prefix(key: str, depth: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(key), bits - depth) if depth < bits else F.col(key)
 
 
-def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints (``fp``) that differ in at most ``budget`` bits.
+def trie_walk(keyed: DataFrame, depths: list[int], bits: int, above: int, budget: int) -> DataFrame:
+    """Pairs (tree, fa, fb) of different ``fp`` of one tree that differ in at most ``above`` bits of their key's first half and ``budget`` of all.
 
-    Two binary tries, one from each half of the bits, are joined with themselves: pairs of nodes go down
-    together, add up their differing bits and are pruned once these exceed the budget, which in a
-    trie's first half is ``budget // 2`` (pairs within the budget keep to that in one half at least). The
-    first levels, as many as make about twice as many nodes as there are fingerprints, are one step
-    that lists a node's neighbours by bit mask, so that below it a pair of nodes has about one pair of children. Chains without branches are skipped: a node with one fingerprint below is compared whole,
-    so most pairs end early. A node has at most 2^step children, whatever the skew.
+    ``keyed`` has tree, key (of ``bits`` bits) and fp (the same bits in an order that all of a tree share), each once. Each binary trie is joined with itself: pairs
+    of nodes go down together, add up their differing bits and are pruned once these exceed what is allowed. ``depths`` are the levels that are
+    looked at; down to the first one, in the first half, is one step that lists a node's neighbours by bit mask. Chains without branches are skipped: a node with one
+    fingerprint below is compared whole, so most pairs end early. A node has at most 2^step children, whatever the skew.
     """
-    half = budget // 2
-    p = prints.select("fp").distinct()
-    keyed = written(p.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("tree"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("tree"), F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)").alias("key")))).alias("x")).select("fp", "x.*"), "trie")
-    top = min(30, max(8, (keyed.count() // 2).bit_length() + 1))
-    depths = [*range(top, 32, 4), 32, 40, 48, 56, 64]
 
     def nodes(depth: int) -> DataFrame:
-        return keyed.groupBy("tree", _prefix("key", depth).alias("node")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
+        return keyed.groupBy("tree", _prefix("key", depth, bits).alias("node")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
 
-    masks = [0] + ([1 << i for i in range(top)] if half == 1 else [m for m in range(1, 1 << top) if m.bit_count() <= half])
-    first = nodes(top)
+    top, half = depths[0], bits // 2
+    masks = [sum(1 << i for i in places) for k in range(min(above, top) + 1) for places in itertools.combinations(range(top), k)]
+    first = written(nodes(top), "nodes")
     near = first.select("tree", F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).withColumn("b", F.col("a").bitwiseXOR(F.col("mask"))).filter("a <= b").withColumn("d", F.bit_count("mask"))
     front = near.join(first.select("tree", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), ["tree", "b"]).select("tree", "a", "b", "d", "na", "nb", "fa", "fb")
     done = []
     for depth, below in zip(depths, [*depths[1:], None], strict=True):
         alone = (F.col("na") == 1) & (F.col("nb") == 1)
         front = written(front.filter(~alone | ((F.col("a") != F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= budget))), "front")
-        done.append(front.filter(alone & (F.col("a") != F.col("b"))).select("fa", "fb"))
+        done.append(front.filter(alone & (F.col("a") != F.col("b"))).select("tree", "fa", "fb"))
         front = front.filter(~alone)
         if below is None or front.isEmpty():
             break
         kids = written(nodes(below).withColumn("up", F.shiftrightunsigned("node", below - depth)), "nodes")
         kid = lambda s: kids.select("tree", F.col("up").alias(s), F.col("node").alias(f"{s}2"), F.col("n").alias(f"n{s}2"), F.col("fp").alias(f"f{s}2"))  # noqa: B023, E731
         down = front.select("tree", "a", "b", "d").join(kid("a"), ["tree", "a"]).join(kid("b"), ["tree", "b"])
-        bits = F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << (below - depth)) - 1)))
-        down = down.withColumn("d2", F.col("d") + bits).filter((F.col("d2") <= (half if below <= 32 else budget)) & ((F.col("a") != F.col("b")) | (F.col("a2") <= F.col("b2"))))
+        low_bits = F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << (below - depth)) - 1)))
+        down = down.withColumn("d2", F.col("d") + low_bits).filter((F.col("d2") <= (above if below <= half else budget)) & ((F.col("a") != F.col("b")) | (F.col("a2") <= F.col("b2"))))
         front = down.select("tree", F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("d2").alias("d"), F.col("na2").alias("na"), F.col("nb2").alias("nb"), F.col("fa2").alias("fa"), F.col("fb2").alias("fb"))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
+    return out.distinct()
+
+
+def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fingerprints (``fp``) that differ in at most ``budget`` bits.
+
+    Two binary tries, one from each half of the bits, are joined with themselves by :func:`trie_walk`, which in a
+    trie's first half allows ``budget // 2`` (pairs within the budget keep to that in one half at least). The
+    first levels, as many as make about twice as many nodes as there are fingerprints, are one step, so that below it a pair of nodes has about one pair of children.
+    """
+    p = prints.select("fp").distinct()
+    keyed = written(p.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("tree"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("tree"), F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)").alias("key")))).alias("x")).select("fp", "x.*"), "trie")
+    top = min(30, max(8, (keyed.count() // 2).bit_length() + 1))
+    out = trie_walk(keyed, [*range(top, 32, 4), 32, 40, 48, 56, 64], 64, budget // 2, budget)
     return out.select(F.least("fa", "fb").alias("u"), F.greatest("fa", "fb").alias("v")).distinct()
 
 
@@ -140,14 +149,13 @@ def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def plan(n: int, similarity: float = 0.8, miss: float = 0.02) -> tuple[int, int]:
-    """Bits of a part and number of parts for ``n`` texts.
+    """Bits of a part (an even number) and number of parts for ``n`` texts, where texts meet if they differ in one bit of a part at most.
 
-    A part has eight to sixteen times as many nodes as there are texts, so that chance meetings in it grow with the texts
-    and not with their square; there are as many parts as it takes for a pair of that similarity to share
-    none with a probability of ``miss`` at most. So a text has about n^0.24 parts.
+    A part has so many bits that chance meetings in it grow with the texts and not with their square; there are as many parts as
+    it takes for a pair of that similarity to meet in none with a probability of ``miss`` at most.
     """
-    depth = max(12, n.bit_length() + 3)
-    return depth, max(1, math.ceil(math.log(miss) / math.log1p(-((1 - _differ(similarity)) ** depth))))
+    depth, p = max(12, (n.bit_length() + 8) // 2 * 2), _differ(similarity)
+    return depth, max(1, math.ceil(math.log(miss) / math.log1p(-((1 - p) ** depth * (1 + depth * p / (1 - p))))))
 
 
 def with_prints(docs: DataFrame, depth: int, parts: int, shingle: int = 5, id_col: str = "doc_id") -> DataFrame:
@@ -213,20 +221,37 @@ def _to_ends(members: DataFrame) -> DataFrame:
     return x.select(F.explode(F.array(pair(F.col("low"), end), pair(end, F.col("high")))).alias("x")).select("x.*").filter("u < v and u_root != v_root").select("u", "v")
 
 
+def _meetings(prints: DataFrame, depth: int, parts: int) -> DataFrame:
+    """Where texts meet: (v, node, side). A node is one part's value that several texts share, or (negative, with two sides) two values of a part that differ in one bit.
+
+    Each part has two binary tries, one from each half of its bits, walked with a budget of no bit in the first half and one in all:
+    a value has at most ``depth`` others at one bit, so meetings grow with the texts, however large a group of near copies is.
+    """
+    at = prints.select("v", F.explode(_cut("x", depth, parts)).alias("code"))
+    values = written(at.groupBy("code").agg(F.count("*").alias("n")), "values")
+    part, value, half = F.shiftright("code", depth), F.col("code").bitwiseAND(F.lit((1 << depth) - 1)), depth // 2
+    turned = F.expr(f"shiftleft(fp & {(1 << half) - 1}L, {half}) | shiftrightunsigned(fp, {half})")
+    both = values.select(part.alias("part"), value.alias("fp")).select("part", "fp", F.explode(F.array(F.struct(F.lit(0).alias("from"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("from"), turned.alias("key")))).alias("x"))
+    keyed = written(both.select((F.col("part") * 2 + F.col("x.from")).alias("tree"), "x.key", "fp"), "tries")
+    pairs = trie_walk(keyed, [half, half + half // 2, depth], depth, 0, 1).select(F.shiftright("tree", 1).alias("part"), F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
+    code = lambda c: F.shiftleft("part", depth).bitwiseOR(F.col(c))
+    pairs = written(pairs.select(code("a").alias("a"), code("b").alias("b"), (-1 - F.monotonically_increasing_id()).alias("node")), "pairs")
+    sides = pairs.select("node", F.explode(F.array(F.struct(F.col("a").alias("code"), F.lit(0).alias("side")), F.struct(F.col("b").alias("code"), F.lit(1).alias("side")))).alias("x"))
+    where = values.filter("n > 1").select("code", F.col("code").alias("node"), F.lit(0).alias("side")).union(sides.select("x.code", "node", "x.side"))
+    return written(at.join(where, "code").select("v", "node", "side"), "meetings")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, depth: int, parts: int, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """Links (u, v) between rows of ``with_prints``: all are of that Jaccard similarity, and their components are those of all such pairs that share a part.
+    """Links (u, v) between rows of ``with_prints``: all are of that Jaccard similarity, and their components are those of all such pairs that meet in a part.
 
-    A long fingerprint is cut into parts of ``depth`` bits, each with a trie and a budget of no bit: texts
-    meet in the nodes at that depth. First each text of a node is compared with the node's smallest and
+    A long fingerprint is cut into parts of ``depth`` bits, each joined with itself through binary tries with a budget of
+    one bit (:func:`_meetings`). First each text of a node is compared with the node's smallest and
     largest one, which joins large groups by few comparisons, in an eighth of the nodes at first, then in the others where the two
     are not yet of one group; then texts of one node are compared if they
-    are still in different groups. Nodes that are one group are done, so copies are never paired with each other.
-    Nodes are counted map-side before they are shuffled, and most have one text and go.
+    are still in different groups, where up to 1024 bits are held against each other before a pair becomes a row. Nodes that are one group are done, so copies are never paired with each other.
     """
     words = max(4, math.ceil(parts / (64 // depth)))
-    at = prints.select("v", F.explode(_cut("x", depth, parts)).alias("node"))
-    shared = at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    at = written(at.join(shared, "node"), "nodes")
+    at = _meetings(prints, depth, parts)
     early = F.pmod(F.xxhash64("node"), F.lit(8)) == 0
     ends = _to_ends(at.filter(early).withColumn("root", F.col("v")))
     links = _similar(ends, docs, prints, words, shingle, similarity, id_col)
@@ -234,13 +259,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, depth: int, parts: int, sh
     ends = _to_ends(at.filter(~early).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
     links = links.union(_similar(ends, docs, prints, words, shingle, similarity, id_col))
     roots = components(links).select(F.col("node").alias("v"), "root")
-    many = at.filter("n > 2").select("node", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    many = at.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     group = many.groupBy("node", "root").agg(F.count("*").alias("m"))
-    most = group.groupBy("node").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1").select("node", F.col("most.root").alias("main"))
-    open_ = written(many.join(most, "node").join(prints.select("v", F.col("x")[0].alias("f0")), "v"), "open")
-    a = open_.filter("root != main").select("node", F.col("v").alias("u"), F.col("root").alias("ru"), F.col("f0").alias("fu"))
-    pairs = a.join(open_, "node").filter((F.col("ru") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("u") < F.col("v"))) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("f0"))) <= _most(64, similarity)))
-    rest = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    most = group.groupBy("node").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("groups"), F.sum("m").alias("n")).filter("groups > 1 and n > 2").select("node", F.col("most.root").alias("main"))
+    first = range(min(16, words))
+    open_ = written(many.join(most, "node").join(prints.select("v", *(F.col("x")[i].alias(f"f{i}") for i in first)), "v"), "open")
+    a = open_.filter("root != main").select("node", F.col("v").alias("u"), F.col("side").alias("su"), F.col("root").alias("ru"), *(F.col(f"f{i}").alias(f"g{i}") for i in first))
+    differ = sum((F.bit_count(F.col(f"g{i}").bitwiseXOR(F.col(f"f{i}"))) for i in first), F.lit(0))
+    apart = (F.col("ru") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("u") < F.col("v"))) & ((F.col("node") >= 0) | (F.col("su") != F.col("side")))
+    rest = a.join(open_, "node").filter(apart & (differ <= _most(64 * len(first), similarity))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return links.union(_similar(rest, docs, prints, words, shingle, similarity, id_col))
 
 

@@ -52,3 +52,21 @@ def test_keep_one_of_given_documents(spark, docs):
     for (i, _), g in zip(rows, group, strict=True):
         want.setdefault(g, i)
     assert n_links and sorted(want.values()) == sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+
+
+def test_texts_meet_where_a_part_differs_in_one_bit(spark):
+    """All pairs of values of a part within one bit meet, and no others: held against brute force, with a crowded node."""
+    rnd = random.Random(9)
+    centre = rnd.getrandbits(64)
+    prints = [rnd.getrandbits(64) for _ in range(400)] + [centre ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(200)] + [centre] * 3
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    depth, parts = 16, 3
+    met = simhash._meetings(spark.createDataFrame(list(enumerate([[x] for x in signed])), "v long, x array<long>"), depth, parts).collect()
+    nodes, got = {}, set()
+    for r in met:
+        nodes.setdefault(r.node, []).append((r.v, r.side))
+    for node, members in nodes.items():
+        got |= {(u, v) for u, su in members for v, sv in members if u < v and (node >= 0 or su != sv)}
+    cut = lambda x, i: x >> (i * depth) & 0xFFFF
+    want = {(u, v) for v in range(len(prints)) for u in range(v) if any((cut(prints[u], i) ^ cut(prints[v], i)).bit_count() <= 1 for i in range(parts))}
+    assert got == want and len(want) > 1000
