@@ -128,10 +128,11 @@ def reproject(snapshots: DataFrame, charset: str = "windows-1252", parser: str =
     """
     raw = snapshots.select("doc_id", F.sha2(F.concat(F.sha2("raw_bytes", 256), F.lit("\n" + parser)), 256).alias("version"), decode_strict(F.col("raw_bytes"), charset).alias("d"))
     pages = raw.filter("d.error is null").select("doc_id", cut_after_html_close(F.col("d.text"))[0].alias("html"))
-    law = parse_law(html_blocks(pages, "doc_id").withColumnRenamed("block", "pos"))
+    law = parse_law(html_blocks(pages, "doc_id", only=("text", "anchors")).withColumnRenamed("block", "pos"))
     empty = raw.filter("d.error is not null").select("doc_id", F.lit(-1).alias("pos"), F.col("d.error").alias("reason"), F.lit(None).cast("string").alias("text"))
     rejected = law.rejected.withColumn("stage", F.lit("STRUCTURE")).unionByName(empty.withColumn("stage", F.lit("DECODE")))
-    p = law.provisions.join(raw.select("doc_id", "version"), "doc_id").withColumn("content_hash", content_hash(F.col("text")))
+    versions = raw.groupBy("doc_id").agg(F.min("version").alias("version"))  # one a document, so the join goes where no version is asked for
+    p = law.provisions.join(versions, "doc_id", "left").withColumn("content_hash", content_hash(F.col("text")))
     units = project_units(p.select("doc_id", "version", F.col("stable_key").alias("unit_key"), "text"))
     return Derived(p, units, rejected)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,22 +61,119 @@ class _Blocks(HTMLParser):
                 self.open["struck"].append(self.strikes > 0)
 
 
-def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per paragraph: key, block, text, in_table, any_struck, fully_struck, anchors, hrefs. Null pages have none."""
+#: A tag that the plain reader takes: lower case, values in double quotes, nothing to decode.
+_PLAIN_TAG = re.compile(r'(/?)(html|head|body|p|a|table|thead|tbody|tr|td|th|strike|s|del|script|style|b|i|u|em|strong|span|div|font|center|h[1-6]|ul|ol|li|br|hr)((?: [a-z]+="[^"<>&]*")*)')
+_ATTRIBUTE = re.compile(r' ([a-z]+)="([^"]*)"')
+_STRUCK = ("strike", "s", "del")
+
+
+def _plain_blocks(page: str, known: dict) -> list[tuple] | None:
+    """What ``_Blocks`` finds in a page of plain tags without character references, or None where the page has anything else. ``known`` keeps tags that were read."""
+    if "&" in page:
+        return None
+    pieces = page.split("<")
+    rows, block, raw = [], None, None
+    tables = strikes = skip = 0
+    for i, piece in enumerate(pieces):
+        if i:
+            inside, closed, data = piece.partition(">")
+            if not closed:
+                return None
+            tag = known.get(inside)
+            if tag is None:
+                m = _PLAIN_TAG.fullmatch(inside)
+                if not m or (m[1] and m[3]):
+                    return None
+                a = dict(_ATTRIBUTE.findall(m[3]))
+                if len(known) > 50_000:
+                    known.clear()
+                known[inside] = tag = (m[1] + m[2], [x for x in (a.get("name"), a.get("id")) if x and m[2] in ("a", "p")], a.get("href") if m[2] == "a" else None)
+            name, anchors, href = tag
+            if raw and name != raw:
+                return None
+            if name == "p":
+                block = ([], [], tables > 0, [], anchors.copy())
+                rows.append(block)
+            else:
+                if name[0] == "/":
+                    if name == "/p":
+                        block = None
+                    elif name == "/table":
+                        tables = max(0, tables - 1)
+                    elif name[1:] in _STRUCK:
+                        strikes = max(0, strikes - 1)
+                    elif name in ("/script", "/style"):
+                        skip, raw = max(0, skip - 1), None
+                else:
+                    if name == "table":
+                        tables += 1
+                    elif name in _STRUCK:
+                        strikes += 1
+                    elif name in ("script", "style"):
+                        skip, raw = skip + 1, "/" + name
+                    if block is not None:
+                        if anchors:
+                            block[4].extend(anchors)
+                        if href:
+                            block[1].append(href)
+        else:
+            data = piece
+        if data and block is not None and not skip:
+            block[0].append(data)
+            if not data.isspace():
+                block[3].append(strikes > 0)
+    return None if raw else [(" ".join("".join(t).split()), in_table, any(st), bool(st) and all(st), anchors, hrefs) for t, hrefs, in_table, st, anchors in rows]
+
+
+def _parsed_blocks(page: str) -> list[tuple]:
+    r = _Blocks()
+    r.feed(page)
+    r.close()
+    r.close_block()
+    return [(" ".join("".join(b["text"]).split()), b["in_table"], any(b["struck"]), bool(b["struck"]) and all(b["struck"]), b["anchors"], b["hrefs"]) for b in r.rows]
+
+
+#: Columns of a block, and how many blocks are handed on at once.
+_BLOCK_COLUMNS = {"text": "string", "in_table": "boolean", "any_struck": "boolean", "fully_struck": "boolean", "anchors": "array<string>", "hrefs": "array<string>"}
+_BLOCKS_AT_ONCE = 20_000
+
+
+def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", only: tuple = tuple(_BLOCK_COLUMNS)) -> DataFrame:
+    """One row per paragraph: key, block, and of text, in_table, any_struck, fully_struck, anchors, hrefs those in ``only``. Null pages have none.
+
+    Pages of plain tags are cut at their tags; all others, among them those with character references, comments or unknown
+    tags, go through the standard library's parser, with the same result.
+    """
     kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, page in zip(pdf["k"], pdf["page"], strict=True):
-                r = _Blocks()
-                r.feed(page or "")
-                r.close()
-                r.close_block()
-                out += [(k, i, " ".join("".join(b["text"]).split()), b["in_table"], any(b["struck"]), bool(b["struck"]) and all(b["struck"]), b["anchors"], b["hrefs"]) for i, b in enumerate(r.rows)]
-            yield pd.DataFrame(out, columns=[key, "block", "text", "in_table", "any_struck", "fully_struck", "anchors", "hrefs"])
-
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("page")).mapInPandas(run, f"{key} {kind}, block int, text string, in_table boolean, any_struck boolean, fully_struck boolean, anchors array<string>, hrefs array<string>")
+    arrow = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    places = [list(_BLOCK_COLUMNS).index(c) for c in only]
+    types = [arrow[_BLOCK_COLUMNS[c]] for c in only]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+
+        def made(keys: pa.Array, at: list, number: list, rows: list) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(_BLOCK_COLUMNS)
+            cols = [pa.array(columns[i], t) for i, t in zip(places, types, strict=True)]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), *cols], names=[key, "block", *only])
+
+        for batch in batches:
+            at, number, rows = [], [], []
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                found = _plain_blocks(page or "", known)
+                if found is None:
+                    found = _parsed_blocks(page)
+                at += [i] * len(found)
+                number += range(len(found))
+                rows += found
+                if len(rows) >= _BLOCKS_AT_ONCE:
+                    yield made(batch.column(0), at, number, rows)
+                    at, number, rows = [], [], []
+            if rows:
+                yield made(batch.column(0), at, number, rows)
+
+    schema = ", ".join([f"`{key}` {kind}", "block int", *(f"{c} {_BLOCK_COLUMNS[c]}" for c in only)])
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("page")).mapInArrow(run, schema)
 
 
 def html_blocks_regex(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -170,12 +170,12 @@ blocks as (select doc_id, pos + 2 as block, pos + 2 > 1 and (pos + 2) % 5 = 2 as
 @query("C3_law_block_flags", sql(FLAGS, "select doc_id, block, in_table, any_struck, fully_struck from blocks union all select distinct doc_id, max(block) over (partition by doc_id) + 1, false, false, false from blocks"))
 def _(s, d):
     """Also of the paragraph behind the page's end, which is cut off only later."""
-    return structure.html_blocks(law_pages(s, d), "doc_id").select("doc_id", "block", "in_table", "any_struck", "fully_struck")
+    return structure.html_blocks(law_pages(s, d), "doc_id", only=("in_table", "any_struck", "fully_struck"))
 
 
 @query("C4_block_anchors", sql(FLAGS, "select doc_id, block, anchor, anchor as first_anchor from blocks where anchor is not null"))
 def _(s, d):
-    return structure.html_blocks(law_pages(s, d), "doc_id").select("doc_id", "block", F.explode("anchors").alias("anchor"), F.get("anchors", F.lit(0)).alias("first_anchor"))
+    return structure.html_blocks(law_pages(s, d), "doc_id", only=("anchors",)).select("doc_id", "block", F.explode("anchors").alias("anchor"), F.get("anchors", F.lit(0)).alias("first_anchor"))
 
 
 @query("C7_law_provisions", sql(LAWS, LAW_ROWS, "select doc_id, document_order, stable_key, parent_key, provision_type, number_label, text, status, pos_start, pos_end from law_rows"))
