@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import key_token, normalize_presentation
-from evidentia.sources.scratch import cut
+from evidentia.sources.scratch import cut, spread
 
 
 class _Blocks(HTMLParser):
@@ -387,9 +387,14 @@ def document_order(elements: DataFrame, by: tuple = ("pos",)) -> DataFrame:
 
 
 def resolve_parents(elements: DataFrame) -> DataFrame:
-    """Adds parent_order, the parent's place in the same version; null for a root or a parent that's missing."""
-    p = elements.select(F.col("version").alias("p_v"), F.col("key").alias("p_k"), F.col("document_order").alias("parent_order"))
-    return elements.join(p, (F.col("version") == F.col("p_v")) & (F.col("parent_key") == F.col("p_k")), "left").drop("p_v", "p_k")
+    """Adds parent_order, the parent's place in the same version; null for a root or a parent that's missing.
+
+    The elements are written once; both sides are dealt out in as many partitions as their rows ask for.
+    """
+    elements = cut(elements)
+    rows = elements.count()
+    p = spread(elements.select(F.col("version").alias("p_v"), F.col("key").alias("p_k"), F.col("document_order").alias("parent_order")), rows, "p_v", "p_k")
+    return spread(elements, rows, "version", "parent_key").join(p, (F.col("version") == F.col("p_v")) & (F.col("parent_key") == F.col("p_k")), "left").drop("p_v", "p_k")
 
 
 def ancestors(elements: DataFrame, path: str = "path") -> DataFrame:
@@ -403,23 +408,25 @@ def ancestors_of_keys(elements: DataFrame, by: str = "doc_id", key: str = "key",
     """Each node with its ancestors from the root down and its depth, from (key, parent) alone, and the nodes that have none because their parents run in a circle.
 
     Pointers are doubled: after round n a node knows its next 2^n ancestors, so a tree of depth d takes log2(d) + 1 joins,
-    each over a written table.
+    each over a written table, dealt out in as many partitions as the nodes ask for.
     A parent that is no node ends the way like a root, and does not count. A node whose way is longer than
     ``most_depth`` is taken to run in a circle. Keys are told apart within ``by``; nodes of a null key have no place.
     """
-    nodes = elements.filter(F.col(key).isNotNull()).select(F.col(by).alias("d"), F.col(key).alias("k"), F.col(parent).alias("p"))
-    known = nodes.select(F.col("d").alias("kd"), F.col("k").alias("kk")).distinct()
-    nodes = nodes.groupBy("d", "k").agg(F.min("p").alias("p"))
-    up = nodes.join(known, F.col("d").eqNullSafe(F.col("kd")) & (F.col("p") == F.col("kk")), "left").select("d", "k", F.when(F.col("kk").isNotNull(), F.array("kk")).otherwise(F.array().cast(elements.select(F.array(key)).schema[0].dataType)).alias("up"), F.col("kk").alias("top"))
+    nodes = cut(elements.filter(F.col(key).isNotNull()).select(F.struct(F.col(by).alias("by")).alias("d"), F.col(key).alias("k"), F.col(parent).alias("p")))
+    rows = nodes.count()
+    nodes = spread(nodes, rows, "d", "k")
+    known = spread(nodes.select(F.col("d").alias("kd"), F.col("k").alias("kk")).distinct(), rows, "kd", "kk")
+    nodes = spread(nodes.groupBy("d", "k").agg(F.min("p").alias("p")), rows, "d", "p")
+    up = nodes.join(known, (F.col("d") == F.col("kd")) & (F.col("p") == F.col("kk")), "left").select("d", "k", F.when(F.col("kk").isNotNull(), F.array("kk")).otherwise(F.array().cast(elements.select(F.array(key)).schema[0].dataType)).alias("up"), F.col("kk").alias("top"))
     for _ in range(max(1, (most_depth - 1).bit_length())):
         up = cut(up)
         if up.filter("top is not null").isEmpty():
             break
-        next_ = up.select(F.col("d").alias("nd"), F.col("k").alias("nk"), F.col("up").alias("more"), F.col("top").alias("next_top"))
-        j = up.join(next_, F.col("d").eqNullSafe(F.col("nd")) & (F.col("top") == F.col("nk")), "left")
+        next_ = spread(up.select(F.col("d").alias("nd"), F.col("k").alias("nk"), F.col("up").alias("more"), F.col("top").alias("next_top")), rows, "nd", "nk")
+        j = spread(up, rows, "d", "top").join(next_, (F.col("d") == F.col("nd")) & (F.col("top") == F.col("nk")), "left")
         up = j.select("d", "k", F.when(F.col("more").isNull(), F.col("up")).otherwise(F.concat("up", "more")).alias("up"), F.col("next_top").alias("top"))
-    ended = up.filter("top is null").select(F.col("d").alias(by), F.col("k").alias(key), F.reverse("up").alias("ancestors"), F.size("up").alias("depth"))
-    return ended, up.filter("top is not null").select(F.col("d").alias(by), F.col("k").alias(key))
+    ended = up.filter("top is null").select(F.col("d.by").alias(by), F.col("k").alias(key), F.reverse("up").alias("ancestors"), F.size("up").alias("depth"))
+    return ended, up.filter("top is not null").select(F.col("d.by").alias(by), F.col("k").alias(key))
 
 
 def validate_tree(elements: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import act_audit, audit, deep, law, structure
 from evidentia.plans.inputs import TREE, sql, t, tree
 from evidentia.plans.register import query
-from evidentia.sources.scratch import cut
+from evidentia.sources.scratch import cut, spread
 
 C = F.col
 
@@ -345,6 +345,8 @@ def keyed(s, d) -> DataFrame:
     """Provisions by numbers that say nothing of their parents; some are their own parents."""
     p = c7(s, d)
     first = p.groupBy(C("doc_id").alias("f_doc"), C("stable_key").alias("f_key")).agg(F.min("document_order").alias("at"))
+    rows = 2 * t(s, d, "lineitem").count()  # at most: an article is two provisions
+    p, first = spread(p, rows, "doc_id", "parent_key"), spread(first, rows, "f_doc", "f_key")
     j = p.join(first, (C("doc_id") == C("f_doc")) & (C("parent_key") == C("f_key")), "left")
     at = F.coalesce("at", F.when(C("document_order") % 40 == 39, C("document_order")).otherwise(0))
     return j.select("doc_id", F.concat(F.lit("n"), "document_order").alias("key"), F.concat(F.lit("n"), at).alias("parent_key"))
