@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import content_hash, fold_terms
@@ -26,10 +26,28 @@ def lexemes(units: DataFrame, text: str = "text", **shape) -> DataFrame:
     return units.select("version", "unit_key", F.posexplode(fold_terms(F.col(text), **shape)).alias("position", "term"))
 
 
+def _by_term(terms: Column) -> Column:
+    """A text's terms, each once with its sorted positions: sorted within the row and cut where the term changes."""
+    sorted_ = F.sort_array(F.transform(terms, lambda x, i: F.struct(x.alias("term"), i.alias("p"))))
+
+    def starts(a: Column) -> Column:
+        return F.filter(F.transform(a, lambda x, i: F.struct(x["term"].alias("term"), i.alias("i"))), lambda x: ~F.get(a, x["i"] - 1)["term"].eqNullSafe(x["term"]))
+
+    def cut_(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        upto = lambda k: F.coalesce(F.get(b, k + 1)["i"], F.size(a))
+        return F.transform(b, lambda y, k: F.struct(y["term"].alias("term"), F.transform(F.slice(a, y["i"] + 1, upto(k) - y["i"]), lambda z: z["p"]).alias("positions")))
+
+    # arrays of one element give a value a name, so that it is worked out once and not for each element
+    both = F.transform(F.array(sorted_), lambda a: F.struct(a.alias("a"), starts(a).alias("b")))
+    return F.transform(both, cut_)[0]
+
+
 def build_postings(units: DataFrame, text: str = "text", **shape) -> DataFrame:
-    """(version, term, unit_key) with tf and sorted positions. Terms meet within their unit before the shuffle, so one row per posting moves, however often a term repeats."""
-    each = units.select("version", "unit_key", F.posexplode(fold_terms(F.col(text), **shape)).alias("position", "term"))
-    p = each.groupBy("version", "term", "unit_key").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """(version, term, unit_key) with tf and sorted positions. Terms meet within their unit's row, so nothing is shuffled; only where unit keys repeat are postings merged."""
+    p = units.select("version", "unit_key", F.explode(_by_term(fold_terms(F.col(text), **shape))).alias("x")).select("version", "x.term", "unit_key", "x.positions")
+    if not units.groupBy("version", "unit_key").count().filter("count > 1").isEmpty():
+        p = p.groupBy("version", "term", "unit_key").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return p.withColumn("tf", F.size("positions"))
 
 
@@ -38,7 +56,7 @@ BUCKETED = ("version", "term")
 
 def _append(df: DataFrame, name: str, path: str, buckets: int) -> None:
     """Appended to a table in parts by version and buckets by (version, term): a task writes the one bucket that its rows hash to."""
-    w = df.repartition(buckets, *BUCKETED).withColumn("part", F.col("version")).write.mode("append").partitionBy("part").bucketBy(buckets, *BUCKETED).sortBy(*BUCKETED)
+    w = df.repartition(buckets, *BUCKETED).withColumn("part", F.col("version")).write.mode("append").partitionBy("part").bucketBy(buckets, *BUCKETED)
     (w if df.sparkSession.catalog.tableExists(name) else w.option("path", path)).saveAsTable(name)
 
 

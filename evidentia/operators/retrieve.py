@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import fold_tokens, key_prefix
 from evidentia.operators.index import top_k
-from evidentia.sources.scratch import cut
+from evidentia.sources.scratch import cut, likely
 
 
 def query_terms(questions: DataFrame, stop: tuple = (), **shape) -> DataFrame:
@@ -187,7 +187,8 @@ def lexical_search(questions: DataFrame, postings: DataFrame, limit: int = 200,
     plain = plain.select("question_id", "unit_key", F.round(F.col("tf") * 0.1 + 2.0 * F.when(F.col("n") > 1, 0).otherwise(F.col("tf")), 6).alias("score"))
     t = questions.select("question_id", "version", fold_tokens(F.col("question"), stop=stop, **shape).alias("terms"))
     t = t.select("question_id", "version", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "term"))
-    m = full.join(t, "question_id").join(postings.select("version", "term", "unit_key", "tf", "positions"), ["version", "term", "unit_key"])
+    held = likely(postings.select("version", "term", "unit_key", "tf", "positions"), "unit_key", full.select("unit_key"))
+    m = full.join(t, "question_id").join(held, ["version", "term", "unit_key"])
     one = m.groupBy("question_id", "unit_key").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list(F.transform("positions", lambda p: p - F.col("slot")))).alias("bases"), F.first("n_terms").alias("n"))
     run = lambda a, b: F.when(b == a["at"], a["run"] + 1).otherwise(F.lit(1))
     step = lambda a, b: F.struct(b.alias("at"), run(a, b).alias("run"), (a["hits"] + (run(a, b) == F.col("n")).cast("int")).alias("hits"))
@@ -348,7 +349,11 @@ def attach_parent_text(cands: DataFrame, elements: DataFrame) -> DataFrame:
     return cands.join(elements.select(F.col("key").alias("id"), "parent_key"), "id", "left").join(parent, F.col("parent_key") == F.col("p_key"), "left").drop("p_key")
 
 
-def parent_union_boost(cands: DataFrame, deep: tuple = ("ALINEA", "ITEM")) -> DataFrame:
+#: Types of elements that are read together with their parent.
+DEEP = ("ALINEA", "ITEM")
+
+
+def parent_union_boost(cands: DataFrame, deep: tuple = DEEP) -> DataFrame:
     """+0.04 where parent and child together have every question token and the child alone hasn't (deep types)."""
     q, own = fold_tokens(F.col("question"), plural=False), fold_tokens(F.col("text"), plural=False)
     both = F.array_union(own, fold_tokens(F.col("parent_text"), plural=False))
@@ -376,10 +381,17 @@ def hybrid_search(questions: DataFrame, question_vectors: DataFrame, postings: D
     lex = lexical_search(questions, postings, depth).select("question_id", F.col("unit_key").cast("long").alias("id"), "rank")
     vec = vector_search(question_vectors, vectors, depth).select("question_id", "id", "rank")
     asked = query_terms(questions).select("question_id", "question", "is_short")
-    x = short_query_boost(reciprocal_rank_fusion([lex, vec]).drop("rank").join(asked, "question_id"))
-    x = attach_parent_text(x.withColumn("rrf_score", F.col("boosted")), elements)
-    x = x.join(elements.select(F.col("key").alias("id"), "text", "element_type", "path"), "id", "left")
-    x = parent_union_boost(x).withColumn("score", F.col("contextual_score"))
+    x = cut(short_query_boost(reciprocal_rank_fusion([lex, vec]).drop("rank").join(asked, "question_id")).drop("question"))
+    # whole texts move only for candidates, their number is that of the questions; of a candidate's text, the question's tokens that it lacks go on
+    own = likely(elements.select(F.col("key").alias("id"), "parent_key", "text", "element_type", "path"), "id", x.select("id"))
+    x = x.join(asked.select("question_id", "question"), "question_id").join(own, "id", "left")
+    lacks = F.array_except(fold_tokens(F.col("question"), plural=False), fold_tokens(F.col("text"), plural=False))
+    x = cut(x.withColumn("lacks", F.when(F.col("element_type").isin(*DEEP), lacks)).drop("question", "text"))
+    open_ = x.filter(F.size("lacks") > 0).select("question_id", "id", F.col("parent_key").alias("p_key"), "lacks")
+    parents = likely(elements.select(F.col("key").alias("p_key"), F.col("text").alias("parent_text")), "p_key", open_.select("p_key"))
+    hit = open_.join(parents, "p_key").filter(F.size(F.array_except("lacks", fold_tokens(F.col("parent_text"), plural=False))) == 0)
+    x = x.join(hit.select("question_id", "id", F.lit(0.04).alias("add")).distinct(), ["question_id", "id"], "left")
+    x = cut(x.withColumn("contextual_score", F.round(F.col("boosted") + F.coalesce("add", F.lit(0.0)), 9)).drop("lacks", "parent_key", "add").withColumn("score", F.col("contextual_score")))
     most = F.when(F.col("is_short"), max(10, limit)).otherwise(limit)
     return promote_caput(x, limit).filter(F.col("rank") <= most).select("question_id", "id", "rank_0", "rank_1", "boosted", "contextual_score", "score", "rank")
 

@@ -127,6 +127,10 @@ CASES = f"""cases0 as (select doc_id::varchar as case_id, lang as category, qual
 cases as (select *, case when expect_answer then 'ANSWER' else 'ABSTAIN' end as expected_decision, case when answered then 'ANSWER' else 'ABSTAIN' end as decision, case when expect_answer then expected else [] end as required, case when answered then cited else [] end as citations from cases0)"""
 
 
+#: Bytes of text for which a stored index has a bucket more, above 32.
+BUCKET_BYTES = 16_000_000
+
+
 def stored_index(spark: SparkSession, d: str, kind: str = "lines") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, frequencies and sizes of the units (lines or whole documents), stored once in a session for the files as they are."""
     from evidentia.sources.scratch import scratch
@@ -135,7 +139,8 @@ def stored_index(spark: SparkSession, d: str, kind: str = "lines") -> tuple[Data
     state = files.agg(F.count("*"), F.expr("sum(cast(xxhash64(file_path, file_modification_time, file_size) as decimal(38, 0)))")).first()
     name = f"postings_{kind}_" + hashlib.md5(str(tuple(state)).encode()).hexdigest()[:16]
     if not spark.catalog.tableExists(f"{name}_sizes"):
-        index.store_index({"lines": units, "documents": whole_documents}[kind](spark, d), name, scratch(spark), buckets=32)
+        size = t(spark, d, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        index.store_index({"lines": units, "documents": whole_documents}[kind](spark, d), name, scratch(spark), buckets=max(32, -(-size // BUCKET_BYTES)))
     return index.stored(spark, name)
 
 
