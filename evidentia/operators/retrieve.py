@@ -128,16 +128,19 @@ def search_relaxed_or(questions: DataFrame, postings: DataFrame, limit: int = 10
 def search_strict(questions: DataFrame, postings: DataFrame, limit: int = 10, frequencies: DataFrame | None = None, **shape) -> DataFrame:
     """All terms match; each minimal cover adds 0.1 / (1 + positions in it that match nothing).
 
-    With ``frequencies`` (version, term, df) only units that have a question's rarest term are looked at further; a
-    question with a term that no unit has is over at once. The result is the same. Occurrences of a unit's matched terms are walked in order inside one row: the latest position of each
+    With ``frequencies`` (version, term, df) only units that have a question's rarest term are looked at further, and only their
+    postings are joined with questions; a question with a term that no unit has is over at once. The result is the same. Occurrences of a unit's matched terms are walked in order inside one row: the latest position of each
     term gives the cover that ends at an occurrence, which is minimal if its left end has moved on.
     """
-    m = matches(questions, postings, **shape)
+    may = None
     if frequencies is not None:
         q = questions.select("question_id", "version", F.explode(fold_tokens(F.col("question"), **shape)).alias("term"))
         q = q.join(frequencies.select("version", "term", "df"), ["version", "term"], "left")
         rare = q.groupBy("question_id", "version").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.min(F.coalesce("df", F.lit(0))).alias("least")).filter("least > 0")
         may = cut(rare.join(postings.select("version", "term", "unit_key"), ["version", "term"]).select("question_id", "unit_key"))
+        postings = likely(postings, "unit_key", may.select("unit_key"))
+    m = matches(questions, postings, **shape)
+    if may is not None:
         m = m.join(may, ["question_id", "unit_key"], "left_semi")
     g = m.groupBy("question_id", "unit_key").agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("found"), F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("slot").alias("s")))))).alias("hits")).filter("found = n_terms")
     none = F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("n"))

@@ -38,6 +38,16 @@ def test_hybrid_search_moves_texts_of_candidates(spark, monkeypatch):
     assert [n for n, _ in calls[1:]] == [500, 500] and calls[1][1] == 3 and calls[2][1] == 1
 
 
+def test_strict_search_joins_only_units_with_the_rarest_term(spark, monkeypatch):
+    calls = kept(monkeypatch)
+    units = spark.createDataFrame([("v", str(i), "alpha bravo" + (" charlie" if i % 100 == 0 else "")) for i in range(300)], "version string, unit_key string, text string")
+    q = spark.createDataFrame([(1, "v", "alpha bravo charlie")], "question_id int, version string, question string")
+    p = index.build_postings(units)
+    got = retrieve.search_strict(q, p, frequencies=index.document_frequency(p))
+    assert {r.unit_key for r in got.collect()} == {"0", "100", "200"}
+    assert calls == [(603, 9)]
+
+
 def test_buckets_follow_the_text(spark, monkeypatch, sf):
     from evidentia.plans import inputs
 
