@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import langid, mixing, packing, secrets, simhash
-from evidentia.llm.store import written
+from evidentia.llm.store import short_batches, written
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     their columns, whatever these are called; rows repeated whole stay or go together; very long texts are read
     whole; an empty table stays empty.
     """
+    short_batches(spark)
     return langid.keep_known(docs)
 
 
@@ -29,6 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null ids come last, ties go by a hash of the text, rows repeated whole are one; all texts without words are one
     group. Columns keep their names and values; an empty table stays empty.
     """
+    short_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -56,6 +58,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null text is empty (its end id alone); rows repeated whole are packed each; longer documents are cut; an empty
     table gives no sequence; other columns are not looked at.
     """
+    short_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -28,6 +28,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that a Python function of the pipeline gets.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on Python functions of this session get ``BATCH_ROWS`` rows at once at most: rows are whole texts, and a worker keeps the memory of its largest batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A key of sixteen bytes that only rows of equal id and text share; a null id or text has a key as well."""
     text = F.col(text_col)
