@@ -64,6 +64,8 @@ def trie_walk(keyed: DataFrame, depths: list[int], bits: int, above: int, budget
     """
 
     def nodes(depth: int) -> DataFrame:
+        if depth == bits:  # keys are distinct
+            return keyed.select("tree", F.col("key").alias("node"), F.lit(1).cast("long").alias("n"), "fp")
         return keyed.groupBy("tree", _prefix("key", depth, bits).alias("node")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
 
     top, half = depths[0], bits // 2
@@ -79,7 +81,9 @@ def trie_walk(keyed: DataFrame, depths: list[int], bits: int, above: int, budget
         front = front.filter(~alone)
         if below is None or front.isEmpty():
             break
-        kids = written(nodes(below).withColumn("up", F.shiftrightunsigned("node", below - depth)), "nodes")
+        kids = nodes(below).withColumn("up", F.shiftrightunsigned("node", below - depth))
+        if below < bits:
+            kids = written(kids, "nodes")
         kid = lambda s: kids.select("tree", F.col("up").alias(s), F.col("node").alias(f"{s}2"), F.col("n").alias(f"n{s}2"), F.col("fp").alias(f"f{s}2"))  # noqa: B023, E731
         down = front.select("tree", "a", "b", "d").join(kid("a"), ["tree", "a"]).join(kid("b"), ["tree", "b"])
         low_bits = F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << (below - depth)) - 1)))
@@ -232,7 +236,7 @@ def _meetings(prints: DataFrame, depth: int, parts: int) -> DataFrame:
     part, value, half = F.shiftright("code", depth), F.col("code").bitwiseAND(F.lit((1 << depth) - 1)), depth // 2
     turned = F.expr(f"shiftleft(fp & {(1 << half) - 1}L, {half}) | shiftrightunsigned(fp, {half})")
     both = values.select(part.alias("part"), value.alias("fp")).select("part", "fp", F.explode(F.array(F.struct(F.lit(0).alias("from"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("from"), turned.alias("key")))).alias("x"))
-    keyed = written(both.select((F.col("part") * 2 + F.col("x.from")).alias("tree"), "x.key", "fp"), "tries")
+    keyed = both.select((F.col("part") * 2 + F.col("x.from")).alias("tree"), "x.key", "fp")  # two rows from each of the written values
     pairs = trie_walk(keyed, [half, half + half // 2, depth], depth, 0, 1).select(F.shiftright("tree", 1).alias("part"), F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
     code = lambda c: F.shiftleft("part", depth).bitwiseOR(F.col(c))
     pairs = written(pairs.select(code("a").alias("a"), code("b").alias("b"), (-1 - F.monotonically_increasing_id()).alias("node")), "pairs")
