@@ -95,6 +95,22 @@ def tuned(forest: Forest, counts: list[np.ndarray], n: int, asked: np.ndarray, n
     return best
 
 
+def by_hash(entries: DataFrame, n: int, rows: int, last: bool = False) -> DataFrame:
+    """The ``rows`` of the ``n`` entries whose hash is smallest, or largest.
+
+    Hashes are uniform, so about twice as many are left by a bound on the hash; only these are put in order. Without it each
+    task would send the driver so many of its own.
+    """
+    share, found = 2 * rows / max(1, n), entries
+    while share < 1:
+        width = int(share * 2**64)
+        found = entries.filter(F.col("entry") >= 2**63 - width if last else F.col("entry") < width - 2**63)
+        if found.count() >= rows:
+            break
+        share, found = 2 * share, entries
+    return found.orderBy(F.desc("entry") if last else "entry").limit(rows)
+
+
 def _closest(x: np.ndarray, low: np.ndarray, second: np.ndarray, q_id: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the ``k`` nearest of those whose rough squared distance is finite, and their distances; ties go to the smaller id."""
     here = np.flatnonzero(np.isfinite(rough))
@@ -136,7 +152,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 8, le
     first = v.select("id", "vec").distinct().withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 1)
     entries = written(first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("entry", F.xxhash64("vec")), "entries")
     n = entries.count()
-    sample = entries.orderBy("entry").limit(sample_rows).select("vec").toPandas()
+    sample = by_hash(entries, n, sample_rows).select("vec").toPandas()
     depth = max(0, min(10, int(np.log2(max(1, n / leaf))), int(np.log2(max(1, len(sample) / 8)))))
     forest = grow(np.array(sample["vec"].tolist()), depth, trees, seed)
     shared = spark.sparkContext.broadcast(forest)
@@ -155,7 +171,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 8, le
         counts[r["tree"]][r["leaf"]] = r["n"]
     used = trees
     if share is None:
-        asked = entries.orderBy(F.desc("entry")).limit(tune).select("entry", "vec").toPandas()
+        asked = by_hash(entries, n, tune, last=True).select("entry", "vec").toPandas()
         used, share = tuned(forest, counts, n, np.array(asked["vec"].tolist()), _true_neighbours(entries, asked, k), recall)
     cells, salts, size = [], [], max(1, LEAF_ROWS)
     for t in range(used):
@@ -220,9 +236,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 8, le
     blocks = written(blocks.applyInPandas(packed, "cell long, leaf binary, entry binary, low binary, second binary, vec binary"), "blocks")
     queries_ = written(v.filter("asks").select("id", "vec").distinct(), "queries")
     groups = max(1, -(-queries_.count() // QUERY_ROWS))
-    wanted = queries_.repartition(max(groups, spark.sparkContext.defaultParallelism), "id").mapInPandas(route, "q_cell long, query_id long, q binary, leaves binary")
+    parts = max(len(salts), 2)
+    wanted = queries_.repartition(max(groups, spark.sparkContext.defaultParallelism), "id").mapInPandas(route, "q_cell long, query_id long, q binary, leaves binary").repartition(parts, "q_cell")
     wanted = wanted.groupBy("q_cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "leaves")).alias("asked"))
-    met = blocks.repartition(max(len(salts), 2), "cell").join(wanted, F.col("cell") == F.col("q_cell")).drop("cell", "q_cell", "part")
+    # the planner takes what is asked for as large as the queries; it is queries times cells, and must not go through the driver
+    met = blocks.repartition(parts, "cell").hint("merge").join(wanted, F.col("cell") == F.col("q_cell")).drop("cell", "q_cell", "part")
     found = met.mapInPandas(compare, "query_id long, entry long, score double").groupBy("query_id", "entry", "score").agg(F.lit(1).alias("one"))
     ids = entries.select(F.col("entry").alias("e"), "ids")
     each = found.join(ids, F.col("entry") == F.col("e")).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
