@@ -126,7 +126,8 @@ def act_findings(elements: DataFrame, lines: DataFrame, coverage: DataFrame, pro
     """Findings (doc_id, block, element_type, label, code, severity, detail) of acts as :func:`deep.parse_act` gives them.
 
     ``lines``: doc_id, pos, text and, if known, struck and in_table; ``provisions``: doc_id, identity_key, element_type,
-    parent_key (of keys met twice the greatest counts). Documents are shuffled once. Findings of a group stand at its first
+    parent_key (of keys met twice the greatest counts). Documents are shuffled once, and sorted by line, by order, by article and by key; texts
+    are left behind after the first of these. Findings of a group stand at its first
     row, those of a document have no block. Orders are right if they are 1 to n and each element's parent is open
     when it comes. An element without a line can't prove a revocation. Repeated rows are elements of their own; empty tables
     have no findings.
@@ -135,50 +136,52 @@ def act_findings(elements: DataFrame, lines: DataFrame, coverage: DataFrame, pro
     c, one = F.col, F.lit(1)
     el = c("tag") == 1
     kind, key, parent, status = c("element_type"), c("identity_key"), c("parent_key"), c("text_status")
-    note, blank = kind == "NOTE", ~F.coalesce(c("text").rlike(r"\S"), F.lit(False))
+    note = kind == "NOTE"
     per = lambda *by: Window.partitionBy("doc_id", *by)
-    first = lambda *by: F.row_number().over(per("tag", *by).orderBy("document_order", "pos", "element_type")) == 1
+    place = ("document_order", "pos", "element_type")
+    rowwise = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     count = lambda cond, w: F.sum(F.when(cond, 1).otherwise(0)).over(w)
-    in_order = per("tag").orderBy("document_order", "pos", "element_type")
-
-    x = rows.withColumns({
-        "line": F.max(F.when(c("tag") == 0, F.struct(one.alias("is"), c("text").alias("text"), c("struck").alias("struck"), c("in_table").alias("in_table")))).over(per("pos")),
-        "prov": F.max(F.when(c("tag") == 2, F.struct("element_type", "parent_key"))).over(per("identity_key")),
-        "currents": count(el & ~note & (status == "CURRENT"), per("identity_key")),
-        "key_first": first("identity_key", "text_status"),
-        "before": F.lag(F.coalesce(key, parent)).over(in_order),
-        "art_no": count(el & (kind == "ARTICLE"), in_order),
-        "same_notes": count(el & note, per("tag", "element_type", "pos", "text")),
-        "note_first": first("element_type", "pos"),
-        "key_no": F.row_number().over(per("tag").orderBy(F.col("document_order").asc_nulls_last(), "pos", "element_type")),
-    })
-    art = per("tag", "art_no")
-    art_key, art_pos = F.max(F.when(kind == "ARTICLE", key)).over(art), F.max(F.when(kind == "ARTICLE", c("pos"))).over(art)
-    x = x.withColumns({"art_key": art_key, "art_pos": art_pos, "caput": (kind == "CAPUT") & (c("tag") == 1)})
-    hangs = c("caput") & parent.eqNullSafe(c("art_key"))
+
+    # by place of the line: notes that repeat, and what the line says; texts are not needed any more
+    at_line, of_kind = per("pos"), per("pos", "tag", "element_type")
+    x = rows.withColumn("note_first", F.row_number().over(of_kind.orderBy("document_order")) == 1)
+    x = x.withColumn("repeated_notes", F.size(F.collect_set(F.when(el & note, F.struct("text"))).over(of_kind)) < count(el & note, of_kind))
+    x = x.withColumn("line", F.max(F.when(c("tag") == 0, F.struct(one.alias("is"), c("text").alias("text"), c("struck").alias("struck"), c("in_table").alias("in_table")))).over(at_line))
+    x = x.filter("tag > 0").select(
+        "doc_id", "tag", "pos", "element_type", "label", "text_status", "content_role", "identity_key", "parent_key", "document_order", "note_first", "repeated_notes",
+        (~F.coalesce(c("text").rlike(r"\S"), F.lit(False))).alias("blank"), c("line").isNotNull().alias("in_line"), F.coalesce(c("line.struck"), F.lit(False)).alias("line_struck"),
+        F.when(status == "REVOKED", F.coalesce(c("line.text").rlike(REVOKED), F.lit(False))).alias("proven"),
+        F.when(c("tag") == 3, unclassified_kind(F.coalesce(normalize_matching(c("line.text")), F.lit("")), F.coalesce(c("line.in_table"), F.lit(False)))).alias("ignored"),
+    )
+
+    # by order: what comes before, and the article that is open
+    in_order = per("tag").orderBy(*place)
     x = x.withColumns({
-        "caputs": count(hangs, art), "good_caputs": count(hangs & ~blank & c("pos").eqNullSafe(c("art_pos")), art),
-        "caput_status": F.max(F.when(hangs, status)).over(art),
-        "max_same_notes": F.max("same_notes").over(per("tag", "element_type", "pos")),
-        "step_ok": (kind == "DOCUMENT_ROOT") | F.coalesce((c("before") == parent) | F.startswith(c("before"), F.concat(parent, F.lit("/"))), F.lit(False)),
+        "before": F.lag(F.coalesce(key, parent)).over(in_order), "key_no": F.row_number().over(in_order), "art_no": count(el & (kind == "ARTICLE"), in_order),
+        "art": F.last(F.when(el & (kind == "ARTICLE"), F.struct(key.alias("key"), c("pos").alias("pos"))), ignorenulls=True).over(in_order),
     })
-    same = per("tag", "element_type", "identity_key")
-    doc = per("tag")
-    cause = F.when(c("line.struck"), "FULL_STRIKE_WITHOUT_DECISIVE_MARKER").otherwise("UNCLASSIFIED_STATUS_PATTERN")
+    step_ok = (kind == "DOCUMENT_ROOT") | F.coalesce((c("before") == parent) | F.startswith(c("before"), F.concat(parent, F.lit("/"))), F.lit(False))
+    x = x.withColumns({"right": step_ok & c("document_order").eqNullSafe(c("key_no").cast("long")), "hangs": el & (kind == "CAPUT") & parent.eqNullSafe(c("art.key")), "art_pos": c("art.pos")}).drop("before", "art")
+
+    # by article, and by document
+    art, doc = per("tag", "art_no"), per("tag")
     open_status = el & (status == "UNRESOLVED")
-    x = x.withColumns({
-        "twins": F.count("*").over(same), "twin_places": F.size(F.collect_set("pos").over(same)),
-        "old_twins": count(c("caput_status").isin("HISTORICAL", "REVOKED", "UNRESOLVED"), same), "twin_first": first("element_type", "identity_key"),
-        "ordered": F.min((c("step_ok") & (c("document_order").eqNullSafe(c("key_no").cast("long")))).cast("int")).over(doc),
-        "lost": count(el & c("line").isNull(), doc), "open": count(open_status, doc), "struck_open": count(open_status & (cause == "FULL_STRIKE_WITHOUT_DECISIVE_MARKER"), doc),
-    })
+    x = x.withColumns({"caputs": count(c("hangs"), art), "good_caputs": count(c("hangs") & ~c("blank") & c("pos").eqNullSafe(c("art_pos")), art), "caput_status": F.max(F.when(c("hangs"), status)).over(art)})
+    x = x.withColumns({"ordered": F.min(c("right").cast("int")).over(doc), "lost": count(el & ~c("in_line"), doc), "open": count(open_status, doc), "struck_open": count(open_status & c("line_struck"), doc)}).drop("right", "hangs", "art_pos", "art_no")
+
+    # by key: the first in force, articles that share it, its provision
+    same, article = per("identity_key", "tag"), kind == "ARTICLE"
+    by_key = rowwise(same.orderBy(*place))
+    x = x.withColumns({"current_no": count(status == "CURRENT", by_key), "twin_no": count(article, by_key)})
+    x = x.withColumns({"twins": count(article, same), "twin_places": F.size(F.collect_set(F.when(article, c("pos"))).over(same)), "old_twins": count(article & c("caput_status").isin("HISTORICAL", "REVOKED", "UNRESOLVED"), same)})
+    x = x.withColumns({"prov": F.max(F.when(c("tag") == 2, F.struct("element_type", "parent_key"))).over(per("identity_key")), "currents": count(el & ~note & (status == "CURRENT"), per("identity_key"))})
+    blank, twin_first = c("blank"), c("twin_no") == 1
 
     parent_type = F.when(parent == "@root", "DOCUMENT_ROOT").otherwise(F.regexp_extract(parent, r"([A-Z_]+):[^/]*$", 1))
     allowed = F.lit(False)
     for above, below in EDGES.items():
         allowed = allowed | ((parent_type == above) & kind.isin(*below))
-    match = F.coalesce(normalize_matching(c("line.text")), F.lit(""))
-    ignored = unclassified_kind(match, F.coalesce(c("line.in_table"), F.lit(False)))
+    ignored = c("ignored")
     known = el & ~note
     old = c("old_twins") > 0
     none = F.lit(None).cast("string")
@@ -190,16 +193,16 @@ def act_findings(elements: DataFrame, lines: DataFrame, coverage: DataFrame, pro
         (known & c("prov").isNotNull() & ~c("prov.parent_key").eqNullSafe(parent), "IDENTITY_PARENT_MISMATCH", "BLOCKER", key),
         (el & (kind != "DOCUMENT_ROOT") & ~F.coalesce(allowed, F.lit(False)) & ~(note & parent.isNull()), "HIERARCHY_EDGE_UNEXPECTED", "BLOCKER", F.concat(F.coalesce(parent_type, F.lit("")), F.lit(">"), kind)),
         (el & note & (blank | c("content_role").eqNullSafe("NORMATIVE") | ~status.eqNullSafe("NOT_APPLICABLE") | parent.isNull()), "NOTE_INVALID", "BLOCKER", none),
-        (el & note & c("note_first") & (c("max_same_notes") > 1), "REPEATED_NOTE_TEXT_IN_SOURCE", "INFO", none),
-        (el & (status == "REVOKED") & ~F.coalesce(c("line.text").rlike(REVOKED), F.lit(False)), "REVOKED_WITHOUT_TEXTUAL_EVIDENCE", "BLOCKER", none),
-        (el & (kind == "ARTICLE") & c("twin_first") & (c("twins") > 1) & key.isNotNull() & old, "HISTORICAL_OCCURRENCES_RECONCILED", "INFO", F.lit("SAME_LEGAL_DEVICE_HISTORICAL_REDACTION")),
-        (el & (kind == "ARTICLE") & c("twin_first") & (c("twins") > 1) & key.isNotNull() & ~old, "DUPLICATE_ARTICLE_STRUCTURAL_KEY", "BLOCKER", F.when(c("twin_places") < c("twins"), "PARSER_DUPLICATION").otherwise("STRUCTURAL_AMBIGUITY")),
+        (el & note & c("note_first") & c("repeated_notes"), "REPEATED_NOTE_TEXT_IN_SOURCE", "INFO", none),
+        (el & (status == "REVOKED") & ~c("proven"), "REVOKED_WITHOUT_TEXTUAL_EVIDENCE", "BLOCKER", none),
+        (el & (kind == "ARTICLE") & twin_first & (c("twins") > 1) & key.isNotNull() & old, "HISTORICAL_OCCURRENCES_RECONCILED", "INFO", F.lit("SAME_LEGAL_DEVICE_HISTORICAL_REDACTION")),
+        (el & (kind == "ARTICLE") & twin_first & (c("twins") > 1) & key.isNotNull() & ~old, "DUPLICATE_ARTICLE_STRUCTURAL_KEY", "BLOCKER", F.when(c("twin_places") < c("twins"), "PARSER_DUPLICATION").otherwise("STRUCTURAL_AMBIGUITY")),
         (c("tag") == 3, "IGNORED_BLOCK_DIAGNOSED", F.when(ignored.isin("PARSER_MISSED_STRUCTURE", "HISTORICAL_RUBRIC_MODEL_GAP"), "BLOCKER").when(ignored == "REQUIRES_REVIEW", "WARNING").otherwise("INFO"), ignored),
     ]
     counted = F.concat_ws(",", F.when(c("struck_open") > 0, F.concat(F.lit("FULL_STRIKE_WITHOUT_DECISIVE_MARKER="), "struck_open")), F.when(c("open") > c("struck_open"), F.concat(F.lit("UNCLASSIFIED_STATUS_PATTERN="), c("open") - c("struck_open"))))
     top = el & (c("key_no") == 1)
     of_document = [
-        (known & c("prov").isNotNull() & (status == "CURRENT") & c("key_first") & (c("currents") > 1), "MULTIPLE_CURRENT_PER_VERSION_PROVISION", "BLOCKER", key),
+        (known & c("prov").isNotNull() & (status == "CURRENT") & (c("current_no") == 1) & (c("currents") > 1), "MULTIPLE_CURRENT_PER_VERSION_PROVISION", "BLOCKER", key),
         (top & (c("ordered") == 0), "DOCUMENT_ORDER_INVALID", "BLOCKER", none),
         (top & (c("lost") > 0), "PROVENANCE_INVALID", "BLOCKER", c("lost").cast("string")),
         (top & (c("open") > 0), "UNRESOLVED_PRESERVED", "WARNING", counted),

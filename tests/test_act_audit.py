@@ -50,3 +50,12 @@ def test_repeated_row_and_empty_tables(act):
     twice = elements.union(elements.filter("element_type = 'CAPUT' and pos = 2"))
     assert {"ARTICLE_CAPUT_INVALID", "DOCUMENT_ORDER_INVALID", "MULTIPLE_CURRENT_PER_VERSION_PROVISION", "SOURCE_TEXT_OVERLAP"} <= {c[0] for c in codes(twice, lines, coverage, provisions)}
     assert codes(*(x.limit(0) for x in act)) == []
+
+
+def test_few_sorts_and_no_texts_behind_the_first(act):
+    """Windows go by line, order, article and key; what is sorted after the first of these has no texts."""
+    plan = act_audit.act_findings(*act)._jdf.queryExecution().executedPlan().toString()
+    windows = plan[: plan.index("ObjectHashAggregate")]
+    assert windows.count("Sort [") <= 6
+    generated = windows[windows.index("Generate explode") :]
+    assert " text#" not in generated[: generated.index("Sort [")]
